@@ -1,0 +1,5 @@
+"""Nothing here: every input of the covered analyses is a static table.
+
+The column builders in ``panelwright.functions`` are stateless expressions and also
+work on streaming DataFrames.
+"""
