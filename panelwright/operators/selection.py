@@ -71,6 +71,10 @@ def path_frame(spark, path: Sequence[Step]) -> DataFrame:
 
 # ---------------------------------------------------------------- best subsets
 
+class TooFewRows(ValueError):
+    """Not enough rows to train on in the replicates."""
+
+
 def training_share(n: int) -> float:
     """Share of rows a replicate trains on: ``1 - d/n`` of the delete-d rule."""
     held_out = math.ceil(n * (1 - 1 / (math.log(n) - 1)))
@@ -261,7 +265,7 @@ def best_subset_cv(df: DataFrame, response: str, predictors: Sequence[str], key:
                          "reduce them first, for example by backward_by_aic")
     model = fit(df, response, predictors)
     if model.n < 21:
-        raise ValueError("delete-d cross-validation needs more rows")
+        raise TooFewRows("delete-d cross-validation needs more than 20 rows")
     if None in model.coefficients.values():
         model = model.subset([p for p in predictors if model.coefficients[p] is not None])
         kept = [0, *[predictors.index(p) + 1 for p in model.predictors]]
@@ -276,7 +280,7 @@ def best_subset_cv(df: DataFrame, response: str, predictors: Sequence[str], key:
             F.avg(F.col("held_out_ss") / F.col("held_out_n")).alias("cv_error"),
             F.count("*").cast("int").alias("replicates")).orderBy("size").collect()]
     if not errors:
-        raise ValueError("too few rows to train on in any replicate")
+        raise TooFewRows("too few rows to train on in any replicate")
     size = min(errors, key=lambda e: (e[1], e[0]))[0]
     scaling = _Scaling.of(model.factor)
     subset = best_of_each_size(scaling.total[:-1, :-1])[size][0]

@@ -1,4 +1,6 @@
 """Queries over the test tables, each with the SQL that checks it."""
 
-from workload import panel_queries  # noqa: F401
+from workload import (  # noqa: F401
+    panel_queries, column_queries, summary_queries, source_queries,
+)
 from workload.registry import QUERIES  # noqa: F401

@@ -2,7 +2,7 @@
 
 Counties are customers: the code ``1000 + 370 * key`` plays the county code, whose leading
 zero is lost below 10000. States are nations. The daily panel counts a customer's events,
-the census sums a customer's order lines, policies are daily order figures of a nation.
+the census sums a customer's order lines, policies are monthly order figures of a nation.
 Each builder has its SQL twin below for the checks.
 """
 
@@ -21,7 +21,7 @@ from workload.registry import table
 
 BEFORE = Period(dt.date(2024, 1, 2), dt.date(2024, 1, 9))
 AFTER = Period(dt.date(2024, 1, 16), dt.date(2024, 1, 23))
-POLICY_DAYS = (dt.date(1996, 3, 5), dt.date(1996, 3, 12), dt.date(1997, 7, 1), dt.date(1997, 7, 8))
+POLICY_DAYS = (dt.date(1996, 3, 1), dt.date(1996, 4, 1), dt.date(1997, 7, 1), dt.date(1997, 8, 1))
 
 # Share columns in order, and the event type each one counts.
 SHARE_EVENTS = dict(zip(SHARE_COLUMNS, ("error", "view", "click", "signup", "purchase")))
@@ -79,7 +79,7 @@ def shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def policy(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per region and day. Nations with key 4 mod 5 lie in another country."""
+    """One row per region and month. Nations with key 4 mod 5 lie in another country."""
     orders = table(spark, sf, "orders").select(
         "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
     homes = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
@@ -88,9 +88,10 @@ def policy(spark: SparkSession, sf: str) -> DataFrame:
         **{c: F.count_if(F.col("o_orderpriority") == p) for c, p in POLICY_PRIORITIES.items()},
         **{c: F.count_if(F.col("o_orderstatus") == s) for c, s in POLICY_STATUSES.items()},
         "stringency_index": F.max("o_totalprice") / 5000, "testing_policy": F.count("*")}
-    return daily_totals(
-        orders.join(homes, F.col("o_custkey") == F.col("c_custkey")),
-        [F.concat(country, state_of("c_nationkey")).alias("region_code")], "o_orderdate", figures)
+    region = F.concat(country, state_of("c_nationkey")).alias("region_code")
+    return (orders.join(homes, F.col("o_custkey") == F.col("c_custkey"))
+            .groupBy(region, F.trunc("o_orderdate", "month").alias("date"))
+            .agg(*[agg.alias(name) for name, agg in figures.items()]))
 
 
 def census(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,7 +195,7 @@ shares AS (
 POLICY_SQL = f"""
 policy AS (
   SELECT CASE WHEN c_nationkey % 5 = 4 THEN 'CA_' ELSE 'US_' END || {_state_sql('c_nationkey')}
-           AS region_code, CAST(o_orderdate AS DATE) AS date, {', '.join(
+           AS region_code, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, {', '.join(
       [f"count(*) FILTER (o_orderpriority = '{p}') AS {c}" for c, p in POLICY_PRIORITIES.items()]
       + [f"count(*) FILTER (o_orderstatus = '{s}') AS {c}" for c, s in POLICY_STATUSES.items()])},
          max(o_totalprice) / 5000 AS stringency_index, count(*) AS testing_policy
