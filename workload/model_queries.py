@@ -183,7 +183,7 @@ m AS (SELECT low, median(e) AS med FROM h GROUP BY 1),
 d AS (SELECT low, abs(e - med) AS d FROM h JOIN m USING (low)),
 s AS (SELECT low, count(*) AS n, avg(d) AS mean, var_pop(d) * count(*) AS ss FROM d GROUP BY 1),
 w AS (SELECT a.n AS n1, b.n AS n2, a.mean - b.mean AS diff, a.ss + b.ss AS ss
-      FROM s a, s b WHERE a.low AND NOT b.low)
+      FROM s a, s b WHERE a.low AND NOT b.low),
 t AS (SELECT diff / (sqrt(ss / (n1 + n2 - 2)) * sqrt(1 / n1 + 1 / n2)) AS t, (n1 + n2 - 2)::DOUBLE AS df FROM w),
 {_t_tail_sql('t')}
 SELECT round(t, 5) + 0.0 AS statistic, df, round(p, 8) + 0.0 AS p_value FROM tail""")
