@@ -46,12 +46,12 @@ def profile(df: DataFrame, response: str, predictors: Sequence[str],
                       *predictors)
 
     def expand(y: np.ndarray) -> np.ndarray:
-        if (y <= 0).any():
-            raise ValueError("the response must be positive: use a larger shift")
         logs = np.log(y)[:, None]
         return np.where(powers == 0.0, logs, np.exp(logs * powers))
 
-    factor = accumulate(moved, response, predictors, len(exponents), expand, log_response=True)
+    factor = accumulate(moved, response, predictors, len(exponents), expand, positive=True)
+    if factor.refused:
+        raise ValueError(f"{factor.refused} responses are not positive: use a larger shift")
     geo_log = factor.logs / factor.n
     points = []
     at = range(len(predictors) + 1)

@@ -57,13 +57,14 @@ def brown_forsythe(df: DataFrame, residual: str, by: str,
     """
     rows = (df.select(F.col(residual).cast("double").alias("e"), F.col(by).cast("double").alias("x"))
             .filter(usable("e") & usable("x")))
-    middle = median_of(rows, "x", small_rows)
+    n = rows.count()
+    middle = median_of(rows, "x", small_rows, n)
     if middle is None:
         return TestResult(None, None, None, None)
     halves = rows.select(
         F.when(F.col("x") <= F.lit(middle), "low").otherwise("high").alias("variable"),
         F.col("e").alias("value"))
-    centres = {k: v[0] for k, v in quantiles(halves, [0.5], small_rows).items()}
+    centres = {k: v[0] for k, v in quantiles(halves, [0.5], small_rows, n).items()}
     if len(centres) < 2:
         return TestResult(None, None, None, None)
     centre = F.when(F.col("variable") == "low", F.lit(centres["low"])).otherwise(F.lit(centres["high"]))

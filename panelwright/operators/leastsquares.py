@@ -29,8 +29,8 @@ ALIAS_TOLERANCE = 1e-7
 # Factors are merged in this many groups before the driver sees them.
 _MERGE_GROUPS = 256
 
-_FACTOR_SCHEMA = "slot int, n long, dropped long, logs double, r array<double>, " \
-                 "qty array<double>, rss array<double>"
+_FACTOR_SCHEMA = "slot int, n long, dropped long, refused long, logs double, " \
+                 "r array<double>, qty array<double>, rss array<double>"
 
 
 @dataclass
@@ -42,6 +42,7 @@ class Factor:
     rss: np.ndarray
     n: int = 0
     dropped: int = 0
+    refused: int = 0
     logs: float = 0.0
 
     @classmethod
@@ -67,10 +68,12 @@ class Factor:
         self.rss = self.rss + other.rss
         self.n += other.n
         self.dropped += other.dropped
+        self.refused += other.refused
         self.logs += other.logs
 
     def columns(self, slot: int) -> dict[str, list]:
-        return {"slot": [slot], "n": [self.n], "dropped": [self.dropped], "logs": [self.logs],
+        return {"slot": [slot], "n": [self.n], "dropped": [self.dropped],
+                "refused": [self.refused], "logs": [self.logs],
                 "r": [self.r.ravel().tolist()], "qty": [self.qty.ravel().tolist()],
                 "rss": [self.rss.tolist()]}
 
@@ -79,7 +82,7 @@ class Factor:
         return cls(np.array(row["r"], dtype=float).reshape(width, width),
                    np.array(row["qty"], dtype=float).reshape(width, -1),
                    np.array(row["rss"], dtype=float), int(row["n"]), int(row["dropped"]),
-                   float(row["logs"]))
+                   int(row["refused"]), float(row["logs"]))
 
 
 def batch_matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -90,12 +93,17 @@ def batch_matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 def accumulate(df: DataFrame, response: str, predictors: Sequence[str], responses: int = 1,
                expand: Callable[[np.ndarray], np.ndarray] | None = None,
-               log_response: bool = False) -> Factor:
-    """One distributed pass. ``expand`` turns the response into several response columns."""
+               positive: bool = False) -> Factor:
+    """One distributed pass. ``expand`` turns the response into several response columns.
+
+    With ``positive`` the logs of the response are summed, and rows where it is not positive
+    are refused: left out and counted.
+    """
     width = len(predictors) + 1
     needed = df.select(*[F.col(c).cast("double").alias(c) for c in (response, *predictors)])
     schema = pa.schema([
-        ("slot", pa.int32()), ("n", pa.int64()), ("dropped", pa.int64()), ("logs", pa.float64()),
+        ("slot", pa.int32()), ("n", pa.int64()), ("dropped", pa.int64()),
+        ("refused", pa.int64()), ("logs", pa.float64()),
         ("r", pa.list_(pa.float64())), ("qty", pa.list_(pa.float64())),
         ("rss", pa.list_(pa.float64()))])
 
@@ -106,11 +114,14 @@ def accumulate(df: DataFrame, response: str, predictors: Sequence[str], response
             whole = np.isfinite(rows).all(axis=1)
             factor.dropped += int((~whole).sum())
             rows = rows[whole]
+            if positive:
+                above = rows[:, 0] > 0
+                factor.refused += int((~above).sum())
+                rows = rows[above]
+                factor.logs += float(np.log(rows[:, 0]).sum())
             if len(rows) == 0:
                 continue
             y = rows[:, :1] if expand is None else expand(rows[:, 0])
-            if log_response:
-                factor.logs += float(np.log(rows[:, 0]).sum())
             factor.add_rows(rows[:, 1:], y)
         slot = TaskContext.get().partitionId() % _MERGE_GROUPS
         yield pa.RecordBatch.from_pydict(factor.columns(slot), schema=schema)

@@ -32,8 +32,8 @@ def _interpolate(low: float, high: float, position: float) -> float:
     return low + (high - low) * (position - math.floor(position))
 
 
-def quantiles(values: DataFrame, probs: Sequence[float],
-              small_rows: int = SMALL_ROWS) -> dict[str, list[float]]:
+def quantiles(values: DataFrame, probs: Sequence[float], small_rows: int = SMALL_ROWS,
+              rows: int | None = None) -> dict[str, list[float]]:
     """Exact quantiles per ``variable`` of a frame (variable, value), interpolated linearly.
 
     Few rows go through the built-in aggregate. Beyond ``small_rows`` equal values are
@@ -90,12 +90,15 @@ def quantiles(values: DataFrame, probs: Sequence[float],
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                     small_rows: int = SMALL_ROWS) -> dict[str, list[float]]:
-    return quantiles(melted(df, columns), probs, small_rows)
+                     small_rows: int = SMALL_ROWS,
+                     rows: int | None = None) -> dict[str, list[float]]:
+    bound = None if rows is None else rows * len(columns)
+    return quantiles(melted(df, columns), probs, small_rows, bound)
 
 
-def median_of(df: DataFrame, column: str, small_rows: int = SMALL_ROWS) -> float | None:
-    return column_quantiles(df, [column], [0.5], small_rows).get(column, [None])[0]
+def median_of(df: DataFrame, column: str, small_rows: int = SMALL_ROWS,
+              rows: int | None = None) -> float | None:
+    return column_quantiles(df, [column], [0.5], small_rows, rows).get(column, [None])[0]
 
 
 def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:

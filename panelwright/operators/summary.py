@@ -121,7 +121,7 @@ def density(df: DataFrame, column: str, points: int = 512, bandwidth: float | No
     facts = values.agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"),
                        F.min("v").alias("low"), F.max("v").alias("high")).first()
     if bandwidth is None:
-        q1, q3 = column_quantiles(values, ["v"], [0.25, 0.75], small_rows)["v"]
+        q1, q3 = column_quantiles(values, ["v"], [0.25, 0.75], small_rows, facts["n"])["v"]
         bandwidth = rule_of_thumb_bandwidth(facts["n"], facts["sd"] or 0.0, q3 - q1)
     start, stop = facts["low"] - 3 * bandwidth, facts["high"] + 3 * bandwidth
     width = (stop - start) / (cells - 1)

@@ -21,6 +21,7 @@ from panelwright.functions.shares import (
     recode, remainder, reversed_z, row_sum, shares_of_total,
 )
 from panelwright.operators.panel import on_days, previous_row
+from panelwright.plans.period_change import rate_change
 from panelwright.runtime import checkpointed
 
 # Column names of the source tables.
@@ -112,10 +113,10 @@ def with_global_z(df: DataFrame, value: str, mean: str, spread: str, z: str) ->
 
 @dataclass(frozen=True)
 class Sources:
-    """The tables a dataset is made of."""
+    """The tables a dataset is made of; ``means`` comes from ``period_means``."""
 
     shares: DataFrame
-    change: DataFrame
+    means: DataFrame
     policy: DataFrame
     census: DataFrame
     density: DataFrame
@@ -123,7 +124,10 @@ class Sources:
 
 
 def star(src: Sources, policy_days: Sequence[dt.date], prefix: str = "US") -> DataFrame:
-    """Keys present in every table, with raw counts and all shares."""
+    """Keys present in every table, with raw counts and all shares.
+
+    The census serves twice, as population of the rates and as dimension, with one join.
+    """
     key = "county_fips_code"
     policy = policy_by_state(policy_maxima(policy_rows(src.policy, policy_days, prefix)))
     bands = [f"{sex}_{band}" for sex in ("male", "female") for band in AGE_BANDS]
@@ -132,8 +136,11 @@ def star(src: Sources, policy_days: Sequence[dt.date], prefix: str = "US") -> Da
         "median_income", "pop_determined_poverty_status")
     density = density_dimension(src.density).withColumnRenamed("geoid", key)
     urban = urban_dimension(src.urban).withColumnRenamed("fips_code", key)
-    joined = (src.change.join(src.shares, key).join(census, key).join(density, key)
-              .join(urban, key).join(policy, "state"))
+    change = (src.means.join(census, key)
+              .withColumn("new_cases_per_10k_difference", rate_change("total_pop"))
+              .filter(F.col("new_cases_per_10k_difference").isNotNull()))
+    joined = (change.join(src.shares, key).join(density, key).join(urban, key)
+              .join(policy, "state"))
     return joined.select(
         key, "county_name", "new_cases_per_10k_difference", *SHARE_COLUMNS, *POLICY_COLUMNS,
         "state", "region", *STATE_REGIONS, "pop_density", "metropolitan",

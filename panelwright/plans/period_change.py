@@ -91,14 +91,12 @@ def stages(panel: DataFrame, population: DataFrame, periods: Sequence[Period],
     return listed
 
 
-def period_change(panel: DataFrame, population: DataFrame, before: Period, after: Period,
-                  names: PanelColumns = PanelColumns()) -> DataFrame:
-    """Same rows as the last of ``stages`` for two periods, with one exchange of the panel.
+def period_means(panel: DataFrame, before: Period, after: Period,
+                 names: PanelColumns = PanelColumns()) -> DataFrame:
+    """Mean daily increase of each key in both periods, for keys that report both last days.
 
     The running mean is read only on a period's last day, where it is a plain mean, so the
-    rows of a key fold into one right after the lag, in the partitioning the lag already
-    has. The population joins that one row instead of every day. An unmatched key would end
-    as NULL and be dropped, hence the inner join.
+    rows of a key fold into one right after the lag, in the partitioning the lag already has.
     """
     c = names
 
@@ -113,23 +111,37 @@ def period_change(panel: DataFrame, population: DataFrame, before: Period, after
     last = F.col(c.date) == F.lit(after.last_day)
     lagged = (
         panel.drop(*c.unused).filter(in_spans(c.date, _spans((before, after))))
-        .withColumn("new_cases",
-                    F.col(c.total) - previous_row(c.total, c.key, c.date))
+        .withColumn("new_cases", F.col(c.total) - previous_row(c.total, c.key, c.date))
         .withColumn("week", week_number(c.date, c.first_weekday))
     )
-    folded = (
+    return (
         lagged.groupBy(c.key).agg(
             *[F.max_by(name, F.when(last, 1)).alias(name) for name in c.carried],
             mean_of(before).alias("mean_before"), mean_of(after).alias("mean_after"),
             reported(before).alias("has_before"), reported(after).alias("has_after"))
         .filter("has_before = 1 AND has_after = 1 "
                 "AND mean_before IS NOT NULL AND mean_after IS NOT NULL")
+        .drop("has_before", "has_after")
     )
+
+
+def rate_change(population: str) -> Column:
+    """Difference of the two period means as rates."""
+    return rate_per("mean_after", population) - rate_per("mean_before", population)
+
+
+def period_change(panel: DataFrame, population: DataFrame, before: Period, after: Period,
+                  names: PanelColumns = PanelColumns()) -> DataFrame:
+    """Same rows as the last of ``stages`` for two periods, with one exchange of the panel.
+
+    The population joins one row per key instead of every day. An unmatched key would end
+    as NULL and be dropped, hence the inner join.
+    """
+    c = names
     people = population.select(F.col(c.population_key).alias(c.key), c.population)
     return (
-        folded.join(people, c.key)
-        .withColumn("new_cases_per_10k_difference",
-                    rate_per("mean_after", c.population) - rate_per("mean_before", c.population))
+        period_means(panel, before, after, names).join(people, c.key)
+        .withColumn("new_cases_per_10k_difference", rate_change(c.population))
         .filter(F.col("new_cases_per_10k_difference").isNotNull())
         .select(c.key, *c.carried, "new_cases_per_10k_difference")
     )

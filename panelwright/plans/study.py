@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -103,7 +104,8 @@ def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 1
     """Fit, test, transform, select, compare and validate, on one keyed split.
 
     The design is written to the checkpoint folder once, since every later step reads it.
-    A shift that leaves the response non-positive is skipped.
+    A shift that leaves the response non-positive is skipped, and so is the search for best
+    subsets when elimination leaves no predictor, or too many or too few rows for it.
     """
     frame, terms = regression_design(dataset, variant)
     frame = checkpointed(frame)
@@ -112,35 +114,46 @@ def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 1
     full = ls.fit(training, RESPONSE, terms)
     step, path = selection.backward_by_aic(full)
     scored = step.score(full.score(training), "step_yhat", "step_residual")
-    tests = {
-        "brown_forsythe": diagnostics.brown_forsythe(scored, "residual", "yhat"),
-        "shapiro": diagnostics.shapiro_wilk(scored, "residual", KEY),
-        "step_shapiro": diagnostics.shapiro_wilk(scored, "step_residual", KEY),
-        "step_f": diagnostics.nested_f_test(step, full),
-    }
-
     low, high = value_ranges(training, [RESPONSE])[RESPONSE]
-    profiles, transformed = {}, {}
-    for shift in shifts:
-        if low + shift <= 0:
-            continue
-        profiles[shift] = boxcox.refine(training, RESPONSE, terms, shift)
-        exponent = profiles[shift][-1].best
-        powered = training.withColumn("y_power", power(F.col(RESPONSE) + shift, exponent))
-        transformed[shift] = ls.fit(powered, "y_power", terms)
-        rows = transformed[shift].score(powered)
-        tests[f"power_{shift:g}_brown_forsythe"] = diagnostics.brown_forsythe(rows, "residual", "yhat")
-        tests[f"power_{shift:g}_shapiro"] = diagnostics.shapiro_wilk(rows, "residual", KEY)
-
-    subsets = None
-    few = len(step.predictors) <= selection.MOST_PREDICTORS
-    if few and step.predictors and full.n > 20:
+    usable_shifts = [s for s in shifts if low + s > 0]
+
+    def transform(shift: float) -> tuple[list[boxcox.Profile], ls.LinearModel, DataFrame]:
+        rounds = boxcox.refine(training, RESPONSE, terms, shift)
+        powered = training.withColumn(
+            "y_power", power(F.col(RESPONSE) + F.lit(shift), rounds[-1].best))
+        model = ls.fit(powered, "y_power", terms)
+        return rounds, model, model.score(powered)
+
+    def best_subsets() -> selection.SubsetSearch | None:
+        if not 0 < len(step.predictors) <= selection.MOST_PREDICTORS:
+            return None
         try:
-            subsets = selection.best_subset_cv(
+            return selection.best_subset_cv(
                 training, RESPONSE, step.predictors, KEY, replicates, seed)
-            tests["subset_f"] = diagnostics.nested_f_test(subsets.model, step)
         except selection.TooFewRows:
-            subsets = None
+            return None
+
+    # Steps that do not need each other submit their jobs side by side.
+    with ThreadPoolExecutor(4) as pool:
+        searching = pool.submit(best_subsets)
+        moved = dict(zip(usable_shifts, pool.map(transform, usable_shifts)))
+        asked = {
+            "brown_forsythe": (diagnostics.brown_forsythe, scored, "residual", "yhat"),
+            "shapiro": (diagnostics.shapiro_wilk, scored, "residual", KEY),
+            "step_shapiro": (diagnostics.shapiro_wilk, scored, "step_residual", KEY)}
+        for shift, (_, _, rows) in moved.items():
+            asked[f"power_{shift:g}_brown_forsythe"] = (
+                diagnostics.brown_forsythe, rows, "residual", "yhat")
+            asked[f"power_{shift:g}_shapiro"] = (diagnostics.shapiro_wilk, rows, "residual", KEY)
+        pending = {name: pool.submit(*call) for name, call in asked.items()}
+        tests = {name: job.result() for name, job in pending.items()}
+        subsets = searching.result()
+
+    tests["step_f"] = diagnostics.nested_f_test(step, full)
+    if subsets is not None:
+        tests["subset_f"] = diagnostics.nested_f_test(subsets.model, step)
+    profiles = {shift: rounds for shift, (rounds, _, _) in moved.items()}
+    transformed = {shift: model for shift, (_, model, _) in moved.items()}
 
     judged = held_out.select(
         rmspe(RESPONSE, full.fitted()).alias("full"), rmspe(RESPONSE, step.fitted()).alias("step"),

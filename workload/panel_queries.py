@@ -74,7 +74,7 @@ def _register_stage(position: int, stage: str, covers: str, columns: tuple[str,
     @query(covers, f"{_STAGES_SQL} SELECT {_replaced(columns)} FROM {stage}",
            name=f"stage_{position}_{stage}")
     def run(spark, sf):
-        listed = stages(st.panel(spark, sf), st.balances(spark, sf), [st.BEFORE, st.AFTER])
+        listed = stages(st.panel(spark, sf, st.AFTER.last_day), st.balances(spark, sf), [st.BEFORE, st.AFTER])
         label, frame = listed[position]
         assert label == stage
         return round_all(frame)
@@ -88,7 +88,8 @@ for _position, (_stage, _covers, _columns) in enumerate(_STAGE_LINES):
        f"{_STAGES_SQL} SELECT {_replaced(('new_cases_per_10k_difference',))} FROM complete")
 def period_change(spark, sf):
     """Flagship: change of the mean weekly rate between two periods."""
-    return round_all(change_plan(st.panel(spark, sf), st.balances(spark, sf), st.BEFORE, st.AFTER))
+    panel = st.panel(spark, sf, st.AFTER.last_day)
+    return round_all(change_plan(panel, st.balances(spark, sf), st.BEFORE, st.AFTER))
 
 
 @query("B22", """

@@ -16,7 +16,7 @@ from panelwright.functions.keys import restore_leading_zero
 from panelwright.functions.shares import ratio
 from panelwright.operators.panel import Period, daily_totals, running_total
 from panelwright.plans.dataset import AGE_BANDS, GROUP_COLUMNS, SHARE_COLUMNS, Sources
-from panelwright.plans.period_change import period_change
+from panelwright.plans.period_change import period_means
 from workload.registry import table
 
 BEFORE = Period(dt.date(2024, 1, 2), dt.date(2024, 1, 9))
@@ -49,11 +49,18 @@ def state_of(nation_key: str) -> Column:
     return F.concat(F.lit("N"), F.char(F.col(nation_key) + 65))
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Cumulative daily counts per county, with name and state."""
+def panel(spark: SparkSession, sf: str, until: dt.date | None = None) -> DataFrame:
+    """Cumulative daily counts per county, with name and state, up to a day.
+
+    Later events change no earlier total, so ``until`` may cut the scan.
+    """
     key = "county_fips_code"
+    events = table(spark, sf, "events")
+    if until is not None:
+        next_day = F.lit(until + dt.timedelta(days=1)).cast("timestamp_ntz")
+        events = events.filter(F.col("ts") < next_day)
     daily = daily_totals(
-        table(spark, sf, "events"), [county_key("user_id").alias(key)], "ts",
+        events, [county_key("user_id").alias(key)], "ts",
         {"cases": F.count("*"), "errors": F.count_if(F.col("event_type") == "error")})
     cumulative = daily.select(
         key, "date", running_total("cases", key, "date").alias("confirmed_cases"),
@@ -133,15 +140,10 @@ def urban(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("c_nationkey") % 6 + 1).alias("_2013_code"))
 
 
-def change(spark: SparkSession, sf: str) -> DataFrame:
-    return period_change(panel(spark, sf), census(spark, sf), BEFORE, AFTER)
-
-
 def sources(spark: SparkSession, sf: str) -> Sources:
-    people = census(spark, sf)
     return Sources(
-        shares=shares(spark, sf), policy=policy(spark, sf), census=people,
-        change=period_change(panel(spark, sf), people, BEFORE, AFTER),
+        shares=shares(spark, sf), policy=policy(spark, sf), census=census(spark, sf),
+        means=period_means(panel(spark, sf, AFTER.last_day), BEFORE, AFTER),
         density=density(spark, sf), urban=urban(spark, sf))
 
 
