@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,7 +32,9 @@ def query(covers: str, sql: str | None = None, name: str | None = None):
     return register
 
 
+@functools.cache
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table. Kept per session, since every fresh read looks into the file again."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
