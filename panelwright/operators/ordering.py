@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwright.runtime import checkpointed
+from panelwright.runtime import stored
 
-# Up to this many rows the built-in exact percentile may hold one value per row in a buffer.
+# Up to this many rows a variable's values are sorted as one array in one task.
 SMALL_ROWS = 1_000_000
 
 _HEX_STEP = 4
@@ -36,18 +37,26 @@ def quantiles(values: DataFrame, probs: Sequence[float], small_rows: int = SMALL
               rows: int | None = None) -> dict[str, list[float]]:
     """Exact quantiles per ``variable`` of a frame (variable, value), interpolated linearly.
 
-    Few rows go through the built-in aggregate. Beyond ``small_rows`` equal values are
+    Few rows are sorted as one array per variable. Beyond ``small_rows`` equal values are
     counted first, the distinct values are range-partitioned, and only the partitions that
     hold a wanted rank are looked into, so neither hot values nor many distinct ones end in
-    one task. Only the answers and one count per partition come to the driver.
+    one task. Only the answers and one count per partition come to the driver. A caller who
+    knows how many rows a variable has at most passes ``rows`` and saves the counting.
     """
     probs = [float(p) for p in probs]
-    if values.count() <= small_rows:
-        rows = values.groupBy("variable").agg(
-            F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()
-        return {r["variable"]: list(r["q"]) for r in rows}
+    if small_rows > 0 and (values.count() if rows is None else rows) <= small_rows:
+        ordered = values.groupBy("variable").agg(F.sort_array(F.collect_list("value")).alias("v"))
 
-    spread = checkpointed(
+        def at(prob: float) -> Column:
+            position = (F.size("v") - 1) * F.lit(prob)
+            low = F.element_at("v", F.floor(position).cast("int") + 1)
+            high = F.element_at("v", F.ceil(position).cast("int") + 1)
+            return low + (high - low) * (position - F.floor(position))
+
+        answers = ordered.select("variable", F.array(*[at(p) for p in probs]).alias("q")).collect()
+        return {r["variable"]: list(r["q"]) for r in answers}
+
+    spread = stored(
         values.groupBy("variable", "value").agg(F.count("*").alias("copies"))
         .repartitionByRange("variable", "value")
         .withColumn("part", F.spark_partition_id()))
@@ -92,8 +101,9 @@ def quantiles(values: DataFrame, probs: Sequence[float], small_rows: int = SMALL
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                      small_rows: int = SMALL_ROWS,
                      rows: int | None = None) -> dict[str, list[float]]:
-    bound = None if rows is None else rows * len(columns)
-    return quantiles(melted(df, columns), probs, small_rows, bound)
+    if rows is None and small_rows > 0:
+        rows = df.count()
+    return quantiles(melted(df, columns), probs, small_rows, rows)
 
 
 def median_of(df: DataFrame, column: str, small_rows: int = SMALL_ROWS,
@@ -105,11 +115,11 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> Data
     """1-based rank of every row, as an unpartitioned row_number would number them.
 
     ``order`` should end in a unique column: it makes the rank definite and lets the range
-    partitioning split a value that many rows share. The sorted rows are checkpointed, since
-    the per-partition offsets hold only for the very same partition bounds.
+    partitioning split a value that many rows share. The sorted rows are written once
+    with their positions, since a second sort might choose other partition bounds.
     """
     position = "__position"
-    placed = checkpointed(
+    placed = stored(
         df.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn(position, F.monotonically_increasing_id()))
     part = F.shiftright(F.col(position), 33)
@@ -142,20 +152,18 @@ def _hash_cutoff(df: DataFrame, digest: Column, fraction: float) -> str | None:
     prefix, left = "", None
     while True:
         step = F.substring("digest", len(prefix) + 1, _HEX_STEP).alias("digits")
-        counts = sorted(
-            (r["digits"], r["count"]) for r in
-            digests.filter(F.col("digest").startswith(prefix)).groupBy(step).count().collect())
+        counts = (digests.filter(F.col("digest").startswith(prefix)).groupBy(step).count()
+                  .toArrow().sort_by("digits"))
+        upto = np.cumsum(counts["count"].to_numpy())
         if left is None:
-            left = math.floor(fraction * sum(n for _, n in counts))
+            left = math.floor(fraction * (upto[-1] if len(upto) else 0))
             if left == 0:
                 return None
-        for digits, n in counts:
-            if left <= n:
-                break
-            left -= n
-        prefix += digits
-        if left == n or len(prefix) >= _HEX_DIGITS:
+        cell = int(np.searchsorted(upto, left))
+        prefix += counts["digits"][cell].as_py()
+        if left == upto[cell] or len(prefix) >= _HEX_DIGITS:
             return prefix.ljust(_HEX_DIGITS, "g")
+        left -= int(upto[cell - 1]) if cell else 0
 
 
 def sample_flag(df: DataFrame, key: str, fraction: float, seed: int) -> Column:

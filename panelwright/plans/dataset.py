@@ -22,7 +22,7 @@ from panelwright.functions.shares import (
 )
 from panelwright.operators.panel import on_days, previous_row
 from panelwright.plans.period_change import rate_change
-from panelwright.runtime import checkpointed
+from panelwright.runtime import stored
 
 # Column names of the source tables.
 SHARE_COLUMNS = ("never", "rarely", "sometimes", "frequently", "always")
@@ -186,8 +186,8 @@ def build_datasets(src: Sources, policy_days: Sequence[dt.date],
                    prefix: str = "US") -> Mapping[str, DataFrame]:
     """All variants from one joined base.
 
-    The base is written to the checkpoint folder once; z-scores and all variants read it
+    The base is written to the shared folder once; z-scores and all variants read it
     from there instead of repeating the joins.
     """
-    primary = cross_section(checkpointed(star(src, policy_days, prefix)))
+    primary = cross_section(stored(star(src, policy_days, prefix)))
     return {name: variant(primary, name) for name in VARIANTS}

@@ -14,7 +14,7 @@ from panelwright.operators.ordering import keyed_split
 from panelwright.operators.scoring import results_table, rmspe
 from panelwright.operators.summary import value_ranges
 from panelwright.plans.dataset import GROUP_COLUMNS, POLICY_COLUMNS, SHARE_COLUMNS
-from panelwright.runtime import checkpointed
+from panelwright.runtime import stored
 
 KEY = "county_fips_code"
 RESPONSE = "new_cases_per_10k_difference"
@@ -103,12 +103,12 @@ def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 1
             validation: float = 0.2, seed: int = 37, replicates: int = 100) -> Study:
     """Fit, test, transform, select, compare and validate, on one keyed split.
 
-    The design is written to the checkpoint folder once, since every later step reads it.
+    The design is written to the shared folder once, since every later step reads it.
     A shift that leaves the response non-positive is skipped, and so is the search for best
     subsets when elimination leaves no predictor, or too many or too few rows for it.
     """
     frame, terms = regression_design(dataset, variant)
-    frame = checkpointed(frame)
+    frame = stored(frame)
     held_out, training = keyed_split(frame, KEY, validation, seed)
 
     full = ls.fit(training, RESPONSE, terms)

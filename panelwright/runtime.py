@@ -31,19 +31,18 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    ``spark.checkpoint.dir`` decides. A session that runs inside this process may
-    fall back on a temporary folder; a cluster session without the setting is refused.
+    ``spark.checkpoint.dir`` decides, or the checkpoint folder already set on the context.
+    A session that runs inside this process may fall back on a temporary folder; a cluster
+    session that names none is refused.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -51,10 +50,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the files."""
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and go on from its files.
+
+    Cuts the lineage, survives the loss of executors, and later steps read only the columns
+    they need.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as some
 
 from panelwright.operators import ordering as od, summary as sm
-from panelwright.runtime import checkpointed, scratch_path, shared_folder
+from panelwright.runtime import scratch_path, shared_folder, stored
 
 
 def _frame(spark, values):
@@ -86,7 +86,7 @@ def test_whole_sample(spark):
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x").startswith(shared_folder(spark))
-    assert checkpointed(spark.range(3)).count() == 3
+    assert stored(spark.range(3)).count() == 3
 
 
 # ------------------------------------------------------------------ summaries

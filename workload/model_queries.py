@@ -16,7 +16,7 @@ from panelwright.functions.normal import (
 from panelwright.operators import boxcox, diagnostics, feeds, leastsquares as ls, scoring, selection
 from panelwright.operators.ordering import keyed_split
 from panelwright.plans import dataset as ds, study
-from panelwright.runtime import scratch_path
+from panelwright.runtime import scratch_path, stored
 from panelwright.sources import files
 from workload import sqlkit, standins as st
 from workload.registry import query, round_all, rounded, table
@@ -33,12 +33,17 @@ def _facts(spark, sf):
     return st.order_facts(spark, sf)
 
 
+def _stored_facts(spark, sf):
+    """The sample as a table, for queries that read it several times."""
+    return stored(_facts(spark, sf), "facts")
+
+
 def _model(spark, sf, predictors=None):
     return ls.fit(_facts(spark, sf), Y, predictors or X)
 
 
 def _scored(spark, sf):
-    facts = _facts(spark, sf)
+    facts = _stored_facts(spark, sf)
     return ls.fit(facts, Y, X).score(facts)
 
 
@@ -90,7 +95,7 @@ WITH {_SCORED}
 SELECT unnest(['min', 'q1', 'median', 'q3', 'max']) AS point,
        unnest([round(x, 3) + 0.0 for x in quantile_cont(residual, [0, 0.25, 0.5, 0.75, 1])]) AS residual FROM scored""")
 def residual_quantiles(spark, sf):
-    facts = _facts(spark, sf)
+    facts = _stored_facts(spark, sf)
     found = ls.fit(facts, Y, X).residual_quantiles(facts)
     return round_all(spark.createDataFrame(
         list(zip(("min", "q1", "median", "q3", "max"), found)), "point string, residual double"), 3)
@@ -98,9 +103,9 @@ def residual_quantiles(spark, sf):
 
 @query("I3 I4 I18 D10", f"""
 WITH {_SCORED}
-SELECT order_key, round(yhat, 4) + 0.0 AS yhat, round(residual, 4) + 0.0 AS residual FROM scored""")
+SELECT order_key, round(yhat, 2) + 0.0 AS yhat, round(residual, 2) + 0.0 AS residual FROM scored""")
 def ols_score(spark, sf):
-    return round_all(_scored(spark, sf).select("order_key", "yhat", "residual"), 4)
+    return round_all(_scored(spark, sf).select("order_key", "yhat", "residual"), 2)
 
 
 @query("I5 E11", f"""
@@ -140,7 +145,7 @@ def results_percentiles(spark, sf):
 
 @query("A13 D10", f"""
 WITH {_SCORED}
-SELECT order_key, round(residual, 4) + 0.0 AS residual, round(yhat, 4) + 0.0 AS yhat FROM scored""")
+SELECT order_key, round(residual, 2) + 0.0 AS residual, round(yhat, 2) + 0.0 AS yhat FROM scored""")
 def residual_sink(spark, sf):
     """Residuals and predictions written to CSV under their keys, read back and joined."""
     written = files.write_model_outputs(
@@ -149,7 +154,7 @@ def residual_sink(spark, sf):
     left = files.read_keyed_csv(spark, written["residuals"], ["order_key"], {"residual": "double"})
     right = files.read_keyed_csv(spark, written["predict"], ["order_key"], {"yhat": "double"})
     both = left.join(right, "order_key")
-    return round_all(both.withColumn("order_key", F.col("order_key").cast("long")), 4)
+    return round_all(both.withColumn("order_key", F.col("order_key").cast("long")), 2)
 
 
 _OLS_SMALL = sqlkit.ols_ctes("facts", Y, X[:2], "small")
@@ -285,7 +290,7 @@ def boxcox_best(spark, sf):
 
 @query("I11")
 def boxcox_refine(spark, sf):
-    rounds = boxcox.refine(_facts(spark, sf), Y, _BX)
+    rounds = boxcox.refine(_stored_facts(spark, sf), Y, _BX)
     rows = [(i, p.best, min(s for _, s in p.points), len(p.points)) for i, p in enumerate(rounds, 1)]
     return round_all(spark.createDataFrame(rows, "round int, best double, sse double, fits int"))
 
@@ -296,11 +301,11 @@ _POWER = 0.55
 @query("I12 B30", f"""
 WITH {st.FACTS_SQL}, raised AS (SELECT *, pow(gross, {_POWER}) AS y_power FROM facts),
 {sqlkit.ols_ctes('raised', 'y_power', X)}
-SELECT order_key, round(y_power, 5) + 0.0 AS y_power, round({_FIT}, 5) + 0.0 AS yhat FROM raised, ols""")
+SELECT order_key, round(y_power, 4) + 0.0 AS y_power, round({_FIT}, 4) + 0.0 AS yhat FROM raised, ols""")
 def transformed_model(spark, sf):
-    raised = _facts(spark, sf).withColumn("y_power", power(Y, _POWER))
+    raised = _stored_facts(spark, sf).withColumn("y_power", power(Y, _POWER))
     scored = ls.fit(raised, "y_power", X).score(raised)
-    return round_all(scored.select("order_key", "y_power", "yhat"), 5)
+    return round_all(scored.select("order_key", "y_power", "yhat"), 4)
 
 
 @query("B27 I1 I17", f"""
@@ -403,7 +408,7 @@ SELECT CAST(size AS INTEGER) AS size, round(ln(e), 6) + 0.0 AS log_error,
        CAST(replicates AS INTEGER) AS replicates,
        e = min(e) OVER () AS chosen FROM errors""")
 def best_subset_cv(spark, sf):
-    found = selection.best_subset_cv(_facts(spark, sf), Y, _POOL, "order_key", _REPLICATES)
+    found = selection.best_subset_cv(_stored_facts(spark, sf), Y, _POOL, "order_key", _REPLICATES)
     return found.frame(spark).select("size", rounded(F.ln("cv_error"), 6).alias("log_error"),
                                      "replicates", "chosen")
 
@@ -423,7 +428,7 @@ SELECT round(sqrt(avg(pow(gross - ({sqlkit.fitted(X, 'full_fit')}), 2))), 4) + 0
        round(sqrt(avg(pow(gross - ({sqlkit.fitted(X[:2], 'small_fit')}), 2))), 4) + 0.0 AS small_model,
        count(*) AS n FROM validation, full_fit, small_fit""")
 def rmspe(spark, sf):
-    validation, training = keyed_split(_facts(spark, sf), "order_key", 0.2, 37)
+    validation, training = keyed_split(_stored_facts(spark, sf), "order_key", 0.2, 37)
     full = ls.fit(training, Y, X)
     small = full.subset(X[:2])
     return validation.agg(
@@ -435,11 +440,11 @@ def rmspe(spark, sf):
 WITH {_SCORED},
 ranked AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(order_key AS VARCHAR) || ':101')) AS rn,
                   count(*) OVER () AS total FROM scored)
-SELECT order_key, round(gross, 4) + 0.0 AS observed, round(yhat, 4) + 0.0 AS fitted,
-       round(residual, 4) + 0.0 AS residual, round(abs(residual), 4) + 0.0 AS abs_residual
+SELECT order_key, round(gross, 2) + 0.0 AS observed, round(yhat, 2) + 0.0 AS fitted,
+       round(residual, 2) + 0.0 AS residual, round(abs(residual), 2) + 0.0 AS abs_residual
 FROM ranked WHERE rn <= floor(total * 0.1)""")
 def model_plot_feed(spark, sf):
-    return round_all(feeds.model_plot_rows(_scored(spark, sf), "order_key", Y, "yhat", "residual"), 4)
+    return round_all(feeds.model_plot_rows(_scored(spark, sf), "order_key", Y, "yhat", "residual"), 2)
 
 
 def _register_study(variant: str) -> None:

@@ -144,12 +144,12 @@ def lag_cumulative(spark, sf):
 @query("F2", f"""
 WITH {_SPEND_SQL}
 SELECT o_custkey, date, CAST(year(date) AS INTEGER) AS yr,
-       round(avg(spent) OVER (PARTITION BY o_custkey, year(date) ORDER BY date), 4) + 0.0 AS mean_so_far
+       round(avg(spent) OVER (PARTITION BY o_custkey, year(date) ORDER BY date), 6) + 0.0 AS mean_so_far
 FROM spend""")
 def running_means(spark, sf):
     yearly = _spend(spark, sf).withColumn("yr", F.year("date"))
     return yearly.select("o_custkey", "date", "yr",
-                         rounded(running_mean("spent", ["o_custkey", "yr"], "date"), 4)
+                         rounded(running_mean("spent", ["o_custkey", "yr"], "date"), 6)
                          .alias("mean_so_far"))
 
 
