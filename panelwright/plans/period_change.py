@@ -91,6 +91,15 @@ def stages(panel: DataFrame, population: DataFrame, periods: Sequence[Period],
     return listed
 
 
+def show_stages(listed: Sequence[tuple[str, DataFrame]], final_only: bool = False,
+                rows: int = 5) -> None:
+    """Print the columns and some rows of every stage, or of the last one."""
+    first = len(listed) - 1 if final_only else 0
+    for position, (name, frame) in list(enumerate(listed))[first:]:
+        print(f"stage {position}: {name} ({', '.join(f'{c} {t}' for c, t in frame.dtypes)})")
+        frame.show(rows, truncate=False)
+
+
 def period_means(panel: DataFrame, before: Period, after: Period,
                  names: PanelColumns = PanelColumns()) -> DataFrame:
     """Mean daily increase of each key in both periods, for keys that report both last days.

@@ -100,12 +100,15 @@ class Study:
 
 
 def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 100.0),
-            validation: float = 0.2, seed: int = 37, replicates: int = 100) -> Study:
+            validation: float = 0.2, seed: int = 37, replicates: int = 100,
+            raw_power: bool = False) -> Study:
     """Fit, test, transform, select, compare and validate, on one keyed split.
 
     The design is written to the shared folder once, since every later step reads it.
     A shift that leaves the response non-positive is skipped, and so is the search for best
-    subsets when elimination leaves no predictor, or too many or too few rows for it.
+    subsets when elimination leaves no predictor, or too many or too few rows for it. With
+    ``raw_power`` the found exponents apply to the response as it is; its negative values
+    then have no power, and their rows are left out and counted.
     """
     frame, terms = regression_design(dataset, variant)
     frame = stored(frame)
@@ -119,8 +122,8 @@ def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 1
 
     def transform(shift: float) -> tuple[list[boxcox.Profile], ls.LinearModel, DataFrame]:
         rounds = boxcox.refine(training, RESPONSE, terms, shift)
-        powered = training.withColumn(
-            "y_power", power(F.col(RESPONSE) + F.lit(shift), rounds[-1].best))
+        base = F.col(RESPONSE) + F.lit(0.0 if raw_power else float(shift))
+        powered = training.withColumn("y_power", power(base, rounds[-1].best))
         model = ls.fit(powered, "y_power", terms)
         return rounds, model, model.score(powered)
 

@@ -44,6 +44,11 @@ def _sorted_rows(columns, rows):
     return sorted(columns), sorted(plain, key=repr)
 
 
+# Column types of both engines that count as the same.
+SAME_TYPES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string",
+              "DATE": "date", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz"}
+
+
 def compare(spark_df, con, sql: str) -> str | None:
     """None when equal, else what differs."""
     got_columns, got = _sorted_rows(spark_df.columns, spark_df.collect())
@@ -51,6 +56,10 @@ def compare(spark_df, con, sql: str) -> str | None:
     want_columns, want = _sorted_rows([d[0] for d in cursor.description], cursor.fetchall())
     if got_columns != want_columns:
         return f"columns {got_columns} against {want_columns}"
+    types = dict(spark_df.dtypes)
+    for name, kind, *_ in cursor.description:
+        if SAME_TYPES.get(str(kind)) != types[name]:
+            return f"type of {name}: {types[name]} against {kind}"
     if len(got) != len(want):
         return f"{len(got)} rows against {len(want)}"
     for g, w in zip(got, want):

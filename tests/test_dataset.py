@@ -130,5 +130,9 @@ def test_study_on_a_known_effect(spark):
     assert found.outputs.count() == 1500
     table = found.results.groupBy("state").agg(F.countDistinct("alt2_rsq_state").alias("n")).collect()
     assert len(table) == 9 and all(r["n"] == 1 for r in table)
+    raw = study.analyse(data, "alt2", shifts=[67.0], replicates=5, raw_power=True)
+    negative = data.filter(f"{study.RESPONSE} < 0").count()
+    assert 0 < raw.transformed[67.0].dropped <= negative
+    assert found.transformed[67.0].dropped == 0
     sections = {r["section"] for r in found.report(spark).collect()}
     assert {"full", "step", "rmspe", "shapiro", "boxcox_shift_67", "best_subset"} <= sections

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as some
 
+from pyspark.sql import functions as F
+
 from panelwright.operators import ordering as od, summary as sm
 from panelwright.runtime import scratch_path, shared_folder, stored
 
@@ -55,6 +57,19 @@ def test_global_rank_equals_sorting(spark):
     assert ranked[0].asDict().keys() == {"k", "v", "rank"}
 
 
+def test_a_value_shared_by_a_third_of_the_rows_is_split(spark):
+    rows = spark.range(60_000).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(1)).alias("v"))
+    sizes = [r["n"] for r in rows.repartitionByRange(8, "v", "k").groupBy(
+        F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * 60_000 / 8
+    ranked = od.global_rank(rows, ["v", "k"])
+    facts = ranked.agg(F.min("rank"), F.max("rank"), F.countDistinct("rank")).first()
+    assert tuple(facts) == (1, 60_000, 60_000)
+    median = od.column_quantiles(rows, ["v"], [0.5], 0)["v"][0]
+    assert median == 0.5
+
+
 def test_global_rank_needs_no_single_partition(spark):
     ranked = od.global_rank(_frame(spark, [float(i) for i in range(100)]), ["v", "k"])
     assert "SinglePartition" not in ranked._jdf.queryExecution().toString()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.operators.panel import Period, daily_totals
-from panelwright.plans.period_change import PanelColumns, period_change, stages
+from panelwright.plans.period_change import PanelColumns, period_change, show_stages, stages
 
 BEFORE = Period(dt.date(2020, 6, 9), dt.date(2020, 6, 16))
 AFTER = Period(dt.date(2020, 7, 14), dt.date(2020, 7, 21))
@@ -96,6 +96,15 @@ def test_stage_names_in_order(spark):
         "weekly_mean", "previous_period", "difference", "complete"]
 
 
+def test_stages_can_be_shown(spark, capsys):
+    listed = stages(_panel(spark, {"a": _steady(1, 3)}), _people(spark, {"a": 1e4}), [BEFORE, AFTER])
+    show_stages(listed)
+    assert capsys.readouterr().out.count("stage ") == 10
+    show_stages(listed, final_only=True)
+    shown = capsys.readouterr().out
+    assert shown.startswith("stage 9: complete") and "|a" in shown
+
+
 def test_other_column_names(spark):
     names = PanelColumns(key="site", date="day", total="total", carried=(), unused=(),
                          population_key="id", population="size", first_weekday="wednesday")
