@@ -60,9 +60,9 @@ def panel(spark: SparkSession, sf: str, until: dt.date | None = None) -> DataFra
         next_day = F.lit(until + dt.timedelta(days=1)).cast("timestamp_ntz")
         events = events.filter(F.col("ts") < next_day)
     daily = daily_totals(
-        events, [county_key("user_id").alias(key)], "ts",
+        events, ["user_id"], "ts",
         {"cases": F.count("*"), "errors": F.count_if(F.col("event_type") == "error")})
-    cumulative = daily.select(
+    cumulative = daily.withColumn(key, county_key("user_id")).select(
         key, "date", running_total("cases", key, "date").alias("confirmed_cases"),
         running_total("errors", key, "date").alias("deaths"))
     people = table(spark, sf, "customer").select(
@@ -79,10 +79,11 @@ def balances(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shares(spark: SparkSession, sf: str) -> DataFrame:
-    counted = table(spark, sf, "events").groupBy(county_key("user_id").alias("county_fips_code")).agg(
+    counted = table(spark, sf, "events").groupBy("user_id").agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("event_type") == e).alias(c) for c, e in SHARE_EVENTS.items()])
-    return counted.select("county_fips_code", *[ratio(c, "n").alias(c) for c in SHARE_COLUMNS])
+    return counted.select(county_key("user_id").alias("county_fips_code"),
+                          *[ratio(c, "n").alias(c) for c in SHARE_COLUMNS])
 
 
 def policy(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,8 +98,9 @@ def policy(spark: SparkSession, sf: str) -> DataFrame:
         "stringency_index": F.max("o_totalprice") / 5000, "testing_policy": F.count("*")}
     region = F.concat(country, state_of("c_nationkey")).alias("region_code")
     return (orders.join(homes, F.col("o_custkey") == F.col("c_custkey"))
-            .groupBy(region, F.trunc("o_orderdate", "month").alias("date"))
-            .agg(*[agg.alias(name) for name, agg in figures.items()]))
+            .groupBy("c_nationkey", F.trunc("o_orderdate", "month").alias("date"))
+            .agg(*[agg.alias(name) for name, agg in figures.items()])
+            .select(region, "date", *figures))
 
 
 def census(spark: SparkSession, sf: str) -> DataFrame:
