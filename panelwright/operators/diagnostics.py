@@ -11,7 +11,7 @@ from panelwright.functions.normal import inverse_normal
 from panelwright.functions.tails import f_upper, normal_quantile, normal_upper, t_two_sided
 from panelwright.operators.leastsquares import LinearModel
 from panelwright.operators.ordering import (
-    SMALL_ROWS, global_rank, median_of, quantiles, usable,
+    SMALL_ROWS, median_of, quantiles, ranked_with_count, usable,
 )
 
 # Royston (1995), algorithm AS R94. Coefficients ascend.
@@ -48,16 +48,17 @@ def nested_f_test(small: LinearModel, big: LinearModel) -> TestResult:
     return TestResult(statistic, df1, df2, f_upper(statistic, df1, df2))
 
 
-def brown_forsythe(df: DataFrame, residual: str, by: str,
-                   small_rows: int = SMALL_ROWS) -> TestResult:
+def brown_forsythe(df: DataFrame, residual: str, by: str, small_rows: int = SMALL_ROWS,
+                   n: int | None = None) -> TestResult:
     """Is the residual spread the same below and above the median of ``by``?
 
     A pooled two-sample t test on absolute deviations from the group medians; values equal
-    to the median count as below.
+    to the median count as below. The frame is read three times, and once more to count its
+    rows unless ``n`` bounds them.
     """
     rows = (df.select(F.col(residual).cast("double").alias("e"), F.col(by).cast("double").alias("x"))
             .filter(usable("e") & usable("x")))
-    n = rows.count()
+    n = rows.count() if n is None else n
     middle = median_of(rows, "x", small_rows, n)
     if middle is None:
         return TestResult(None, None, None, None)
@@ -87,8 +88,7 @@ def brown_forsythe(df: DataFrame, residual: str, by: str,
 def normal_pairs(df: DataFrame, value: str, key: str) -> DataFrame:
     """Every value with its rank, plotting position and normal score."""
     rows = (df.select(key, F.col(value).cast("double").alias(value)).filter(usable(value)))
-    ranked = global_rank(rows, [value, key])
-    n = ranked.count()
+    ranked, n = ranked_with_count(rows, [value, key])
     offset = 0.375 if n <= 10 else 0.5
     position = (F.col("rank") - F.lit(offset)) / F.lit(n + 1 - 2 * offset)
     return (ranked.withColumn("position", position)
@@ -120,10 +120,9 @@ def _shapiro_p(w: float, n: int) -> float | None:
 def shapiro_wilk(df: DataFrame, value: str, key: str) -> TestResult:
     """Normality test. W for any size; the p-value up to 5000 values, as the method covers."""
     rows = (df.select(key, F.col(value).cast("double").alias("v")).filter(usable("v")))
-    ranked = global_rank(rows, ["v", key])
-    facts = ranked.agg(F.count("v").alias("n"), F.avg("v").alias("mean"),
-                       F.min("v").alias("low"), F.max("v").alias("high")).first()
-    n = facts["n"]
+    ranked, n = ranked_with_count(rows, ["v", key])
+    facts = ranked.agg(F.avg("v").alias("mean"), F.min("v").alias("low"),
+                       F.max("v").alias("high")).first()
     if n < 3 or facts["low"] == facts["high"]:
         return TestResult(None, None, n, None)
     score = inverse_normal((F.col("rank") - 0.375) / F.lit(n + 0.25))

@@ -112,7 +112,13 @@ def median_of(df: DataFrame, column: str, small_rows: int = SMALL_ROWS,
 
 
 def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """1-based rank of every row, as an unpartitioned row_number would number them.
+    """The frame with a global rank; see ``ranked_with_count``."""
+    return ranked_with_count(df, order, name)[0]
+
+
+def ranked_with_count(df: DataFrame, order: Sequence[str],
+                      name: str = "rank") -> tuple[DataFrame, int]:
+    """1-based rank of every row, as an unpartitioned row_number gives it, and the row count.
 
     ``order`` should end in a unique column: it makes the rank definite and lets the range
     partitioning split a value that many rows share. The sorted rows are written once
@@ -131,10 +137,11 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> Data
         offsets.append((size["part"], total))
         total += size["n"]
     lookup = df.sparkSession.createDataFrame(offsets, "__part long, __offset long")
-    return (placed.withColumn("__part", part)
-            .join(F.broadcast(lookup), "__part")
-            .withColumn(name, F.col("__offset") + row + F.lit(1))
-            .drop("__part", "__offset", position))
+    ranked = (placed.withColumn("__part", part)
+              .join(F.broadcast(lookup), "__part")
+              .withColumn(name, F.col("__offset") + row + F.lit(1))
+              .drop("__part", "__offset", position))
+    return ranked, total
 
 
 def keyed_hash(key: str | Column, seed: int) -> Column:

@@ -136,17 +136,20 @@ def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 1
         except selection.TooFewRows:
             return None
 
+    def constant_spread(rows: DataFrame, residual: str, by: str) -> diagnostics.TestResult:
+        return diagnostics.brown_forsythe(rows, residual, by, n=full.n)
+
     # Steps that do not need each other submit their jobs side by side.
     with ThreadPoolExecutor(4) as pool:
         searching = pool.submit(best_subsets)
         moved = dict(zip(usable_shifts, pool.map(transform, usable_shifts)))
         asked = {
-            "brown_forsythe": (diagnostics.brown_forsythe, scored, "residual", "yhat"),
+            "brown_forsythe": (constant_spread, scored, "residual", "yhat"),
             "shapiro": (diagnostics.shapiro_wilk, scored, "residual", KEY),
             "step_shapiro": (diagnostics.shapiro_wilk, scored, "step_residual", KEY)}
         for shift, (_, _, rows) in moved.items():
             asked[f"power_{shift:g}_brown_forsythe"] = (
-                diagnostics.brown_forsythe, rows, "residual", "yhat")
+                constant_spread, rows, "residual", "yhat")
             asked[f"power_{shift:g}_shapiro"] = (diagnostics.shapiro_wilk, rows, "residual", KEY)
         pending = {name: pool.submit(*call) for name, call in asked.items()}
         tests = {name: job.result() for name, job in pending.items()}

@@ -7,6 +7,8 @@ equations with the sweep operator, independently of the QR used by the queries.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from panelwright.functions.shares import interactions, power
@@ -253,23 +255,34 @@ _BX = ["quantity", "lines"]
 _GRID = boxcox.exponent_grid(-30, 30, 10)
 
 
-def _profile_sql(grid, source: str = "facts", y: str = "gross", xs=_BX) -> str:
-    values = ", ".join(f"({e!r}::DOUBLE)" for e in grid)
+def _values(grid) -> str:
+    return "VALUES " + ", ".join(f"({e!r}::DOUBLE)" for e in grid)
+
+
+def _profile_sql(exponents: str, source: str = "facts", y: str = "gross", xs=_BX,
+                 name: str = "profile") -> str:
+    """CTE ``name`` (lambda, sse) over a query that lists the exponents."""
     width = len(xs) + 1
-    inner, matrix = f"SELECT lam, {sqlkit.gram([*xs, 'w'])} AS a FROM t GROUP BY lam", "a"
+    inner, matrix = f"SELECT lam, {sqlkit.gram([*xs, 'w'])} AS a FROM {name}_t GROUP BY lam", "a"
     for k in range(len(xs)):
         inner = f"SELECT lam, {sqlkit.swept(width, str(k), matrix)} AS a FROM ({inner})"
     return f"""
-k AS (SELECT exp(avg(ln({y}))) AS g FROM {source}),
-l(lam) AS (VALUES {values}),
-t AS (SELECT lam, {', '.join(xs)},
+{name}_k AS (SELECT exp(avg(ln({y}))) AS g FROM {source}),
+{name}_l(lam) AS ({exponents}),
+{name}_t AS (SELECT lam, {', '.join(xs)},
              CASE WHEN lam = 0 THEN g * ln({y}) ELSE g * pow({y} / g, lam) / nullif(lam, 0) END AS w
-      FROM {source}, k, l),
-profile AS (SELECT lam AS "lambda", a[{width * width}] AS sse FROM ({inner}))"""
+      FROM {source}, {name}_k, {name}_l),
+{name} AS (SELECT lam AS "lambda", a[{width * width}] AS sse FROM ({inner}))"""
+
+
+def _finer(profile: str, per_unit: int) -> str:
+    """Exponents at steps of 1/per_unit around the best of a profile, two former steps either way."""
+    return (f'SELECT (round(best * {per_unit // 10}) * 10 + i) / {per_unit}::DOUBLE FROM '
+            f'(SELECT min_by("lambda", (sse, "lambda")) AS best FROM {profile}), range(-20, 21) s(i)')
 
 
 @query("I10 J4 B30", f"""
-WITH {st.FACTS_SQL}, {_profile_sql(_GRID)}
+WITH {st.FACTS_SQL}, {_profile_sql(_values(_GRID))}
 SELECT "lambda", round(ln(sse), 6) + 0.0 AS log_sse FROM profile""")
 def boxcox_profile(spark, sf):
     found = boxcox.profile(_facts(spark, sf), Y, _BX, _GRID)
@@ -278,7 +291,7 @@ def boxcox_profile(spark, sf):
 
 @query("G3 I10 B29", f"""
 WITH moved AS (SELECT c_acctbal + 1100 AS y, c_custkey::DOUBLE AS x1, c_nationkey::DOUBLE AS x2 FROM customer),
-{_profile_sql(_GRID, 'moved', 'y', ['x1', 'x2'])}
+{_profile_sql(_values(_GRID), 'moved', 'y', ['x1', 'x2'])}
 SELECT min_by("lambda", (sse, "lambda")) AS best, round(ln(min(sse)), 6) + 0.0 AS log_sse FROM profile""")
 def boxcox_best(spark, sf):
     people = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
@@ -288,11 +301,18 @@ def boxcox_best(spark, sf):
                      rounded(F.ln(F.min("sse")), 6).alias("log_sse"))
 
 
-@query("I11")
+@query("I11", f"""
+WITH {st.FACTS_SQL}, {_profile_sql(_values(_GRID), name='r1')},
+{_profile_sql(_finer('r1', 100), name='r2')}, {_profile_sql(_finer('r2', 1000), name='r3')}
+{' UNION ALL '.join(f"""
+SELECT {i}::INTEGER AS round, round(min_by("lambda", (sse, "lambda")), 6) + 0.0 AS best,
+       round(ln(min(sse)), 8) + 0.0 AS log_sse, count(*)::INTEGER AS fits FROM r{i}""" for i in (1, 2, 3))}""")
 def boxcox_refine(spark, sf):
     rounds = boxcox.refine(_stored_facts(spark, sf), Y, _BX)
-    rows = [(i, p.best, min(s for _, s in p.points), len(p.points)) for i, p in enumerate(rounds, 1)]
-    return round_all(spark.createDataFrame(rows, "round int, best double, sse double, fits int"))
+    rows = [(i, p.best, math.log(min(s for _, s in p.points)), len(p.points))
+            for i, p in enumerate(rounds, 1)]
+    frame = spark.createDataFrame(rows, "round int, best double, log_sse double, fits int")
+    return round_all(frame, log_sse=8)
 
 
 _POWER = 0.55
