@@ -33,13 +33,15 @@ def drop_table(spark: SparkSession, table: str) -> None:
 
 def load_table(spark: SparkSession, table: str, df: DataFrame | None = None,
                query: str | None = None, file: str | None = None, overwrite: bool = True,
-               preview_rows: int = 0, schema: str | None = None,
-               path: str | None = None) -> str:
+               preview_rows: int = 0, schema: str | None = None, path: str | None = None,
+               buckets: tuple[int, str] | None = None) -> str:
     """Load a table from a frame, a query or a CSV file, whichever is given first.
 
     With ``overwrite`` an existing table is replaced, otherwise the rows are appended. The
     types of a CSV file are inferred from all of its rows unless ``schema`` states them, which
     saves a pass. ``path`` puts the files of a new table where the caller wants them.
+    ``buckets`` (how many, by which column) stores a panel by its key, so that the windows and
+    joins on that key need no exchange later.
     """
     if df is not None:
         rows = df
@@ -53,6 +55,9 @@ def load_table(spark: SparkSession, table: str, df: DataFrame | None = None,
     writer = rows.write.mode("overwrite" if overwrite else "append")
     if path is not None:
         writer = writer.option("path", path)
+    if buckets is not None:
+        count, key = buckets
+        writer = writer.bucketBy(count, key).sortBy(key)
     writer.saveAsTable(table)
     if preview_rows > 0:
         head(spark, table, preview_rows)

@@ -61,6 +61,27 @@ def test_stored_panel_is_filtered_in_the_scan_and_exchanged_once(stored):
     assert found.count() == 40
 
 
+def test_bucketed_panel_needs_no_exchange(spark, stored):
+    from panelwright.sources.tables import drop_table, load_table, read_table
+    panel, people = stored
+    load_table(spark, "bucketed_panel", df=panel, buckets=(4, "county_fips_code"))
+    load_table(spark, "bucketed_people", df=people, buckets=(4, "geo_id"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        found = period_change(
+            read_table(spark, "bucketed_panel"), read_table(spark, "bucketed_people"),
+            Period(dt.date(2020, 6, 9), dt.date(2020, 6, 16)),
+            Period(dt.date(2020, 7, 14), dt.date(2020, 7, 21)))
+        assert "Exchange" not in _plan(found)
+        assert found.count() == 40
+    finally:
+        spark.conf.set(threshold, before)
+        drop_table(spark, "bucketed_panel")
+        drop_table(spark, "bucketed_people")
+
+
 def test_policy_filters_and_unused_columns_stay_out_of_the_scan(spark, tmp_path):
     policies = [*ds.POLICY_COLUMNS, *ds.OTHER_POLICY_COLUMNS]
     day = dt.date(2020, 6, 9)

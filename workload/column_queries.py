@@ -339,8 +339,7 @@ joined AS (
          avg(c.new_cases_per_10k_difference) OVER () AS new_cases_mu,
          stddev_pop(c.new_cases_per_10k_difference) OVER () AS new_cases_sigma,
          a.* EXCLUDE (geo_id),
-         total_pop - (white_pop + black_pop + asian_pop + hispanic_pop + amerindian_pop)
-           AS other_not_disclosed
+         total_pop - ({' + '.join(ds.GROUP_COLUMNS)}) AS other_not_disclosed
   FROM shares m JOIN change c USING (county_fips_code)
   JOIN maxima p ON substring(p.region_code, 4, 2) = c.state
   JOIN census a ON a.geo_id = c.county_fips_code AND a.median_income IS NOT NULL
