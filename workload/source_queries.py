@@ -123,14 +123,15 @@ def geojson_features(spark, sf):
 
 
 @query("A11 D9 J2", f"""
-WITH v AS (SELECT {st._key_sql('user_id')} AS id, avg(value) AS mean FROM events GROUP BY 1)
-SELECT id, round(least(greatest(mean, 45), 55), 6) + 0.0 AS colour, printf('%.4f', mean) AS "Mean ",
+WITH v AS (SELECT {st._key_sql('user_id')} AS id, sqrt(avg(value * value)) AS size FROM events GROUP BY 1)
+SELECT id, round(least(greatest(size, 60), 75), 6) + 0.0 AS colour, printf('%.4f', size) AS "Size ",
        c_name AS name FROM v LEFT JOIN customer ON {st._key_sql('c_custkey')} = id""")
 def map_with_shapes(spark, sf):
     shapes = files.read_geojson(spark, _features(spark, sf, "map"), "NAME string, STATE int",
                                 one_feature_per_line=True)
-    means = table(spark, sf, "events").groupBy(st.county_key("user_id").alias("id")).agg(
-        F.avg("value").alias("mean"))
-    rows = map_rows(means, "id", "mean", (45.0, 55.0), {"mean": "Mean "}, {"mean": 4})
+    sizes = table(spark, sf, "events").groupBy("user_id").agg(
+        F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("size"))
+    keyed = sizes.withColumn("id", st.county_key("user_id"))
+    rows = map_rows(keyed, "id", "size", (60.0, 75.0), {"size": "Size "}, {"size": 4})
     named = shapes.select("id", F.col("properties.NAME").alias("name"))
     return round_all(with_shapes(rows, named, "id"))
