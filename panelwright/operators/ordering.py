@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,6 +13,9 @@ from panelwright.runtime import stored
 # Up to this many rows a variable's values are sorted as one array in one task.
 SMALL_ROWS = 1_000_000
 
+# Brackets around wanted quantiles are four ten-thousandths of the rows wide.
+_SKETCH_ACCURACY = 10_000
+
 _HEX_STEP = 4
 _HEX_DIGITS = 32
 
@@ -37,11 +40,11 @@ def quantiles(values: DataFrame, probs: Sequence[float], small_rows: int = SMALL
               rows: int | None = None) -> dict[str, list[float]]:
     """Exact quantiles per ``variable`` of a frame (variable, value), interpolated linearly.
 
-    Few rows are sorted as one array per variable. Beyond ``small_rows`` equal values are
-    counted first, the distinct values are range-partitioned, and only the partitions that
-    hold a wanted rank are looked into, so neither hot values nor many distinct ones end in
-    one task. Only the answers and one count per partition come to the driver. A caller who
-    knows how many rows a variable has at most passes ``rows`` and saves the counting.
+    Few rows are sorted as one array per variable. Beyond ``small_rows`` a sketch brackets
+    every wanted quantile, rows outside the brackets are only counted, and the small rest is
+    ranked; see ``_ranked_values``. Only the answers, a count per bracket and one per
+    partition come to the driver. A caller who knows how many rows a variable has at most
+    passes ``rows`` and saves the counting.
     """
     probs = [float(p) for p in probs]
     if small_rows > 0 and (values.count() if rows is None else rows) <= small_rows:
@@ -56,46 +59,113 @@ def quantiles(values: DataFrame, probs: Sequence[float], small_rows: int = SMALL
         answers = ordered.select("variable", F.array(*[at(p) for p in probs]).alias("q")).collect()
         return {r["variable"]: list(r["q"]) for r in answers}
 
+    sizes, brackets = _brackets(values, probs)
+    ranks = {v: sorted({r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
+             for v, n in sizes.items()}
+    at_rank = _ranked_values(values, ranks, brackets)
+    if at_rank is None:  # a bracket missed its rank: take every row
+        at_rank = _ranked_values(values, ranks, {v: [(-math.inf, math.inf)] for v in sizes})
+    answer = {}
+    for variable, n in sizes.items():
+        positions = [(n - 1) * p for p in probs]
+        answer[variable] = [
+            _interpolate(at_rank[variable, math.floor(h)], at_rank[variable, math.ceil(h)], h)
+            for h in positions]
+    return answer
+
+
+def _brackets(values: DataFrame, probs: Sequence[float]
+              ) -> tuple[dict[str, int], dict[str, list[tuple[float, float]]]]:
+    """Row count, and disjoint value ranges around the wanted quantiles, per variable."""
+    slack = 2 / _SKETCH_ACCURACY
+    edges = sorted({e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))})
+    found = values.groupBy("variable").agg(
+        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.percentile_approx("value", edges, _SKETCH_ACCURACY).alias("edges")).collect()
+    sizes, brackets = {}, {}
+    for row in found:
+        at = dict(zip(edges, row["edges"]))
+        at[0.0], at[1.0] = row["low"], row["high"]
+        merged: list[tuple[float, float]] = []
+        for low, high in sorted((at[max(0.0, p - slack)], at[min(1.0, p + slack)]) for p in probs):
+            if merged and low <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+            else:
+                merged.append((low, high))
+        sizes[row["variable"]], brackets[row["variable"]] = row["n"], merged
+    return sizes, brackets
+
+
+def _zone(brackets: Mapping[str, list[tuple[float, float]]]) -> Column:
+    """Position of a value among its variable's brackets: odd inside one, even between them."""
+    value, zone = F.col("value"), F.lit(None).cast("int")
+    for variable, ranges in brackets.items():
+        own = F.lit(0)
+        for low, high in ranges:
+            own = own + F.when(value > F.lit(high), 2).when(value >= F.lit(low), 1).otherwise(0)
+        zone = F.when(F.col("variable") == variable, own).otherwise(zone)
+    return zone
+
+
+def _ranked_values(values: DataFrame, ranks: Mapping[str, Sequence[int]],
+                   brackets: Mapping[str, list[tuple[float, float]]]
+                   ) -> dict[tuple[str, int], float] | None:
+    """Values at 0-based ranks, or None when a rank lies outside the brackets.
+
+    Inside the brackets equal values are counted first, so a hot value is one row; the
+    distinct values are range-partitioned, and only the partitions that hold a wanted rank
+    are looked into.
+    """
+    zoned = values.withColumn("zone", _zone(brackets))
+    counted = zoned.groupBy("variable", "zone").agg(F.count("*").alias("n")).collect()
+    zones: dict[str, list[tuple[int, int]]] = {}
+    for row in sorted(counted, key=lambda r: (r["variable"], r["zone"])):
+        zones.setdefault(row["variable"], []).append((row["zone"], row["n"]))
+
+    kept_ranks: dict[str, dict[int, int]] = {}
+    for variable, wanted in ranks.items():
+        kept_ranks[variable] = {}
+        for rank in wanted:
+            begin = skipped = 0
+            for zone, n in zones[variable]:
+                if rank < begin + n:
+                    break
+                begin += n
+                skipped += n if zone % 2 == 0 else 0
+            if zone % 2 == 0:
+                return None
+            kept_ranks[variable][rank] = rank - skipped
+
     spread = stored(
-        values.groupBy("variable", "value").agg(F.count("*").alias("copies"))
+        zoned.filter(F.col("zone").bitwiseAND(F.lit(1)) == 1)
+        .groupBy("variable", "value").agg(F.count("*").alias("copies"))
         .repartitionByRange("variable", "value")
         .withColumn("part", F.spark_partition_id()))
     totals = (spread.groupBy("variable", "part").agg(F.sum("copies").alias("total"))
               .orderBy("variable", "part").collect())
-
     starts: dict[str, list[tuple[int, int, int]]] = {}
     for row in totals:
         parts = starts.setdefault(row["variable"], [])
         begin = parts[-1][2] if parts else 0
         parts.append((row["part"], begin, begin + row["total"]))
 
-    wanted = []
-    for variable, parts in starts.items():
-        n = parts[-1][2]
-        ranks = {r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
-        for rank in ranks:
-            part, begin, _ = next(x for x in parts if x[1] <= rank < x[2])
-            wanted.append((variable, part, rank, rank - begin))
-    schema = "variable string, part int, rank long, inner_rank long"
-    asked = values.sparkSession.createDataFrame(wanted, schema)
+    asked = []
+    for variable, pairs in kept_ranks.items():
+        for rank, kept in pairs.items():
+            part, begin, _ = next(x for x in starts[variable] if x[1] <= kept < x[2])
+            asked.append((variable, part, rank, kept - begin))
+    lookup = values.sparkSession.createDataFrame(
+        asked, "variable string, part int, rank long, inner_rank long")
 
     running = Window.partitionBy("variable", "part").orderBy("value")
-    touched = F.broadcast(asked.select("variable", "part").distinct())
+    touched = F.broadcast(lookup.select("variable", "part").distinct())
     found = (
         spread.join(touched, ["variable", "part"])
         .withColumn("upto", F.sum("copies").over(running))
-        .join(F.broadcast(asked), ["variable", "part"])
+        .join(F.broadcast(lookup), ["variable", "part"])
         .filter("inner_rank < upto AND inner_rank >= upto - copies")
-        .select("variable", "rank", "value").collect()
-    )
-    at = {(r["variable"], r["rank"]): r["value"] for r in found}
-    answer = {}
-    for variable, parts in starts.items():
-        positions = [(parts[-1][2] - 1) * p for p in probs]
-        answer[variable] = [
-            _interpolate(at[variable, math.floor(h)], at[variable, math.ceil(h)], h)
-            for h in positions]
-    return answer
+        .select("variable", "rank", "value").collect())
+    return {(r["variable"], r["rank"]): r["value"] for r in found}
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

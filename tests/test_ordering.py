@@ -40,6 +40,41 @@ def test_quantiles_of_several_columns_skip_missing(spark, small_rows):
     assert found == {"a": [2.5], "b": [5.5]}
 
 
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "v double")
+    assert od.column_quantiles(empty, ["v"], [0.5], 0) == {}
+    assert od.column_quantiles(empty, ["v"], [0.5]) == {}
+
+
+def test_rows_outside_the_brackets_are_only_counted(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    values = np.concatenate([rng.normal(size=40_000), np.full(20_000, 0.25)])
+    rows = spark.createDataFrame(
+        [(float(v), float(-v)) for v in values], "a double, b double").repartition(6)
+    kept = []
+    write = od.stored
+    monkeypatch.setattr(od, "stored", lambda df: kept.append(write(df)) or kept[-1])
+    probs = [0, 0.1, 0.5, 0.6, 0.99, 1]
+    found = od.column_quantiles(rows, ["a", "b"], probs, 0)
+    assert found["a"] == pytest.approx(list(np.percentile(values, [100 * p for p in probs])), abs=1e-12)
+    assert found["b"] == pytest.approx(list(np.percentile(-values, [100 * p for p in probs])), abs=1e-12)
+    assert len(kept) == 1 and kept[0].count() < 1000
+
+
+def test_a_missed_bracket_falls_back_to_all_rows(spark, monkeypatch):
+    rows = _frame(spark, [float(i) for i in range(100)])
+    monkeypatch.setattr(od, "_brackets", lambda values, probs: ({"v": 100}, {"v": [(90.0, 95.0)]}))
+    assert od.column_quantiles(rows, ["v"], [0.5], 0) == {"v": [49.5]}
+
+
+def test_split_cut_over_several_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(od, "_HEX_STEP", 1)
+    rows = spark.range(777).withColumnRenamed("id", "k")
+    sample, _ = od.keyed_split(rows, "k", 0.35, 37)
+    by_hash = sorted(range(777), key=lambda k: hashlib.md5(f"{k}:37".encode()).hexdigest())
+    assert {r["k"] for r in sample.collect()} == set(by_hash[:271])
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(some.lists(some.floats(-1e6, 1e6), min_size=1, max_size=60))
 def test_ranged_quantiles_equal_numpy_on_any_list(spark, values):
