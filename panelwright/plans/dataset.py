@@ -7,12 +7,13 @@ co-partitions the rest.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+from panelwright.functions.calendar import month_number
 from panelwright.functions.keys import (
     METROPOLITAN_CLASSES, STATE_REGIONS, group_flags, group_label, has_prefix, leading_int,
     member_flag, restore_leading_zero, slice_text,
@@ -65,7 +66,7 @@ def policy_rows(tracker: DataFrame, days: Sequence[dt.date], prefix: str = "US")
 
 def with_previous_stringency(rows: DataFrame) -> DataFrame:
     """The stringency of the region's row before, within the month."""
-    dated = rows.withColumn("month", F.month("date"))
+    dated = rows.withColumn("month", month_number("date"))
     return dated.withColumn(
         "prev_stringency", previous_row("stringency_index", ["region_code", "month"], "date"))
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.functions.calendar import month_number
 from panelwright.functions.keys import (
     fixed_decimals, group_flags, group_label, has_prefix, leading_int, member_flag,
     restore_leading_zero, slice_text, STATE_REGIONS,
 )
 from panelwright.functions.shares import (
-    interactions, power, rate_per, ratio, redefine, remainder, row_sum, shares_of_total, shifted,
+    interactions, power, rate_per, redefine, remainder, row_sum, shares_of_total, shifted,
 )
 from panelwright.plans import dataset as ds
 from workload import standins as st

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.functions.calendar import week_number
+from panelwright.functions.calendar import month_number, week_number
 from panelwright.functions.shares import rate_per
 from panelwright.operators.panel import (
     daily_totals, in_spans, on_days, previous_row, running_mean, running_total,
 )
+from panelwright.plans.dataset import with_previous_stringency
 from panelwright.plans.period_change import period_change as change_plan, stages
 from workload import standins as st
 from workload.registry import query, round_all, rounded, table
@@ -111,7 +112,7 @@ SELECT CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS orders,
        round(avg(o_totalprice), 4) + 0.0 AS mean, round(sum(o_totalprice), 2) + 0.0 AS total
 FROM orders GROUP BY 1""")
 def month_totals(spark, sf):
-    return (table(spark, sf, "orders").groupBy(F.month("o_orderdate").alias("month"))
+    return (table(spark, sf, "orders").groupBy(month_number("o_orderdate").alias("month"))
             .agg(F.count("*").alias("orders"), F.min("o_totalprice").alias("least"),
                  F.max("o_totalprice").alias("greatest"),
                  rounded(F.avg("o_totalprice"), 4).alias("mean"),
@@ -161,7 +162,6 @@ SELECT region_code, date, CAST(month(date) AS INTEGER) AS month,
          AS prev_stringency
 FROM policy""")
 def lag_within_month(spark, sf):
-    from panelwright.plans.dataset import with_previous_stringency
     rows = st.policy(spark, sf).select("region_code", "date", "stringency_index")
     return round_all(with_previous_stringency(rows).select(
         "region_code", "date", "month", "stringency_index", "prev_stringency"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.operators import feeds, summary as sm
-from panelwright.operators.ordering import keyed_split, median_of, sample_flag
-from panelwright.operators.panel import previous_row  # noqa: F401
+from panelwright.operators.ordering import keyed_split, median_of, quantiles, sample_flag
 from workload import standins as st
 from workload.registry import query, round_all, rounded, table
 
@@ -81,7 +80,6 @@ def median_split(spark, sf):
     orders = table(spark, sf, "orders").select("o_totalprice")
     middle = median_of(orders, "o_totalprice")
     halves = orders.withColumn("half", F.when(F.col("o_totalprice") <= middle, 0).otherwise(1))
-    from panelwright.operators.ordering import quantiles
     centres = quantiles(halves.select(F.col("half").cast("string").alias("variable"),
                                       F.col("o_totalprice").alias("value")), [0.5])
     centre = F.when(F.col("half") == 0, F.lit(centres["0"][0])).otherwise(F.lit(centres["1"][0]))
