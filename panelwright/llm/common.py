@@ -24,6 +24,17 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """``df``, after lowering the session's limit of rows in an Arrow batch if it is higher.
+
+    Texts may be long, and a batch of them is held whole by the JVM and by the Python worker.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, rows)
+    return df
+
+
 def lower_ascii(text: str | Column) -> Column:
     """A-Z to a-z; other letters stay as they are."""
     return F.translate(text, UPPER, LOWER)
@@ -164,7 +175,12 @@ def bits_at(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _by_bitmap(docs: DataFrame, ids: DataFrame, column: str, want: bool) -> DataFrame:
+def rows_maybe_in(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``docs`` whose ``column`` may be in ``ids`` (same name): all that are, few others.
+
+    A bitmap of fixed size drops the rest where they are read, so that few texts are shuffled in the
+    join that has to follow.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(
         bitmap(ids, hash_place(column, ID_BITS)).tobytes())
 
@@ -172,21 +188,7 @@ def _by_bitmap(docs: DataFrame, ids: DataFrame, column: str, want: bool) -> Data
         bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             place = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield b.filter(pa.array(bits_at(bits, place) == want))
+            yield b.filter(pa.array(bits_at(bits, place)))
 
     marked = docs.filter(F.col(column).isNotNull()).withColumn("_place", hash_place(column, ID_BITS))
-    return marked.mapInArrow(keep, marked.schema).drop("_place")
-
-
-def rows_maybe_in(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of ``docs`` whose ``column`` may be in ``ids`` (same name): all that are, few others.
-
-    A bitmap of fixed size drops the rest where they are read, so that few texts are shuffled in the
-    join that has to follow.
-    """
-    return _by_bitmap(docs, ids, column, True)
-
-
-def rows_surely_out(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The other rows: those whose ``column`` is surely not in ``ids``."""
-    return _by_bitmap(docs, ids, column, False)
+    return small_batches(marked).mapInArrow(keep, marked.schema).drop("_place")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.llm.common import (
-    bitmap, bits_at, hashed_words, rows_maybe_in, stored, windows,
+    bitmap, bits_at, hashed_words, rows_maybe_in, small_batches, stored, windows,
 )
 
 MASKS = ("111111", "1101001011", "1011100101", "1110010011")
@@ -164,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_matches: int = 12, m
     while bits < 512 * keys.count() and bits < _MOST_BITS:
         bits *= 2
     filled = bitmap(keys, F.expr(f"hash & {bits - 1}L"), bits)
-    base = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(
+    base = small_batches(docs).filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(
         F.col("doc_id").cast("long"), F.xxhash64(F.col(text)).alias("digest"),
         F.col(text).alias("text"))
     hits = text_hits(base, filled, list(dict.fromkeys(seeds + short)))

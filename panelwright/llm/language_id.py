@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwright.llm.common import text_blocks
+from panelwright.llm.common import small_batches, text_blocks
 
 CELLS = 1 << 12
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic",
@@ -150,7 +150,7 @@ def train(labelled: DataFrame, sample_rows: int = 1600, families: Mapping[str, s
 def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str],
              text: str = "text") -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score``."""
-    base = docs.select(*keep, has_letter(F.col(text)).alias("_letter"),
+    base = small_batches(docs).select(*keep, has_letter(F.col(text)).alias("_letter"),
                        F.lower(F.col(text)).alias("_text"))
     names = [*keep, "lang_pred", "score"]
     kept = base.select(*keep).schema

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.llm.common import (
-    hashed_words, mix, rows_maybe_in, rows_surely_out, stored, windows,
+    hashed_words, mix, rows_maybe_in, small_batches, stored, windows,
 )
 from panelwright.llm.components import components
 
@@ -216,10 +216,11 @@ def _index_rows(texts: DataFrame, n: int) -> DataFrame:
         for b in batches:
             keys, recs, slots = [], [], []
             for _, s in text_sets(b.column(1), n):
+                own = set_key(s)[0]
                 for slot, band in slots_of(len(s)):
                     k = deletion_keys(s, band) if band.small else plain_keys(s, band)
                     keys.append(k)
-                    recs.append(np.full(len(k), set_key(s)[0], np.int64))
+                    recs.append(np.full(len(k), own, np.int64))
                     slots.append(np.full(len(k), slot, np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays([
@@ -253,7 +254,7 @@ class _Corpus:
 
     def __init__(self, docs: DataFrame, n: int, text: str):
         self.n = n
-        self.docs = docs.filter(F.col("doc_id").isNotNull()).select(
+        self.docs = small_batches(docs).filter(F.col("doc_id").isNotNull()).select(
             F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text"))
         self.rows = stored(_described(docs, n, text), "sets")
         real = self.rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -267,8 +268,7 @@ class _Corpus:
         others = self.rows.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().join(
             chosen, "doc_id", "left_anti")
         others = stored(others, "copies")
-        return rows_surely_out(self.docs, others, "doc_id").unionByName(
-            rows_maybe_in(self.docs, others, "doc_id").join(chosen, "doc_id", "left_semi"))
+        return self.docs.join(others, "doc_id", "left_anti")
 
     def texts_of(self, wanted: DataFrame) -> DataFrame:
         """Texts of the records in ``wanted`` (rec, ...), with its other columns."""

@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwright.llm.common import stored, text_blocks
+from panelwright.llm.common import small_batches, stored, text_blocks
 from panelwright.llm.subwords import shared_subwords
 
 PIECES = ("doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long")
@@ -57,7 +57,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                 [c.split()[0] for c in schema.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("copy"),
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("copy"),
                        F.col(text).cast("string"))
     return rows.mapInArrow(cut, schema)
 
