@@ -128,7 +128,8 @@ def keyed_lines(docs: DataFrame, text: str, min_chars: int, batches: int) -> Dat
 
 def kept_lines(docs: DataFrame, text: str = "text", min_chars: int = 20, min_docs: int = 3,
                batches: int = 4, fan_in: int = 4) -> DataFrame:
-    """``docs`` with ``_n_lines``, ``_n_dropped`` and ``_kept`` (text of the lines that stay).
+    """``docs`` with ``_n_lines``, ``_n_dropped`` and ``_kept`` (text of the lines that stay), three
+    names that ``docs`` may not have.
 
     ``batches`` cuts the documents by the hash of their id; the result does not depend on it.
     """
@@ -145,15 +146,16 @@ def kept_lines(docs: DataFrame, text: str = "text", min_chars: int = 20, min_doc
     dropped = (lines.join(common, KEY).filter(F.col("doc_id") != F.col("last"))
                .groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
                .agg(F.collect_set("at").alias("_at")))
-    joined = docs.join(dropped, (F.col("doc_id") == F.col("_doc"))
-                       & (_digest(F.col(text)) == F.col("_digest")), "left")
-    joined = joined.withColumn("_lines", _lines(F.col(text)))
+    whole = docs.select(F.struct(*docs.columns).alias("_row"))
+    t = F.col("_row").getField(text)
+    joined = whole.join(dropped, (F.col("_row").getField("doc_id") == F.col("_doc"))
+                        & (_digest(t) == F.col("_digest")), "left").withColumn("_lines", _lines(t))
     none = F.array().cast("array<int>")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_at", none))
     return joined.select(
-        *[docs[c] for c in docs.columns], F.size("_lines").cast("long").alias("_n_lines"),
+        "_row.*", F.size("_lines").cast("long").alias("_n_lines"),
         F.coalesce(F.size("_at"), F.lit(0)).cast("long").alias("_n_dropped"),
-        F.when(F.col("_at").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
+        F.when(F.col("_at").isNull(), F.coalesce(t, F.lit(""))).otherwise(
             F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")).alias("_kept"))
 
 

@@ -72,7 +72,7 @@ def _wishes(units: DataFrame, room: list[int], rounds_done: int) -> DataFrame:
              .groupBy(F.col("g").alias("_g"))
              .agg(F.collect_list(F.struct("rows", (-F.col("label")).alias("l"))).alias("votes")))
     joined = units.join(votes, F.col("g") == F.col("_g"), "left")
-    is_open = lambda v: F.array_contains(_as_array(open_, "int"), -v["l"])
+    is_open = lambda v: F.get(_as_array(room), -v["l"]) >= F.col("rows")
     best = F.array_max(F.filter("votes", is_open))
     here = F.array_max(F.filter("votes", lambda v: v["l"] == -F.col("label")))
     drawn = F.get(_as_array(open_, "int"),
