@@ -19,7 +19,7 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_CLASS = "[\\x20\\x09-\\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_BLOCK_BYTES = 1 << 20
+_BLOCK_BYTES = 1 << 18
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -152,11 +152,12 @@ def kept_lines(docs: DataFrame, text: str = "text", min_chars: int = 20, min_doc
                         & (_digest(t) == F.col("_digest")), "left").withColumn("_lines", _lines(t))
     none = F.array().cast("array<int>")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_at", none))
-    return joined.select(
-        "_row.*", F.size("_lines").cast("long").alias("_n_lines"),
+    cut = joined.select(
+        "_row", F.size("_lines").cast("long").alias("_n_lines"),
         F.coalesce(F.size("_at"), F.lit(0)).cast("long").alias("_n_dropped"),
         F.when(F.col("_at").isNull(), F.coalesce(t, F.lit(""))).otherwise(
             F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")).alias("_kept"))
+    return cut.select("_row.*", "_n_lines", "_n_dropped", "_kept")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", length: str = "n_chars",

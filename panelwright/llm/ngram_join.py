@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.llm.common import (
-    hashed_words, mix, rows_maybe_in, small_batches, stored, windows,
+    ID_BITS, bitmap, bits_at, hash_place, hashed_words, mix, small_batches, stored, windows,
 )
 from panelwright.llm.components import components
 
@@ -229,24 +229,19 @@ def _index_rows(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(read, "key long, rec long, slot int")
 
 
-def _neighbourhood_rows(texts: DataFrame, n: int) -> DataFrame:
-    """Rows (key, rec) for rows (text, rec, todo): ``todo`` lists (slot, useless keys) per band."""
+def _neighbourhood_rows(sets: DataFrame, todo: DataFrame) -> DataFrame:
+    """Rows (key, rec) for ``sets`` (rec, elements); ``todo`` lists (slot, useless keys) per band."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, recs = [], []
-            rec, todo = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for row, s in text_sets(b.column(0), n):
-                if not len(s) or set_key(s)[0] != rec[row]:
-                    continue
-                bands = dict(slots_of(len(s)))
-                for t in todo[row]:
-                    k = deletion_keys(s, bands[t["slot"]], np.array(t["keys"] or [], np.int64))
-                    keys.append(k)
-                    recs.append(np.full(len(k), rec[row], np.int64))
-            if keys:
+            for rec, raw, bands in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                of = dict(slots_of(len(s)))
+                k = np.concatenate([deletion_keys(s, of[t["slot"]], np.array(t["keys"] or [], np.int64))
+                                    for t in bands])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(recs))], ["key", "rec"])
-    return texts.select("text", "rec", "todo").mapInArrow(read, "key long, rec long")
+                    [pa.array(k), pa.array(np.full(len(k), rec, np.int64))], ["key", "rec"])
+    return sets.join(todo, "rec").select("rec", "elements", "todo").mapInArrow(
+        read, "key long, rec long")
 
 
 class _Corpus:
@@ -270,27 +265,31 @@ class _Corpus:
         others = stored(others, "copies")
         return self.docs.join(others, "doc_id", "left_anti")
 
-    def texts_of(self, wanted: DataFrame) -> DataFrame:
-        """Texts of the records in ``wanted`` (rec, ...), with its other columns."""
-        where = stored(wanted.join(self.records.select("rec", "doc"), "rec")
-                       .withColumnRenamed("doc", "doc_id"), "wanted")
-        return rows_maybe_in(self.docs, where.select("doc_id").distinct(), "doc_id").join(
-            where, "doc_id")
-
     def sets_of(self, recs: DataFrame) -> DataFrame:
-        """Rows (rec, elements) of the records in ``recs``."""
+        """Rows (rec, elements) of the records in ``recs`` (rec), written once.
+
+        Sets are formed where texts are read, of the documents that a bitmap of fixed size lets
+        pass; the join then decides. No text is shuffled.
+        """
         n = self.n
+        ids = recs.join(self.records.select("rec", "doc"), "rec").select("doc")
+        shared = self.docs.sparkSession.sparkContext.broadcast(
+            bitmap(ids, hash_place("doc", ID_BITS)).tobytes())
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(shared.value, np.uint8)
             for b in batches:
-                want = b.column(1).to_pylist()
-                found = [(want[k], s.tobytes()) for k, s in text_sets(b.column(0), n)
-                         if len(s) and set_key(s)[0] == want[k]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([f[0] for f in found], pa.int64()),
-                    pa.array([f[1] for f in found], pa.binary())], ["rec", "elements"])
-        texts = self.texts_of(recs).select("text", "rec")
-        return texts.mapInArrow(read, "rec long, elements binary").dropDuplicates(["rec"])
+                place = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = b.column(0).filter(pa.array(bits_at(bits, place)))
+                for some in range(0, len(texts), 100):
+                    found = [(set_key(s)[0], s.tobytes())
+                             for _, s in text_sets(texts.slice(some, 100), n) if len(s)]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([f[0] for f in found], pa.int64()),
+                        pa.array([f[1] for f in found], pa.binary())], ["rec", "elements"])
+        sets = self.docs.select("text", hash_place("doc_id", ID_BITS)).mapInArrow(
+            read, "rec long, elements binary")
+        return stored(sets.join(recs, "rec", "left_semi").dropDuplicates(["rec"]), "elements")
 
 
 def _similar(pairs: DataFrame, corpus: _Corpus, percent: int) -> DataFrame:
@@ -308,8 +307,8 @@ def _similar(pairs: DataFrame, corpus: _Corpus, percent: int) -> DataFrame:
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -322,7 +321,7 @@ def _similar(pairs: DataFrame, corpus: _Corpus, percent: int) -> DataFrame:
     close = close.select("a", "b", "na", "ca", "nb", "cb").mapInArrow(near, "a long, b long")
     close = stored(close, "close")
     recs = close.select(F.col("a").alias("rec")).union(close.select("b")).distinct()
-    sets = stored(corpus.sets_of(recs), "elements")
+    sets = corpus.sets_of(stored(recs, "wanted"))
     for side in "ab":
         close = close.join(sets.select(F.col("rec").alias(side), F.col("elements").alias(f"s{side}")), side)
     return close.select("a", "b", "sa", "sb").mapInArrow(equal, "a long, b long")
@@ -374,8 +373,8 @@ def _searched_again(index: DataFrame, corpus: _Corpus, group_limit: int) -> Data
         "rec", "slot", "keys", (useless > F.col("dense")).alias("want"))
     again = stored(again, "again")
     todo = again.groupBy("rec").agg(F.collect_set(F.struct("slot", "keys")).alias("todo"))
-    near = _members(_neighbourhood_rows(corpus.texts_of(todo), corpus.n)).withColumn(
-        "want", F.lit(True))
+    sets = corpus.sets_of(again.select("rec").distinct())
+    near = _members(_neighbourhood_rows(sets, todo)).withColumn("want", F.lit(True))
     crowd = crowded.join(again.select("rec", "slot", "want"), ["rec", "slot"])
     wanted = crowd.filter("want").select("key").distinct()
     columns = ["key", "rec", "sets", "want"]
