@@ -11,7 +11,7 @@ from panelwright.functions.normal import inverse_normal
 from panelwright.functions.tails import f_upper, normal_quantile, normal_upper, t_two_sided
 from panelwright.operators.leastsquares import LinearModel
 from panelwright.operators.ordering import (
-    SMALL_ROWS, median_of, quantiles, ranked_with_count, usable,
+    median_of, quantiles, ranked_with_count, usable,
 )
 
 # Royston (1995), algorithm AS R94. Coefficients ascend.
@@ -22,7 +22,6 @@ SMALL_MEAN = (0.5440, -0.39978, 0.025054, -6.714e-4)
 SMALL_SPREAD = (1.3822, -0.77857, 0.062767, -0.0020322)
 LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
 LARGE_SPREAD = (-0.4803, -0.082676, 0.0030302)
-LARGEST_SAMPLE = 5000
 
 
 @dataclass(frozen=True)
@@ -48,24 +47,21 @@ def nested_f_test(small: LinearModel, big: LinearModel) -> TestResult:
     return TestResult(statistic, df1, df2, f_upper(statistic, df1, df2))
 
 
-def brown_forsythe(df: DataFrame, residual: str, by: str, small_rows: int = SMALL_ROWS,
-                   n: int | None = None) -> TestResult:
+def brown_forsythe(df: DataFrame, residual: str, by: str) -> TestResult:
     """Is the residual spread the same below and above the median of ``by``?
 
     A pooled two-sample t test on absolute deviations from the group medians; values equal
-    to the median count as below. The frame is read three times, and once more to count its
-    rows unless ``n`` bounds them.
+    to the median count as below.
     """
     rows = (df.select(F.col(residual).cast("double").alias("e"), F.col(by).cast("double").alias("x"))
             .filter(usable("e") & usable("x")))
-    n = rows.count() if n is None else n
-    middle = median_of(rows, "x", small_rows, n)
+    middle = median_of(rows, "x")
     if middle is None:
         return TestResult(None, None, None, None)
     halves = rows.select(
         F.when(F.col("x") <= F.lit(middle), "low").otherwise("high").alias("variable"),
         F.col("e").alias("value"))
-    centres = {k: v[0] for k, v in quantiles(halves, [0.5], small_rows, n).items()}
+    centres = {k: v[0] for k, v in quantiles(halves, [0.5]).items()}
     if len(centres) < 2:
         return TestResult(None, None, None, None)
     centre = F.when(F.col("variable") == "low", F.lit(centres["low"])).otherwise(F.lit(centres["high"]))
@@ -118,7 +114,8 @@ def _shapiro_p(w: float, n: int) -> float | None:
 
 
 def shapiro_wilk(df: DataFrame, value: str, key: str) -> TestResult:
-    """Normality test. W for any size; the p-value up to 5000 values, as the method covers."""
+    """Normality test. The approximation of the p-value was fitted for up to 5000 values; beyond
+    that it is an extrapolation, which ``df2``, the number of values, shows."""
     rows = (df.select(key, F.col(value).cast("double").alias("v")).filter(usable("v")))
     ranked, n = ranked_with_count(rows, ["v", key])
     facts = ranked.agg(F.avg("v").alias("mean"), F.min("v").alias("low"),
@@ -157,4 +154,4 @@ def shapiro_wilk(df: DataFrame, value: str, key: str) -> TestResult:
             middle = sums["middle"] or 0.0
         top = last * (sums[f"x{n}"] - sums["x1"]) + outer + middle / math.sqrt(phi)
     w = min(1.0, top * top / sums["ss"])
-    return TestResult(w, None, n, _shapiro_p(w, n) if n <= LARGEST_SAMPLE else None)
+    return TestResult(w, None, n, _shapiro_p(w, n))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions.shares import interactions as product_columns
 from panelwright.functions.tails import f_upper, t_two_sided
-from panelwright.operators.ordering import SMALL_ROWS, column_quantiles, usable
+from panelwright.operators.ordering import column_quantiles, usable
 
 INTERCEPT = "(Intercept)"
 
@@ -254,10 +254,10 @@ class LinearModel:
         at = [0, *[self.predictors.index(p) + 1 for p in predictors]]
         return solve(self.factor, at, self.response, list(predictors))
 
-    def residual_quantiles(self, df: DataFrame, small_rows: int = SMALL_ROWS) -> list[float]:
+    def residual_quantiles(self, df: DataFrame) -> list[float]:
         """Least, quartiles and greatest residual."""
         scored = self.score(df).select("residual")
-        return column_quantiles(scored, ["residual"], [0, 0.25, 0.5, 0.75, 1], small_rows)["residual"]
+        return column_quantiles(scored, ["residual"], [0, 0.25, 0.5, 0.75, 1])["residual"]
 
 
 def solve(factor: Factor, at: Sequence[int], response: str, predictors: list[str],

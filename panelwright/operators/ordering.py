@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.runtime import stored
 
-# Up to this many rows a variable's values are sorted as one array in one task.
-SMALL_ROWS = 1_000_000
-
 # Brackets around wanted quantiles are four ten-thousandths of the rows wide.
 _SKETCH_ACCURACY = 10_000
 
@@ -36,29 +33,14 @@ def _interpolate(low: float, high: float, position: float) -> float:
     return low + (high - low) * (position - math.floor(position))
 
 
-def quantiles(values: DataFrame, probs: Sequence[float], small_rows: int = SMALL_ROWS,
-              rows: int | None = None) -> dict[str, list[float]]:
+def quantiles(values: DataFrame, probs: Sequence[float]) -> dict[str, list[float]]:
     """Exact quantiles per ``variable`` of a frame (variable, value), interpolated linearly.
 
-    Few rows are sorted as one array per variable. Beyond ``small_rows`` a sketch brackets
-    every wanted quantile, rows outside the brackets are only counted, and the small rest is
-    ranked; see ``_ranked_values``. Only the answers, a count per bracket and one per
-    partition come to the driver. A caller who knows how many rows a variable has at most
-    passes ``rows`` and saves the counting.
+    A sketch brackets every wanted quantile, rows outside the brackets are only counted, and the
+    small rest is ranked; see ``_ranked_values``. Only the answers, a count per bracket and one per
+    partition come to the driver.
     """
     probs = [float(p) for p in probs]
-    if small_rows > 0 and (values.count() if rows is None else rows) <= small_rows:
-        ordered = values.groupBy("variable").agg(F.sort_array(F.collect_list("value")).alias("v"))
-
-        def at(prob: float) -> Column:
-            position = (F.size("v") - 1) * F.lit(prob)
-            low = F.element_at("v", F.floor(position).cast("int") + 1)
-            high = F.element_at("v", F.ceil(position).cast("int") + 1)
-            return low + (high - low) * (position - F.floor(position))
-
-        answers = ordered.select("variable", F.array(*[at(p) for p in probs]).alias("q")).collect()
-        return {r["variable"]: list(r["q"]) for r in answers}
-
     sizes, brackets = _brackets(values, probs)
     ranks = {v: sorted({r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
              for v, n in sizes.items()}
@@ -168,17 +150,13 @@ def _ranked_values(values: DataFrame, ranks: Mapping[str, Sequence[int]],
     return {(r["variable"], r["rank"]): r["value"] for r in found}
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                     small_rows: int = SMALL_ROWS,
-                     rows: int | None = None) -> dict[str, list[float]]:
-    if rows is None and small_rows > 0:
-        rows = df.count()
-    return quantiles(melted(df, columns), probs, small_rows, rows)
+def column_quantiles(df: DataFrame, columns: Sequence[str],
+                     probs: Sequence[float]) -> dict[str, list[float]]:
+    return quantiles(melted(df, columns), probs)
 
 
-def median_of(df: DataFrame, column: str, small_rows: int = SMALL_ROWS,
-              rows: int | None = None) -> float | None:
-    return column_quantiles(df, [column], [0.5], small_rows, rows).get(column, [None])[0]
+def median_of(df: DataFrame, column: str) -> float | None:
+    return column_quantiles(df, [column], [0.5]).get(column, [None])[0]
 
 
 def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
@@ -238,8 +216,10 @@ def _hash_cutoff(df: DataFrame, digest: Column, fraction: float) -> str | None:
                 return None
         cell = int(np.searchsorted(upto, left))
         prefix += counts["digits"][cell].as_py()
-        if left == upto[cell] or len(prefix) >= _HEX_DIGITS:
+        if left == upto[cell]:
             return prefix.ljust(_HEX_DIGITS, "g")
+        if len(prefix) >= _HEX_DIGITS:
+            raise ValueError("the key repeats at the cut, so no split of that size exists")
         left -= int(upto[cell - 1]) if cell else 0
 
 

@@ -7,17 +7,15 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwright.operators.ordering import (
-    SMALL_ROWS, column_quantiles, melted, usable,
-)
+from panelwright.operators.ordering import column_quantiles, melted, usable
 
 _STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
-def describe(df: DataFrame, columns: Sequence[str], small_rows: int = SMALL_ROWS) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles, one row per statistic."""
     columns = list(columns)
-    quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75], small_rows)
+    quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     moments = melted(df, columns).groupBy("variable").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
@@ -35,11 +33,10 @@ def describe(df: DataFrame, columns: Sequence[str], small_rows: int = SMALL_ROWS
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def percentile_grid(df: DataFrame, columns: Sequence[str], step: int = 5,
-                    small_rows: int = SMALL_ROWS) -> DataFrame:
+def percentile_grid(df: DataFrame, columns: Sequence[str], step: int = 5) -> DataFrame:
     """Exact percentiles 0, step, ..., 100 of each column: (variable, percentile, value)."""
     grid = list(range(0, 101, step))
-    found = column_quantiles(df, columns, [p / 100 for p in grid], small_rows)
+    found = column_quantiles(df, columns, [p / 100 for p in grid])
     rows = [(c, p, v) for c in columns if c in found for p, v in zip(grid, found[c])]
     return df.sparkSession.createDataFrame(rows, "variable string, percentile int, value double")
 
@@ -49,10 +46,9 @@ def below(df: DataFrame, column: str, limit: float) -> DataFrame:
     return df.filter(F.col(column) <= F.lit(limit))
 
 
-def trim_above(df: DataFrame, column: str, prob: float = 0.9,
-               small_rows: int = SMALL_ROWS) -> DataFrame:
+def trim_above(df: DataFrame, column: str, prob: float = 0.9) -> DataFrame:
     """Rows at or below the column's own quantile."""
-    found = column_quantiles(df, [column], [prob], small_rows)
+    found = column_quantiles(df, [column], [prob])
     return below(df, column, found[column][0]) if found else df.limit(0)
 
 
@@ -66,27 +62,39 @@ def squared_deviations(column: str | Column) -> Column:
 
 
 def bin_index(value: str | Column, low: float, high: float, bins: int) -> Column:
-    """0-based equal-width bin; the top edge belongs to the last bin, outside is NULL."""
-    v = F.col(value) if isinstance(value, str) else value
-    cell = F.floor((v - F.lit(float(low))) / F.lit(float(high) - float(low)) * F.lit(bins))
-    return F.when(v.between(low, high), F.least(cell, F.lit(bins - 1)).cast("int"))
+    """0-based equal-width bin; the top edge belongs to the last bin.
+
+    Values below the range are in bin -1, those above it in bin ``bins``. A range of one value has
+    that value in bin 0. NULL and NaN have no bin.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    width = float(high) - float(low)
+    cell = F.floor((v - F.lit(float(low))) / F.lit(width or 1.0) * F.lit(bins))
+    inner = F.least(cell, F.lit(bins - 1)).cast("int")
+    return F.when(usable(v), F.when(v < low, -1).when(v > high, bins).otherwise(inner))
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
-    """Rows per bin of a fixed range: (bin, bin_from, bin_to, count). Empty bins are left out."""
+    """Rows per bin of a range: (bin, bin_from, bin_to, count). Empty bins are left out.
+
+    The counts add up to the usable values: bins -1 and ``bins`` hold what lies outside, and have
+    no outer edge.
+    """
     width = (high - low) / bins
     return (
         df.select(bin_index(column, low, high, bins).alias("bin"))
         .filter("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("count"))
-        .select("bin", (F.lit(float(low)) + F.col("bin") * width).alias("bin_from"),
-                (F.lit(float(low)) + (F.col("bin") + 1) * width).alias("bin_to"), "count"))
+        .select("bin", F.when(F.col("bin") >= 0, F.lit(float(low)) + F.col("bin") * width).alias("bin_from"),
+                F.when(F.col("bin") < bins, F.lit(float(low)) + (F.col("bin") + 1) * width).alias("bin_to"),
+                "count"))
 
 
 def heatmap(df: DataFrame, xs: Mapping[str, tuple[float, float]], y: str,
             y_range: tuple[float, float], x_bins: int = 40, y_bins: int = 400) -> DataFrame:
     """Counts on a grid for several x columns against one y, in one pass.
 
-    ``xs`` maps each column to its range. Result: (variable, x_bin, y_bin, count).
+    ``xs`` maps each column to its range. Result: (variable, x_bin, y_bin, count). Values outside a
+    range are in its outer bins, as in ``bin_index``; a view of the ranges is a filter on the bins.
     """
     cells = F.array(*[
         F.struct(F.lit(x).alias("variable"),
@@ -111,7 +119,7 @@ def rule_of_thumb_bandwidth(n: int, deviation: float, iqr: float) -> float:
 
 
 def density(df: DataFrame, column: str, points: int = 512, bandwidth: float | None = None,
-            cells: int = 512, small_rows: int = SMALL_ROWS) -> DataFrame:
+            cells: int = 512) -> DataFrame:
     """Gaussian kernel density on an even grid: (x, density).
 
     Each value is shared between its two nearest of ``cells`` grid cells, and the kernel is
@@ -120,8 +128,10 @@ def density(df: DataFrame, column: str, points: int = 512, bandwidth: float | No
     values = df.select(F.col(column).cast("double").alias("v")).filter(usable("v"))
     facts = values.agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"),
                        F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if not facts["n"]:
+        return df.sparkSession.createDataFrame([], "x double, density double")
     if bandwidth is None:
-        q1, q3 = column_quantiles(values, ["v"], [0.25, 0.75], small_rows, facts["n"])["v"]
+        q1, q3 = column_quantiles(values, ["v"], [0.25, 0.75])["v"]
         bandwidth = rule_of_thumb_bandwidth(facts["n"], facts["sd"] or 0.0, q3 - q1)
     start, stop = facts["low"] - 3 * bandwidth, facts["high"] + 3 * bandwidth
     width = (stop - start) / (cells - 1)

@@ -137,7 +137,7 @@ def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 1
             return None
 
     def constant_spread(rows: DataFrame, residual: str, by: str) -> diagnostics.TestResult:
-        return diagnostics.brown_forsythe(rows, residual, by, n=full.n)
+        return diagnostics.brown_forsythe(rows, residual, by)
 
     # Steps that do not need each other submit their jobs side by side.
     with ThreadPoolExecutor(4) as pool:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
     ``spark.checkpoint.dir`` decides, or the checkpoint folder already set on the context.
-    A session that runs inside this process may fall back on a temporary folder; a cluster
+    A session that runs inside this process may fall back on a folder of its warehouse; a cluster
     session that names none is refused.
     """
     context = spark.sparkContext
@@ -41,8 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
-    return context.getCheckpointDir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/panelwright-scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

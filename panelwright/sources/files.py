@@ -4,16 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+
+# How this library writes text so that every value comes back: NULL apart from empty text, quotes
+# doubled, and line breaks and backslashes escaped, so that files can still be split at lines.
+_EXACT = {"header": True, "escape": '"', "nullValue": "\\N", "charToEscapeQuoteEscaping": '"'}
+
+
+def _escaped(text: Column) -> Column:
+    for plain, code in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    parts = F.transform(F.split(text, r"\\\\"), lambda p: F.replace(
+        F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(parts, "\\")
 
 
 def read_keyed_csv(spark: SparkSession, path: str, text_keys: Sequence[str],
-                   types: Mapping[str, str] | None = None) -> DataFrame:
+                   types: Mapping[str, str] | None = None, exact: bool = False) -> DataFrame:
     """CSV with a header whose key columns stay text, so leading zeros survive.
 
-    Other columns are cast by ``types`` or else stay text; nothing is inferred.
+    Other columns are cast by ``types`` or else stay text; nothing is inferred. ``exact`` reads
+    what ``write_csv`` wrote with ``exact``.
     """
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.options(**(_EXACT if exact else {"header": True})).csv(path)
+    if exact:
+        raw = raw.select(*[_unescaped(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     wanted = dict(types or {})
     clash = set(text_keys) & set(wanted)
     if clash:
@@ -48,24 +68,32 @@ def read_geojson(spark: SparkSession, path: str, properties: str,
     return features.select("id", "properties", "geometry")
 
 
-def write_csv(df: DataFrame, path: str) -> str:
-    """A folder of CSV files with headers."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, exact: bool = False) -> str:
+    """A folder of CSV files with headers.
+
+    With ``exact``, text comes back unchanged from ``read_keyed_csv(..., exact=True)``, line breaks,
+    quotes, backslashes, empty text and NULL included.
+    """
+    if exact:
+        df = df.select(*[_escaped(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`")
+                         for c, t in df.dtypes])
+    df.write.mode("overwrite").options(**(_EXACT if exact else {"header": True})).csv(path)
     return path
 
 
 def read_inputs(spark: SparkSession, paths: Mapping[str, str], name: str,
-                text_keys: Sequence[str], types: Mapping[str, str]) -> DataFrame:
+                text_keys: Sequence[str], types: Mapping[str, str],
+                exact: bool = False) -> DataFrame:
     """One of several named model inputs, as Parquet or as CSV by its file ending."""
     path = paths[name]
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return read_keyed_csv(spark, path, text_keys, types)
+    return read_keyed_csv(spark, path, text_keys, types, exact)
 
 
 def write_model_outputs(scored: DataFrame, key: str, columns: Mapping[str, str], folder: str,
                         prefix: str) -> dict[str, str]:
     """One CSV folder per model output, each row with its own key."""
     return {
-        name: write_csv(scored.select(key, column), f"{folder.rstrip('/')}/{prefix}_{name}")
+        name: write_csv(scored.select(key, column), f"{folder.rstrip('/')}/{prefix}_{name}", exact=True)
         for name, column in columns.items()}

@@ -115,7 +115,7 @@ def test_scoring_keeps_keys_and_sums(frame, data):
     by_key = {r["k"]: r["residual"] for r in scored.collect()}
     beta, _, full = _lstsq(x, y)
     assert by_key[17] == pytest.approx(float(y[17] - full[17] @ beta), abs=1e-9)
-    found = model.residual_quantiles(frame, small_rows=0)
+    found = model.residual_quantiles(frame)
     assert found == pytest.approx(list(np.percentile(y - full @ beta, [0, 25, 50, 75, 100])), abs=1e-9)
 
 
@@ -147,13 +147,12 @@ def test_nested_f_test(frame):
     assert same.statistic is None and same.p_value is None
 
 
-@pytest.mark.parametrize("small_rows", [0, 10 ** 6])
-def test_brown_forsythe_by_hand(spark, small_rows):
+def test_brown_forsythe_by_hand(spark):
     rng = np.random.default_rng(8)
     x = np.round(rng.normal(size=301), 1)
     e = rng.normal(size=301) * (1 + (x > 0))
     rows = spark.createDataFrame(list(zip(e.tolist(), x.tolist())), "e double, x double")
-    found = diagnostics.brown_forsythe(rows, "e", "x", small_rows)
+    found = diagnostics.brown_forsythe(rows, "e", "x")
     low = x <= np.median(x)
     d1, d2 = (np.abs(e[m] - np.median(e[m])) for m in (low, ~low))
     pooled = math.sqrt((((d1 - d1.mean()) ** 2).sum() + ((d2 - d2.mean()) ** 2).sum()) / 299)
@@ -187,7 +186,7 @@ def test_shapiro_limits(spark):
     assert diagnostics.shapiro_wilk(flat, "v", "k").statistic is None
     many = spark.range(5001).select(F.col("id").alias("k"), F.randn(3).alias("v"))
     found = diagnostics.shapiro_wilk(many, "v", "k")
-    assert found.statistic > 0.99 and found.p_value is None
+    assert found.statistic > 0.99 and 0 < found.p_value <= 1
 
 
 def test_normal_pairs_of_few_and_many(spark):

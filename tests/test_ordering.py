@@ -19,30 +19,27 @@ def _frame(spark, values):
 PROBS = [0, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1]
 
 
-@pytest.mark.parametrize("small_rows", [0, 10 ** 6])
 @pytest.mark.parametrize("case", ["random", "hot", "one", "two", "equal", "negative"])
-def test_quantiles_equal_numpy(spark, case, small_rows):
+def test_quantiles_equal_numpy(spark, case):
     rng = random.Random(5)
     values = {
         "random": [rng.gauss(0, 10) for _ in range(3000)],
         "hot": [7.0] * 2000 + [rng.random() for _ in range(3000)],
         "one": [3.5], "two": [1.0, 2.0], "equal": [4.0] * 50,
         "negative": [-1e9, -5.5, -5.5, 0.0, 1e-9]}[case]
-    found = od.column_quantiles(_frame(spark, values), ["v"], PROBS, small_rows)["v"]
+    found = od.column_quantiles(_frame(spark, values), ["v"], PROBS)["v"]
     assert found == pytest.approx(list(np.percentile(values, [100 * p for p in PROBS])), abs=1e-12)
 
 
-@pytest.mark.parametrize("small_rows", [0, 10 ** 6])
-def test_quantiles_of_several_columns_skip_missing(spark, small_rows):
+def test_quantiles_of_several_columns_skip_missing(spark):
     rows = spark.createDataFrame(
         [(1.0, 5.0), (2.0, None), (3.0, float("nan")), (4.0, 6.0)], "a double, b double")
-    found = od.column_quantiles(rows, ["a", "b"], [0.5], small_rows)
+    found = od.column_quantiles(rows, ["a", "b"], [0.5])
     assert found == {"a": [2.5], "b": [5.5]}
 
 
 def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([], "v double")
-    assert od.column_quantiles(empty, ["v"], [0.5], 0) == {}
     assert od.column_quantiles(empty, ["v"], [0.5]) == {}
 
 
@@ -55,7 +52,7 @@ def test_rows_outside_the_brackets_are_only_counted(spark, monkeypatch):
     write = od.stored
     monkeypatch.setattr(od, "stored", lambda df: kept.append(write(df)) or kept[-1])
     probs = [0, 0.1, 0.5, 0.6, 0.99, 1]
-    found = od.column_quantiles(rows, ["a", "b"], probs, 0)
+    found = od.column_quantiles(rows, ["a", "b"], probs)
     assert found["a"] == pytest.approx(list(np.percentile(values, [100 * p for p in probs])), abs=1e-12)
     assert found["b"] == pytest.approx(list(np.percentile(-values, [100 * p for p in probs])), abs=1e-12)
     assert len(kept) == 1 and kept[0].count() < 1000
@@ -64,7 +61,7 @@ def test_rows_outside_the_brackets_are_only_counted(spark, monkeypatch):
 def test_a_missed_bracket_falls_back_to_all_rows(spark, monkeypatch):
     rows = _frame(spark, [float(i) for i in range(100)])
     monkeypatch.setattr(od, "_brackets", lambda values, probs: ({"v": 100}, {"v": [(90.0, 95.0)]}))
-    assert od.column_quantiles(rows, ["v"], [0.5], 0) == {"v": [49.5]}
+    assert od.column_quantiles(rows, ["v"], [0.5]) == {"v": [49.5]}
 
 
 def test_split_cut_over_several_prefixes(spark, monkeypatch):
@@ -78,7 +75,7 @@ def test_split_cut_over_several_prefixes(spark, monkeypatch):
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(some.lists(some.floats(-1e6, 1e6), min_size=1, max_size=60))
 def test_ranged_quantiles_equal_numpy_on_any_list(spark, values):
-    found = od.column_quantiles(_frame(spark, values), ["v"], [0.1, 0.5, 0.77], 0)["v"]
+    found = od.column_quantiles(_frame(spark, values), ["v"], [0.1, 0.5, 0.77])["v"]
     assert found == pytest.approx(list(np.percentile(values, [10, 50, 77])), rel=1e-12, abs=1e-9)
 
 
@@ -101,7 +98,7 @@ def test_a_value_shared_by_a_third_of_the_rows_is_split(spark):
     ranked = od.global_rank(rows, ["v", "k"])
     facts = ranked.agg(F.min("rank"), F.max("rank"), F.countDistinct("rank")).first()
     assert tuple(facts) == (1, 60_000, 60_000)
-    median = od.column_quantiles(rows, ["v"], [0.5], 0)["v"][0]
+    median = od.column_quantiles(rows, ["v"], [0.5])["v"][0]
     assert median == 0.5
 
 
@@ -163,7 +160,22 @@ def test_trim_keeps_the_limit(spark):
 def test_top_edge_falls_in_the_last_bin(spark):
     rows = _frame(spark, [-5.0, -4.99, 0.0, 4.99, 5.0, 5.01, -5.01])
     found = {r["bin"]: r["count"] for r in sm.histogram(rows, "v", -5, 5, 10).collect()}
-    assert found == {0: 2, 5: 1, 9: 2}
+    assert found == {-1: 1, 0: 2, 5: 1, 9: 2, 10: 1}
+
+
+def test_one_value_is_one_bin(spark):
+    found = sm.histogram(_frame(spark, [2.0, 2.0, float("nan")]), "v", 2, 2, 10).collect()
+    assert [(r["bin"], r["count"]) for r in found] == [(0, 2)]
+
+
+def test_density_of_nothing_has_no_rows(spark):
+    assert sm.density(spark.createDataFrame([], "v double"), "v").collect() == []
+
+
+def test_a_repeated_key_at_the_cut_is_refused(spark):
+    rows = spark.range(100).select((F.col("id") % 2).cast("string").alias("k"))
+    with pytest.raises(ValueError, match="repeats"):
+        od.keyed_split(rows, "k", 0.2)
 
 
 def test_heatmap_equals_numpy(spark):
@@ -173,6 +185,8 @@ def test_heatmap_equals_numpy(spark):
     counts, _, _ = np.histogram2d(x, y, bins=[4, 6], range=[[0, 1], [-3, 3]])
     found = {(r["x_bin"], r["y_bin"]): r["count"]
              for r in sm.heatmap(rows, {"x": (0, 1)}, "y", (-3, 3), 4, 6).collect()}
+    assert sum(found.values()) == 500
+    found = {k: n for k, n in found.items() if 0 <= k[1] < 6}
     assert found == {(i, j): int(c) for (i, j), c in np.ndenumerate(counts) if c}
 
 

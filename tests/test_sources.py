@@ -98,7 +98,7 @@ def test_model_outputs_are_written_under_their_keys(spark):
                                    "fips string, residual double, yhat double")
     written = files.write_model_outputs(
         scored, "fips", {"residuals": "residual", "predict": "yhat"}, scratch_path(spark, "o"), "alt1")
-    found = files.read_keyed_csv(spark, written["predict"], ["fips"], {"yhat": "double"})
+    found = files.read_keyed_csv(spark, written["predict"], ["fips"], {"yhat": "double"}, exact=True)
     assert sorted(map(tuple, found.collect())) == [("01001", 1.5), ("01003", 2.5)]
     assert written["residuals"].endswith("alt1_residuals")
 

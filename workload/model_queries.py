@@ -153,8 +153,8 @@ def residual_sink(spark, sf):
     written = files.write_model_outputs(
         _scored(spark, sf), "order_key", {"residuals": "residual", "predict": "yhat"},
         scratch_path(spark, "outputs"), "primary")
-    left = files.read_keyed_csv(spark, written["residuals"], ["order_key"], {"residual": "double"})
-    right = files.read_keyed_csv(spark, written["predict"], ["order_key"], {"yhat": "double"})
+    left = files.read_keyed_csv(spark, written["residuals"], ["order_key"], {"residual": "double"}, exact=True)
+    right = files.read_keyed_csv(spark, written["predict"], ["order_key"], {"yhat": "double"}, exact=True)
     both = left.join(right, "order_key")
     return round_all(both.withColumn("order_key", F.col("order_key").cast("long")), 2)
 

@@ -90,13 +90,24 @@ def load_modes(spark, sf):
     return counted(once, "replaced").unionByName(counted(twice, "appended"))
 
 
+def _awkward():
+    """Names with line breaks, quotes and backslashes, empty ones and NULL."""
+    turn = F.col("c_custkey") % 5
+    return F.when(turn == 0, F.concat("c_name", F.lit('\n"quoted", \r\\n'))).when(
+        turn == 1, F.lit("")).when(turn == 2, F.lit(None)).when(turn == 3, F.lit("\\N")).otherwise(
+            F.col("c_name"))
+
+
 @query("A10 A14", f"""
-SELECT {st._key_sql('c_custkey')} AS fips, c_name, c_acctbal FROM customer""")
+SELECT {st._key_sql('c_custkey')} AS fips, CASE c_custkey % 5
+  WHEN 0 THEN c_name || chr(10) || '"quoted", ' || chr(13) || chr(92) || 'n' WHEN 1 THEN ''
+  WHEN 2 THEN NULL WHEN 3 THEN chr(92) || 'N' ELSE c_name END AS c_name, c_acctbal FROM customer""")
 def csv_text_key(spark, sf):
     people = table(spark, sf, "customer").select(
-        st.county_key("c_custkey").alias("fips"), "c_name", "c_acctbal")
-    written = files.write_csv(people, scratch_path(spark, "fips-csv"))
-    return files.read_inputs(spark, {"primary": written}, "primary", ["fips"], {"c_acctbal": "double"})
+        st.county_key("c_custkey").alias("fips"), _awkward().alias("c_name"), "c_acctbal")
+    written = files.write_csv(people, scratch_path(spark, "fips-csv"), exact=True)
+    return files.read_inputs(spark, {"primary": written}, "primary", ["fips"],
+                             {"c_acctbal": "double"}, exact=True)
 
 
 def _features(spark, sf, label: str) -> str:
