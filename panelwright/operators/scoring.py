@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions.shares import ratio
 from panelwright.operators.summary import squared_deviations
+from panelwright.runtime import stored
 
 
 def rmspe(observed: str | Column, predicted: str | Column) -> Column:
@@ -40,6 +41,10 @@ def group_r_squared(scored: DataFrame, group: str, observed: str,
 
 def results_table(scored: DataFrame, key: str, group: str, observed: str,
                   residuals: dict[str, str]) -> DataFrame:
-    """One row per key with the R-squared of its group."""
-    by_group = group_r_squared(scored, group, observed, residuals)
+    """One row per key with the R-squared of its group.
+
+    The groups' rows are stored first, so that Spark knows their size when it plans the join and
+    leaves the scored rows where they are if the groups are few.
+    """
+    by_group = stored(group_r_squared(scored, group, observed, residuals), "by-group")
     return scored.select(key, group).join(by_group, group).select(key, group, *residuals)

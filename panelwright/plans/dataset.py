@@ -1,8 +1,9 @@
 """Cross-section from a star of county tables, in four variants.
 
-Every dimension has one row per key, so all joins but one share the key and none of them
-multiplies rows. No side is hinted: Spark broadcasts what it finds small enough and
-co-partitions the rest.
+Every dimension has one row per key, so all joins but one share the key and do not multiply
+rows. The policies are joined by state: two region codes with the same state in them give a key
+two rows. No side is hinted: Spark broadcasts what it finds small enough and co-partitions the
+rest. The policies are stored first, so that their size is known when the join is planned.
 """
 
 from __future__ import annotations
@@ -130,7 +131,8 @@ def star(src: Sources, policy_days: Sequence[dt.date], prefix: str = "US") -> Da
     The census serves twice, as population of the rates and as dimension, with one join.
     """
     key = "county_fips_code"
-    policy = policy_by_state(policy_maxima(policy_rows(src.policy, policy_days, prefix)))
+    policy = stored(policy_by_state(policy_maxima(policy_rows(src.policy, policy_days, prefix))),
+                    "policies")
     bands = [f"{sex}_{band}" for sex in ("male", "female") for band in AGE_BANDS]
     census = src.census.filter(F.col("median_income").isNotNull()).select(
         F.col("geo_id").alias(key), "total_pop", "male_pop", "female_pop", *bands, *GROUP_COLUMNS,

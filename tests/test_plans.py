@@ -113,6 +113,18 @@ def test_census_is_read_once(spark, sf):
     assert sum("FileScan" in line and "l_quantity" in line for line in plan.splitlines()) == 1
 
 
+def test_rows_are_not_exchanged_on_few_keys(spark, sf):
+    """The side with a row per state or flag is stored, so its size decides and it is sent instead."""
+    from panelwright.operators.scoring import results_table
+    scored = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
+        "l_orderkey", "l_returnflag AS flag", "l_quantity AS y", "l_discount AS residual")
+    for found in (results_table(scored, "l_orderkey", "flag", "y", {"r": "residual"}),
+                  entry.queries()["policy_expand"](spark, sf)):
+        plan = _plan(found)
+        assert "BroadcastHashJoin" in plan and "BuildRight" in plan
+        assert "hashpartitioning(flag" not in plan and "hashpartitioning(state" not in plan
+
+
 def test_split_flag_moves_no_rows(spark, sf):
     from panelwright.operators.ordering import keyed_split
     orders = spark.read.parquet(f"{sf}/orders.parquet")

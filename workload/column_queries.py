@@ -12,6 +12,7 @@ from panelwright.functions.shares import (
     interactions, power, rate_per, redefine, remainder, row_sum, shares_of_total, shifted,
 )
 from panelwright.plans import dataset as ds
+from panelwright.runtime import stored
 from workload import standins as st
 from workload.registry import query, round_all, rounded, table
 
@@ -225,7 +226,7 @@ FROM customer JOIN maxima ON substring(region_code, 4, 2) = {st._state_sql('c_na
 def policy_expand(spark, sf):
     maxima = ds.policy_maxima(ds.policy_rows(st.policy(spark, sf), st.POLICY_DAYS))
     people = table(spark, sf, "customer").select("c_custkey", st.state_of("c_nationkey").alias("state"))
-    return round_all(people.join(ds.policy_by_state(maxima), "state")
+    return round_all(people.join(stored(ds.policy_by_state(maxima), "policies"), "state")
                      .select("c_custkey", "state", "school_closing", "stringency_index"))
 
 

@@ -63,15 +63,29 @@ def _coefficient_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _t_tail_sql(source: str) -> str:
+    """CTE ``tail``: two-sided t probability by Simpson's rule over the density (columns t, df)."""
+    density = ("exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) "
+               "* pow(1 + pow(abs(t) * i / 4000, 2) / df, -(df + 1) / 2)")
+    weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"""tail AS (
+  SELECT t, df, 1 - 2 * sum({weight} * {density}) * abs(t) / 12000 AS p
+  FROM {source}, range(0, 4001) x(i) GROUP BY t, df)"""
+
+
+# Beyond 40 the probability is 0 in every digit shown, and the rule's steps would be too long.
 @query("I1 I2 I17", f"""
-WITH {st.FACTS_SQL}, {_OLS}, c AS ({_coefficient_sql()})
+WITH {st.FACTS_SQL}, {_OLS}, c AS ({_coefficient_sql()}),
+t AS (SELECT c.*, least(abs(estimate / std_error), 40) AS t, (n - {_WIDTH})::DOUBLE AS df FROM c, ols),
+{_t_tail_sql('t')}
 SELECT term, round(estimate, 4) + 0.0 AS estimate, round(std_error, 5) + 0.0 AS std_error,
-       round(estimate / std_error, 4) + 0.0 AS t_value FROM c""")
+       round(estimate / std_error, 4) + 0.0 AS t_value, abs(round(p, 6)) + 0.0 AS p_value
+FROM t JOIN tail USING (t, df)""")
 def ols_fit(spark, sf):
     rows = _model(spark, sf).coefficient_frame(spark)
     return rows.select(
         "term", rounded("estimate", 4).alias("estimate"), rounded("std_error", 5).alias("std_error"),
-        rounded("t_value", 4).alias("t_value"))
+        rounded("t_value", 4).alias("t_value"), rounded("p_value", 6).alias("p_value"))
 
 
 @query("I2 I5 I19", f"""
@@ -83,12 +97,13 @@ UNION ALL SELECT 'sigma', round(sqrt(rss / df), 4) + 0.0 FROM q
 UNION ALL SELECT 'r_squared', round(r2, 8) + 0.0 FROM q
 UNION ALL SELECT 'adj_r_squared', round(1 - (1 - r2) * (n - 1) / df, 8) + 0.0 FROM q
 UNION ALL SELECT 'f_statistic', round(((tss - rss) / p) / (rss / df), 2) + 0.0 FROM q
+UNION ALL SELECT 'f_p_value', round(pow(rss / tss, df / 2) * (1 + df / 2 * (1 - rss / tss)), 8) + 0.0 FROM q
 UNION ALL SELECT 'deviance_per_row', round(rss / n, 2) + 0.0 FROM q""")
 def ols_summary(spark, sf):
     m = _model(spark, sf)
     rows = [("n", float(m.n)), ("df_residual", float(m.df_residual)), ("sigma", round(m.sigma, 4)),
             ("r_squared", round(m.r_squared, 8)), ("adj_r_squared", round(m.adj_r_squared, 8)),
-            ("f_statistic", round(m.f_statistic, 2)), ("deviance_per_row", round(m.deviance / m.n, 2))]
+            ("f_statistic", round(m.f_statistic, 2)), ("f_p_value", round(m.f_p_value, 8)), ("deviance_per_row", round(m.deviance / m.n, 2))]
     return spark.createDataFrame(rows, "measure string, value double")
 
 
@@ -173,16 +188,6 @@ def f_test(spark, sf):
     return round_all(found.frame(spark), 3, p_value=8)
 
 
-def _t_tail_sql(source: str) -> str:
-    """CTE ``tail``: two-sided t probability by Simpson's rule over the density (columns t, df)."""
-    density = ("exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) "
-               "* pow(1 + pow(abs(t) * i / 4000, 2) / df, -(df + 1) / 2)")
-    weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
-    return f"""tail AS (
-  SELECT t, df, 1 - 2 * sum({weight} * {density}) * abs(t) / 12000 AS p
-  FROM {source}, range(0, 4001) x(i) GROUP BY t, df)"""
-
-
 @query("I7 C9 E6", f"""
 WITH {_SCORED},
 h AS (SELECT residual AS e, yhat <= (SELECT median(yhat) FROM scored) AS low FROM scored),
@@ -241,12 +246,20 @@ t AS (SELECT n, 1 / sqrt(n) AS u, sum(m * m) OVER () AS mm,
              rank, v, mean, m FROM m),
 a AS (SELECT *, {_LAST} + mn / sqrt(mm) AS a1, {_NEXT} + mp / sqrt(mm) AS a2 FROM t),
 w AS (SELECT *, CASE WHEN rank IN (1, n) THEN sign(m) * a1 WHEN rank IN (2, n - 1) THEN sign(m) * a2
-        ELSE m / sqrt((mm - 2 * mn * mn - 2 * mp * mp) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS weight FROM a)
-SELECT round(pow(sum(weight * v), 2) / sum((v - mean) * (v - mean)), 8) + 0.0 AS statistic,
-       any_value(n)::DOUBLE AS n FROM w""")
+        ELSE m / sqrt((mm - 2 * mn * mn - 2 * mp * mp) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS weight FROM a),
+s AS (SELECT pow(sum(weight * v), 2) / sum((v - mean) * (v - mean)) AS statistic,
+             any_value(n)::DOUBLE AS n, ln(any_value(n)) AS k FROM w),
+z AS (SELECT statistic, n, (ln(1 - statistic) - (-1.5861 - 0.31082 * k - 0.083751 * k * k + 0.0038915 * k * k * k))
+             / exp(-0.4803 - 0.082676 * k + 0.0030302 * k * k) AS z FROM s)
+SELECT round(statistic, 8) + 0.0 AS statistic, n, abs(round(0.5 - sign(z) * sum(
+         CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+         * exp(-pow(least(abs(z), 12) * i / 4000, 2) / 2)) * least(abs(z), 12) / 12000 / sqrt(2 * pi()), 8))
+         + 0.0 AS p_value
+FROM z, range(0, 4001) x(i) GROUP BY statistic, n, z""")
 def shapiro(spark, sf):
     found = diagnostics.shapiro_wilk(table(spark, sf, "customer"), "c_acctbal", "c_custkey")
-    return found.frame(spark).select(rounded("statistic", 8).alias("statistic"), F.col("df2").alias("n"))
+    return found.frame(spark).select(rounded("statistic", 8).alias("statistic"), F.col("df2").alias("n"),
+                                     rounded("p_value", 8).alias("p_value"))
 
 
 # ------------------------------------------------------------------ transformations

@@ -44,7 +44,7 @@ def list_columns(spark, sf):
     return counts.select(F.inline("found"))
 
 
-@query("A4 A6 A9", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+@query("A6 A9", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def load_from_frame(spark, sf):
     name = tables.load_table(spark, _fresh("supplier"), df=table(spark, sf, "supplier"),
                              path=scratch_path(spark, "supplier"))
@@ -73,12 +73,18 @@ def load_from_csv(spark, sf):
 @query("A5 A9", """
 SELECT 'replaced' AS mode, count(*) AS n, sum(n_nationkey)::BIGINT AS keys FROM
   (SELECT c_nationkey AS n_nationkey FROM customer)
-UNION ALL SELECT 'appended', 2 * count(*), 2 * sum(c_nationkey)::BIGINT FROM customer""")
+UNION ALL SELECT 'appended', 2 * count(*), 2 * sum(c_nationkey)::BIGINT FROM customer
+UNION ALL SELECT 'dropped', count(*), sum(c_nationkey)::BIGINT FROM customer""")
 def load_modes(spark, sf):
-    """Loading twice replaces; loading without overwrite appends; dropping a missing table is fine."""
+    """Loading twice replaces; loading without overwrite appends, unless the table was dropped
+    between; dropping a missing table is fine."""
     keys = table(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey"))
     tables.drop_table(spark, _fresh("absent"))
-    once, twice = _fresh("replaced"), _fresh("appended")
+    once, twice, dropped = _fresh("replaced"), _fresh("appended"), _fresh("dropped")
+    for part in ("first", "second"):
+        tables.drop_table(spark, dropped)
+        tables.load_table(spark, dropped, df=keys, overwrite=False,
+                          path=scratch_path(spark, f"dropped-{part}"))
     for name, overwrite in ((once, True), (twice, False)):
         place = scratch_path(spark, name)
         tables.load_table(spark, name, df=keys, path=place)
@@ -87,7 +93,18 @@ def load_modes(spark, sf):
     def counted(name: str, mode: str):
         return spark.table(name).agg(F.lit(mode).alias("mode"), F.count("*").alias("n"),
                                      F.sum("n_nationkey").alias("keys"))
-    return counted(once, "replaced").unionByName(counted(twice, "appended"))
+    return counted(once, "replaced").unionByName(counted(twice, "appended")).unionByName(
+        counted(dropped, "dropped"))
+
+
+@query("A4 A6", "SELECT least(count(*), 10) AS previewed FROM customer")
+def preview(spark, sf):
+    """Rows of a preview that are different rows of the table."""
+    people = table(spark, sf, "customer").select("c_custkey", "c_name")
+    name = tables.load_table(spark, _fresh("people"), df=people, path=scratch_path(spark, "people"))
+    some = tables.head(spark, name, 10, show=False)
+    return some.join(people, ["c_custkey", "c_name"], "left_semi").distinct().agg(
+        F.count("*").alias("previewed"))
 
 
 def _awkward():

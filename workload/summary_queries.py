@@ -159,7 +159,7 @@ def plot_sample(spark, sf):
     return orders.filter(sample_flag(orders, "o_orderkey", 0.1, 101))
 
 
-@query("G1 G2 A4", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+@query("G1 G2","SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def limit_head(spark, sf):
     return (table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
             .orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10))
