@@ -24,14 +24,17 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
-    """``df``, after lowering the session's limit of rows in an Arrow batch if it is higher.
+def small_batches(df: DataFrame, rows: int = 1_000, size: int = 4 << 20) -> DataFrame:
+    """``df``, after lowering the session's limits of rows and bytes in an Arrow batch if higher.
 
     Texts may be long, and a batch of them is held whole by the JVM and by the Python worker.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, rows)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.max{}PerBatch"
+    if not 0 < int(conf.get(name.format("Records"))) <= rows:
+        conf.set(name.format("Records"), rows)
+    set_size = conf.get(name.format("Bytes")).rstrip("bB")
+    if not set_size.isdigit() or not 0 < int(set_size) <= size:
+        conf.set(name.format("Bytes"), f"{size}b")
     return df
 
 
