@@ -17,8 +17,10 @@ What is indexed is allocated by its cost, the number of sets under the same key:
 - If more than a quarter of the segments are useless, the widely shared segments are searched too.
 - Small bands index one-deletion neighbourhoods of all segments, half as many of them.
 
-Equal sets are one record. Sets under one key are first compared with one of them; what has become
-one component is not compared again, so a large group of copies costs one comparison each. Pairs are
+Equal sets are one record. Sets under one key are first compared with one of them, the one with the
+most widely shared segments, as the origin of a group of near copies has; what has become one
+component is not compared again, so a large group of copies costs one comparison each. Sets of large
+groups that remain take turns in being compared with those that had none yet. Pairs are
 first tested by sizes and by the distance of small count vectors, which bounds the difference from
 below, and then verified exactly on the whole sets. Links go through connected components.
 
@@ -47,7 +49,7 @@ from panelwright.llm.components import components
 
 _SMALL = 40          # largest set of the small bands
 _CELLS = 128         # cells of the count vectors
-_LEADERS = 64        # sets of a large group compared with all others in a round
+_LEADERS = 256       # sets of a large group compared with all others in a round
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -292,8 +294,12 @@ class _Corpus:
         return stored(sets.join(recs, "rec", "left_semi").dropDuplicates(["rec"]), "elements")
 
 
-def _similar(pairs: DataFrame, corpus: _Corpus, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _similar(pairs: DataFrame, corpus: _Corpus, percent: int, sizes: DataFrame | None = None,
+             sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.
+
+    ``sizes`` and ``sets`` are the records' rows and sets where they are at hand for all pairs.
+    """
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             na, nb = (b.column(i).to_numpy().astype(np.int64) for i in (2, 4))
@@ -313,15 +319,16 @@ def _similar(pairs: DataFrame, corpus: _Corpus, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    sizes = corpus.records.select("rec", "n_shingles", "cells")
+    sizes = (corpus.records if sizes is None else sizes).select("rec", "n_shingles", "cells")
     close = pairs
     for side in "ab":
         close = close.join(sizes.select(F.col("rec").alias(side), F.col("n_shingles").alias(f"n{side}"),
                                         F.col("cells").alias(f"c{side}")), side)
     close = close.select("a", "b", "na", "ca", "nb", "cb").mapInArrow(near, "a long, b long")
     close = stored(close, "close")
-    recs = close.select(F.col("a").alias("rec")).union(close.select("b")).distinct()
-    sets = corpus.sets_of(stored(recs, "wanted"))
+    if sets is None:
+        recs = close.select(F.col("a").alias("rec")).union(close.select("b")).distinct()
+        sets = corpus.sets_of(stored(recs, "wanted"))
     for side in "ab":
         close = close.join(sets.select(F.col("rec").alias(side), F.col("elements").alias(f"s{side}")), side)
     return close.select("a", "b", "sa", "sb").mapInArrow(equal, "a long, b long")
@@ -339,9 +346,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _with_leader(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of everything under a key with one leader."""
+    """Pairs (a, b) of everything under a key with one leader, the set with most hot segments."""
     first = stored(members.groupBy("key").agg(
-        F.min(F.struct(~F.col("want"), "rec"))["rec"].alias("x")), "leaders")
+        F.min(F.struct(~F.col("want"), -F.col("hot"), "rec"))["rec"].alias("x")), "leaders")
     return _ordered(members.join(first, "key").select("x", F.col("rec").alias("y")))
 
 
@@ -354,30 +361,31 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(left.join(spans, "key", "left_semi"), "open-members")
 
 
-def _across(members: DataFrame, x: DataFrame) -> DataFrame:
-    """Pairs of different components under a key, one side in ``x``, one of them wanted."""
-    x = x.select("key", F.col("rec").alias("x"), F.col("root").alias("rx"), F.col("want").alias("wx"))
-    y = members.select("key", F.col("rec").alias("y"), F.col("root").alias("ry"),
-                       F.col("want").alias("wy"))
-    return _ordered(x.join(y, "key").filter("rx != ry and (wx or wy)").select("x", "y"))
+def _across(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs of different components under a key, one side in ``x`` and the other in ``y``."""
+    x = x.select("key", F.col("rec").alias("x"), F.col("root").alias("rx"))
+    y = y.select("key", F.col("rec").alias("y"), F.col("root").alias("ry"))
+    return _ordered(x.join(y, "key").filter("rx != ry").select("x", "y"))
 
 
 def _searched_again(index: DataFrame, corpus: _Corpus, group_limit: int) -> DataFrame:
-    """Members (key, rec, sets, want) for sets with more useless segments than slack."""
+    """Members (key, rec, sets, want, hot) for sets with more useless segments than slack."""
     crowded = index.filter((F.col("sets") > group_limit) & (F.col("slot") < 2))
     hot = crowded.groupBy("rec", "slot").agg(
         F.count("*").alias("hot"), F.collect_set("key").alias("keys"))
     shapes = corpus.records.select("rec", F.explode("large").alias("b")).select("rec", "b.*")
     useless = F.col("empty") + F.coalesce("hot", F.lit(0))
     again = shapes.join(hot, ["rec", "slot"], "left").filter(useless > F.col("slack")).select(
-        "rec", "slot", "keys", (useless > F.col("dense")).alias("want"))
+        "rec", "slot", "keys", (useless > F.col("dense")).alias("want"),
+        F.coalesce("hot", F.lit(0)).alias("hot"))
     again = stored(again, "again")
     todo = again.groupBy("rec").agg(F.collect_set(F.struct("slot", "keys")).alias("todo"))
     sets = corpus.sets_of(again.select("rec").distinct())
-    near = _members(_neighbourhood_rows(sets, todo)).withColumn("want", F.lit(True))
-    crowd = crowded.join(again.select("rec", "slot", "want"), ["rec", "slot"])
+    near = _members(_neighbourhood_rows(sets, todo)).withColumn("want", F.lit(True)).join(
+        again.groupBy("rec").agg(F.max("hot").alias("hot")), "rec")
+    crowd = crowded.join(again.select("rec", "slot", "want", "hot"), ["rec", "slot"])
     wanted = crowd.filter("want").select("key").distinct()
-    columns = ["key", "rec", "sets", "want"]
+    columns = ["key", "rec", "sets", "want", "hot"]
     return near.select(columns).unionByName(
         crowd.join(wanted, "key", "left_semi").select(columns))
 
@@ -388,32 +396,45 @@ def similar_records(corpus: _Corpus, percent: int = 80, group_limit: int = 24) -
         raise ValueError("the bands hold for a similarity of 80 percent or more")
     index = stored(_members(_index_rows(corpus.one_text_each(), corpus.n)), "shared-keys")
     plain = index.filter((F.col("sets") <= group_limit) | (F.col("slot") == 2)).select(
-        "key", "rec", "sets", F.lit(True).alias("want"))
+        "key", "rec", "sets", F.lit(True).alias("want"), F.lit(0).cast("long").alias("hot"))
     members = stored(plain.unionByName(_searched_again(index, corpus, group_limit)), "members")
     seen = stored(_with_leader(members), "pairs")
     links = stored(_similar(seen, corpus, percent), "links")
     roots = components(links)
     left = _open(members, roots)
     large = F.col("sets") > group_limit
-    rounds = -(-(left.filter(large).agg(F.max("sets")).head()[0] or 0) // _LEADERS)
-    for done in range(max(1, rounds)):
-        pairs = None
-        if done == 0:
-            pairs = _across(left.filter(~large), left.filter(~large))
-        if rounds:
-            turn = F.pmod(F.xxhash64("rec"), F.lit(rounds)) == done
-            more = _across(left.filter(large), left.filter(large & F.col("want") & turn))
-            pairs = more if pairs is None else pairs.unionByName(more).distinct()
-        pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if pairs.head(1):
-            seen = seen.unionByName(pairs)
-            found = stored(_similar(pairs, corpus, percent), "links")
-            if found.head(1):
-                links = links.unionByName(found)
-                roots = components(links)
+    pairs = _across(left.filter(~large), left.filter(~large)).join(seen, ["a", "b"], "left_anti")
+    links = links.unionByName(stored(_similar(stored(pairs, "pairs"), corpus, percent), "links"))
+    roots = components(links)
+    return _large_groups(left.filter(large).drop("root"), links, roots, corpus, percent)
+
+
+def _large_groups(members: DataFrame, links: DataFrame, roots: DataFrame, corpus: _Corpus,
+                  percent: int) -> DataFrame:
+    """The components (rec, root) after the wanted ``members`` of large groups had their turns.
+
+    In its turn a set is compared with the unwanted ones and with those whose turn has not passed.
+    What is compared is brought together once, so that a round reads these few records only.
+    """
+    crowd = _open(members, roots)
+    most = crowd.filter("want").groupBy("key").count().agg(F.max("count")).head()[0]
+    if not most:
+        return roots
+    recs = stored(crowd.select("rec").distinct(), "crowd")
+    sets = corpus.sets_of(recs)
+    sizes = stored(corpus.records.join(recs, "rec", "left_semi"), "crowd-records")
+    rounds = -(-most // _LEADERS)
+    turn = F.when(F.col("want"), F.pmod(F.xxhash64("rec"), F.lit(rounds))).otherwise(rounds)
+    crowd = crowd.withColumn("turn", turn)
+    for done in range(rounds):
+        pairs = stored(_across(crowd.filter(F.col("turn") == done), crowd), "pairs")
+        found = stored(_similar(pairs, corpus, percent, sizes, sets), "links")
+        if found.head(1):
+            links = links.unionByName(found)
+            roots = components(links)
         if done + 1 < rounds:
-            left = _open(members, roots)
-            if not left.filter(large).head(1):
+            crowd = _open(crowd.filter(F.col("turn") > done).drop("root"), roots)
+            if not crowd.head(1):
                 break
     return roots
 
