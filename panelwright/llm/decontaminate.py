@@ -4,9 +4,13 @@ A seed is a fixed mask over a few words in a row: words under a 1 are hashed tog
 0 are ignored, so a window still matches when an ignored word was replaced. The hashes of all
 windows of the benchmark and of the corpus are joined; every hit names a document, an item and a
 diagonal (how far the document's words are shifted against the item's). The words along the diagonal
-are then compared one by one, and the best stretch with at least four matches for each mismatch is
-the overlap. An item is found when its overlap has at least ``min_matches`` equal words, or four
-fifths of the item's words if that is less.
+are then compared one by one, and of the stretches with at least four matches for each mismatch the
+one with the most matches is the overlap. An item is found when its overlap has at least
+``min_matches`` equal words, or four fifths of the item's words if that is less.
+
+From 12 ``min_matches`` on, the masks lose no overlap of items of ten words or more: a stretch of 30
+words or more holds a shorter one that suffices, and the five masks hit every choice of mismatches in
+shorter ones (`tests/llm` goes through all of them).
 
 The corpus side emits only windows whose hash may be a benchmark hash, by a bitmap whose size is
 bounded; the join decides exactly. Texts are read a second time for documents with hits alone.
@@ -30,7 +34,8 @@ from panelwright.llm.common import (
     bitmap, bits_at, hashed_words, rows_maybe_in, small_batches, stored, windows,
 )
 
-MASKS = ("111111", "1101001011", "1011100101", "1110010011")
+MASKS = ("111111", "11100111", "11011011", "110101011", "1101100011")
+_LONGEST = 10                 # items from so many words on are looked up by the masks
 _MOST_BITS = 1 << 27
 _MISMATCH = -4
 
@@ -68,14 +73,12 @@ def benchmark_items(benchmark: DataFrame, min_words: int, item: str, text: str)
 def item_seeds(items: DataFrame, seeds: list[tuple[int, ...]], short: list[tuple[int, ...]]
                ) -> DataFrame:
     """Rows (hash, item_id, at): where the items have which window."""
-    longest = max(s[-1] + 1 for s in seeds)
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], []]
             for item, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = np.frombuffer(raw, np.uint64)
-                own = seeds if len(words) >= longest else [s for s in short if len(s) == len(words)]
+                own = seeds if len(words) >= _LONGEST else [s for s in short if len(s) == len(words)]
                 for h in _seed_hashes(words, own):
                     out[0].append(h.view(np.int64))
                     out[1].append(np.full(len(h), item, np.int64))
@@ -117,15 +120,20 @@ def text_hits(docs: DataFrame, filled: np.ndarray, seeds: list[tuple[int, ...]])
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Best stretch along a diagonal: first word in the document, words, equal words."""
+    """Stretch along a diagonal with the most equal words among those with four for each mismatch,
+    the first of such: first word in the document, words, equal words."""
     low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     if high <= low:
         return 0, 0, 0
     equal = doc[low + diagonal:high + diagonal] == item[low:high]
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, _MISMATCH))])
-    least = np.minimum.accumulate(total)
-    end = int(np.argmax(total - least))
-    start = int(np.flatnonzero(total[:end + 1] == least[end])[-1])
+    matches = np.concatenate([[0], np.cumsum(equal)])
+    # for each end the earliest start with a sum that is not above the end's; it has the most matches
+    starts = np.searchsorted(-np.minimum.accumulate(total), -total)
+    end = int(np.argmax(matches - matches[starts]))
+    start = int(starts[end])
+    if end > start:
+        start += int(np.argmax(equal[start:end]))
     return low + diagonal + start, end - start, int(equal[start:end].sum())
 
 
@@ -155,9 +163,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_matches: int = 12, m
     """One row per text and item found in it: doc_id, digest, item_id, first_word, n_words, n_equal,
     item_words. ``digest`` is ``xxhash64`` of the text."""
     seeds = [_places(m) for m in MASKS]
-    longest = max(s[-1] + 1 for s in seeds)
     items = stored(benchmark_items(benchmark, min_words, item, item_text), "items")
-    lengths = items.filter(F.col("n") < longest).select("n").distinct().collect()
+    lengths = items.filter(F.col("n") < _LONGEST).select("n").distinct().collect()
     short = [tuple(range(r.n)) for r in sorted(lengths)]
     keys = stored(item_seeds(items, seeds, short), "item-seeds")
     bits = 1 << 20

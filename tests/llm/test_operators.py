@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -353,6 +354,62 @@ def test_decontamination(spark, docs, rows, benchmark, nothing):
     assert decontaminate.without_benchmark(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def _plain_overlap(equal):
+    best = 0
+    for a in range(len(equal)):
+        for b in range(a + 1, len(equal) + 1):
+            n = sum(equal[a:b])
+            if n >= 4 * (b - a - n):
+                best = max(best, n)
+    return best
+
+
+def test_overlap_has_the_most_matches():
+    """Single replaced words at every place, and spread ones, in items of 5 to 30 words."""
+    draw = np.random.default_rng(3)
+    for n in range(5, 31):
+        item = np.arange(n, dtype=np.uint64)
+        spread = [draw.choice(n, k, replace=False) for k in (2, 3, 4, 5, 6) for _ in range(8) if k <= n]
+        for replaced in [[i] for i in range(n)] + spread + [np.arange(4, n, 5)]:
+            doc = np.concatenate([item[:3] + 500, item, item[:3] + 500])
+            doc[3 + np.asarray(replaced)] += 1000
+            first, length, equal = decontaminate.overlap(doc, item, 3)
+            assert equal == _plain_overlap((doc[3:3 + n] == item).tolist())
+            inside = doc[first:first + length] == item[first - 3:first - 3 + length]
+            assert inside.sum() == equal >= 4 * (length - equal)
+            assert not equal or inside[0] and inside[-1]
+
+
+@pytest.mark.parametrize("words, replaced", [(9, 1), (10, 2), (15, 3), (20, 4), (25, 5)])
+def test_masks_lose_no_overlap(words, replaced):
+    choices = np.array(list(combinations(range(words), replaced)))
+    differ = (1 << choices).sum(axis=1)
+    hit = np.zeros(len(differ), bool)
+    for mask in decontaminate.MASKS:
+        shape = sum(1 << i for i, c in enumerate(mask) if c == "1")
+        for at in range(words - len(mask) + 1):
+            hit |= differ & (shape << at) == 0
+    assert hit.all()
+
+
+def test_replaced_words_are_found(spark):
+    """Items of 10 to 30 words with every place replaced, and with a fifth replaced."""
+    draw = np.random.default_rng(5)
+    items, texts, want = [], [], set()
+    for n in range(10, 31):
+        words = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        for gone in [[i] for i in range(n)] + [list(range(2, n, 5)), draw.choice(n, n // 5, False).tolist()]:
+            text = [f"new{k}" if k in gone else w for k, w in enumerate(words)]
+            equal = _plain_overlap([k not in gone for k in range(n)])
+            if equal >= min(12, -(-4 * n // 5)):
+                want.add((len(texts), n, equal))
+            texts.append((len(texts), " ".join(["before", *text, "after"])))
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"),
+                                     spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.n_equal) for r in got.collect()} == want
+
+
 def test_pipeline_by_stages(spark, sf):
     """Every stage on the smallest tables against the plain statements."""
     import corpus_pipeline as cp
