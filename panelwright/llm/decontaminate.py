@@ -14,7 +14,8 @@ shorter ones (`tests/llm` goes through all of them).
 
 The corpus side emits only windows whose hash may be a benchmark hash, by a bitmap whose size is
 bounded; the join decides exactly. Texts are read a second time for documents with hits alone.
-Items shorter than a mask are looked up by the hash of all their words.
+Items of five to nine words have masks of their own length that ignore one place each, so that any one
+word may be replaced.
 
 Defined results: NULL, empty and short texts have no windows. Items with fewer than ``min_words``
 words and NULL items are left out, as so few words are no evidence. Items that repeat are found
@@ -44,6 +45,18 @@ def _places(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
+def short_seeds(n: int) -> list[tuple[int, ...]]:
+    """Seeds for items of ``n`` < 10 words: all words but a fifth, whichever these are.
+
+    Under five words none may differ. From five on one may: the first n - 1 places serve for the
+    first and the last word, as an item has two such windows.
+    """
+    if n < 5:
+        return [tuple(range(n))]
+    return [tuple(range(n - 1))] + [
+        tuple(i for i in range(n) if i != gone) for gone in range(1, n - 1)]
+
+
 def _seed_hashes(words: np.ndarray, seeds: list[tuple[int, ...]]) -> Iterator[np.ndarray]:
     """Hashes of all windows, seed by seed; seeds of different shape give different hashes."""
     for places in seeds:
@@ -70,15 +83,14 @@ def benchmark_items(benchmark: DataFrame, min_words: int, item: str, text: str)
         read, "item_id long, n int, words binary").distinct()
 
 
-def item_seeds(items: DataFrame, seeds: list[tuple[int, ...]], short: list[tuple[int, ...]]
-               ) -> DataFrame:
+def item_seeds(items: DataFrame, seeds: list[tuple[int, ...]]) -> DataFrame:
     """Rows (hash, item_id, at): where the items have which window."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], []]
             for item, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = np.frombuffer(raw, np.uint64)
-                own = seeds if len(words) >= _LONGEST else [s for s in short if len(s) == len(words)]
+                own = seeds if len(words) >= _LONGEST else short_seeds(len(words))
                 for h in _seed_hashes(words, own):
                     out[0].append(h.view(np.int64))
                     out[1].append(np.full(len(h), item, np.int64))
@@ -165,8 +177,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_matches: int = 12, m
     seeds = [_places(m) for m in MASKS]
     items = stored(benchmark_items(benchmark, min_words, item, item_text), "items")
     lengths = items.filter(F.col("n") < _LONGEST).select("n").distinct().collect()
-    short = [tuple(range(r.n)) for r in sorted(lengths)]
-    keys = stored(item_seeds(items, seeds, short), "item-seeds")
+    short = [s for r in sorted(lengths) for s in short_seeds(r.n)]
+    keys = stored(item_seeds(items, seeds), "item-seeds")
     bits = 1 << 20
     while bits < 512 * keys.count() and bits < _MOST_BITS:
         bits *= 2

@@ -410,6 +410,23 @@ def test_replaced_words_are_found(spark):
     assert {(r.doc_id, r.item_id, r.n_equal) for r in got.collect()} == want
 
 
+def test_short_items_with_a_replaced_word_are_found(spark):
+    """Items of five to nine words, whole, with each word replaced or left out at an end, and with two."""
+    items, texts, want = [], [], set()
+    for n in range(5, 10):
+        words = [f"s{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        found = [words, words[1:], words[:-1]] + [words[:i] + ["new"] + words[i + 1:] for i in range(n)]
+        for text in [*found, ["new", *words[1:-1], "new"]]:
+            want |= {(len(texts) + k, n) for k in (0, 1) if text in found}
+            texts += [(len(texts), " ".join(text)), (len(texts) + 1, " ".join(["it", *text, "is"]))]
+    items.append((4, "s4x0 s4x1 s4x2 s4x3"))
+    texts.append((len(texts), "it s4x0 s4x1 s4x2 s4x3 is"))
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"),
+                                     spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_pipeline_by_stages(spark, sf):
     """Every stage on the smallest tables against the plain statements."""
     import corpus_pipeline as cp
