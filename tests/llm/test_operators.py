@@ -326,6 +326,37 @@ def test_training_lowers_the_loss(vocabulary):
     assert attention.gradient(after, *batch)[0] < 0.5 * attention.gradient(p, *batch)[0]
 
 
+def test_every_training_id_is_a_target_once(docs, tokenizer):
+    learnt = docs.select("doc_id", "text").filter(lm_scoring.trains(F.col("doc_id"), 7, 2))
+    found = lm_scoring.gathered(learnt, tokenizer, 49406, 49407, 1).toPandas()
+    used = found[found["kind"] == 1].groupby("key")["n"].sum()
+    counts = np.zeros(49_408, np.int64)
+    counts[used.index] = used
+    plain = attention.Vocabulary(np.arange(49_408), np.arange(49_408), np.zeros(49_408))
+    runs, seen = found[found["kind"] == 2], np.zeros(49_408, np.int64)
+    assert runs["n"].max() == 1
+    for _, targets, real, _ in lm_scoring._batches(runs["ids"].tolist(), runs["n"].to_numpy(), plain):
+        seen += np.bincount(targets[real], minlength=49_408)
+    assert (seen == counts).all()
+
+
+def test_training_beats_the_base_on_left_out_texts(spark, tokenizer):
+    """Texts in which each word is followed by one of two words."""
+    draw = np.random.default_rng(4)
+    names = ("the and for you are not with this that from have was but all can "
+             "out one his her who").split()
+    texts = []
+    for i in range(400):
+        at, text = int(draw.integers(20)), []
+        for _ in range(90):
+            text.append(names[at])
+            at = (at * 3 + 1 + int(draw.integers(2))) % 20
+        texts.append((i, " ".join(text)))
+    got = lm_scoring.scored(spark.createDataFrame(texts, "doc_id long, text string"), tokenizer)
+    sums = got.filter("held_out").agg(F.sum("score"), F.sum("base_score")).head()
+    assert sums[0] > 0.5 * sums[1]
+
+
 @pytest.fixture(scope="module")
 def benchmark(spark, rows):
     long = max((r[1] for r in rows if r[1] and r[1].startswith("q")), key=len)
