@@ -3,7 +3,9 @@
 Documents are linked when their texts are equal. Every document starts with a label drawn from its
 id. In each round the linked documents join their neighbours' labels, turn to the one that most of
 them have, and move there as far as the shard's quota has room; the others keep their place or wait
-for the next round, when they turn to the best shard that is still open. A quota is the shard's
+for the next round, when they turn to the best shard that is still open, or draw one with room for
+them. Rounds end when no waiting unit fits anywhere; the fewer than ``shards`` units left then fill the
+remaining room one after another. A quota is the shard's
 final number of rows, so linked documents never crowd a shard, and documents without links fill
 what is left: row counts differ by one at most.
 
@@ -62,8 +64,12 @@ def _admit(units: DataFrame, wish: str, room: list[int], n_units: int) -> DataFr
     return asking.unionByName(rest).drop(wish)
 
 
-def _wishes(units: DataFrame, room: list[int], rounds_done: int) -> DataFrame:
-    """Where each unit would go: the open shard with most of its group, if that is more than here."""
+def _wishes(units: DataFrame, room: list[int], rounds_done: int, moving: bool) -> DataFrame:
+    """Where each unit would go: the open shard with most of its group, if that is more than here.
+
+    A unit without a label whose group has no open shard draws one among those with room for it, by
+    their room. Units with a label stay if not ``moving``.
+    """
     open_ = [s for s, r in enumerate(room) if r > 0]
     if not open_:
         return units.withColumn("wish", F.lit(None).cast("int"))
@@ -75,17 +81,19 @@ def _wishes(units: DataFrame, room: list[int], rounds_done: int) -> DataFrame:
     is_open = lambda v: F.get(_as_array(room), -v["l"]) >= F.col("rows")
     best = F.array_max(F.filter("votes", is_open))
     here = F.array_max(F.filter("votes", lambda v: v["l"] == -F.col("label")))
-    drawn = F.get(_as_array(open_, "int"),
-                  F.pmod(F.xxhash64("g", F.lit(rounds_done)), F.lit(len(open_))).cast("int"))
-    wish = F.when(F.col("label").isNull(), F.coalesce(-best["l"], drawn)).when(
-        best > here, -best["l"])
+    fitting = [F.when(F.col("rows") <= r, F.lit(r)).otherwise(0).cast("long") for r in room]
+    ends = F.array(*[sum(fitting[1:s + 1], fitting[0]) for s in range(len(room))])
+    ticket = F.pmod(F.xxhash64("g", "chunk", F.lit(rounds_done)), F.nullif(sum(fitting[1:], fitting[0]), F.lit(0)))
+    drawn = F.when(ticket.isNotNull(), F.size(F.filter(ends, lambda e: e <= ticket)).cast("int"))
+    better = F.when(best > here, -best["l"]) if moving else F.lit(None)
+    wish = F.when(F.col("label").isNull(), F.coalesce(-best["l"], drawn)).otherwise(better)
     return joined.withColumn("wish", wish.cast("int")).drop("_g", "votes")
 
 
 def sharded(docs: DataFrame, shards: int = 24, rounds: int = 16, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot.
 
-    ``rounds`` bounds the propagation; what still waits then is placed like loose rows.
+    ``rounds`` bounds the moves of units that have a place; those that wait go on while any fits.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     meta = docs.select(
@@ -115,22 +123,44 @@ def sharded(docs: DataFrame, shards: int = 24, rounds: int = 16, text: str = "te
                                 (-F.col("v")["l"]).alias("wish")), "shard-units")
     n_units = units.count()
     units = stored(_admit(units, "wish", quota, n_units), "shard-units")
-    room = quota
-    for done in range(rounds):
-        state = units.groupBy("label").agg(F.sum("rows").alias("rows"),
-                                           F.sum(F.col("moved").cast("int")).alias("moved")).collect()
+    done = 0
+    while True:
+        state = units.groupBy("label").agg(
+            F.sum("rows").alias("rows"), F.min("rows").alias("least"),
+            F.sum(F.col("moved").cast("int")).alias("moved")).collect()
         load = {r.label: r.rows for r in state}
         room = [q - load.get(s, 0) for s, q in enumerate(quota)]
-        if not any(r.moved for r in state) or done == rounds - 1:
+        waits = any(r.label is None and r.least <= max(room) for r in state)
+        moving = done < rounds - 1 and any(r.moved for r in state)
+        if not waits and not moving:
             break
-        units = stored(_admit(_wishes(units.drop("moved"), room, done), "wish", room, n_units),
+        units = stored(_admit(_wishes(units.drop("moved"), room, done, moving), "wish", room, n_units),
                        "shard-units")
+        done += 1
     placed = units.filter(F.col("label").isNotNull()).select(
         F.col("g").alias("_g"), F.col("chunk").alias("_chunk"), "label")
     joined = stored(meta.join(placed, (F.col("g") == F.col("_g")) & (F.col("chunk") == F.col("_chunk")),
-                              "left").drop("_g", "_chunk", "first", "chunk"), "shard-labels")
-    loose = with_slots(joined.filter(F.col("label").isNull()).withColumn("_all", F.lit(0)), "_all",
+                              "left").drop("_g", "_chunk", "first"), "shard-labels")
+    # each of these has more rows than any shard has room, so they are fewer than the shards
+    starts, filled = {}, 0
+    waiting = units.filter(F.col("label").isNull()).orderBy("g", "chunk").collect()
+    for r in waiting:
+        starts[f"{r.g}/{r.chunk}"] = filled
+        filled += r.rows
+    rest = joined.filter(F.col("label").isNull()).withColumn("_start", F.lit(None).cast("long"))
+    if starts:
+        rest = rest.withColumn("_start", F.try_element_at(
+            F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]),
+            F.concat_ws("/", "g", F.col("chunk").cast("string"))).cast("long"))
+    loose = with_slots(rest.filter(F.col("_start").isNull()).withColumn("_all", F.lit(0)), "_all",
                        [F.col("g"), F.col("doc_id")], "_place", total, 5_000).drop("_all")
+    loose = loose.withColumn("_place", F.col("_place") + filled)
+    if starts:
+        whole = with_slots(rest.filter(F.col("_start").isNotNull()).withColumn("_unit", F.col("_start")),
+                           "_unit", [F.col("doc_id")], "_place", max(r.rows for r in waiting),
+                           _ROWS_PER_TASK).drop("_unit")
+        loose = loose.unionByName(whole.withColumn("_place", F.col("_place") + F.col("_start")))
+    loose = loose.drop("_start")
     ends = [sum(room[:s + 1]) for s in range(shards)]
     fill = F.size(F.filter(_as_array(ends), lambda e: e <= F.col("_place"))).cast("int")
     loose = loose.withColumn("label", fill).drop("_place")

@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 import brute
 from panelwright.llm import (
@@ -101,6 +101,22 @@ def test_a_group_beyond_a_quota_is_cut_at_quotas_only(spark):
     assert len({r.shard for r in got if r.doc_id % 3 == 0}) <= 4
 
 
+@pytest.mark.parametrize("groups", [10, 90])
+def test_units_are_cut_at_quota_ends_only(spark, groups):
+    """Groups that fill all of 20,000 rows: units are whole but for one cut a shard."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("text "), (F.col("id") % groups).cast("string")).alias("text"))
+    got = sharding.sharded(docs, 24)
+    sizes = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert len(sizes) == 24 and max(sizes) - min(sizes) <= 1
+    part = max(sizes) // 8
+    n = F.count("*").over(Window.partitionBy("text_crc32"))
+    chunk = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.ceil(n / part))
+    units = got.withColumn("chunk", chunk).groupBy("text_crc32", "chunk").agg(
+        F.count_distinct("shard").alias("n")).agg(F.count("*"), F.sum("n")).head()
+    assert units[1] <= units[0] + 23
+
+
 def test_line_dedup(docs, rows, nothing):
     want = Counter((i, n, d, hashlib.sha256(t.encode()).hexdigest())
                    for i, n, d, t in brute.kept_lines([r[:2] for r in rows]))
