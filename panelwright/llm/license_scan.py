@@ -1,7 +1,8 @@
 """Licence statements by TF-IDF cosine, and inheritance from the nearest licence file above.
 
-A file's own licence is the template with the greatest cosine to one of its lines, or to its whole
-text if it is a licence file, from ``threshold`` on. Terms are runs of ASCII letters and digits in
+A file's own licence is the template with the greatest cosine to one of its lines, to a stretch of its
+text as long as a template and around an anchor, or to its whole text if it is a licence file, from
+``threshold`` on. Stretches pass over line breaks, so a statement may share its line or be wrapped. Terms are runs of ASCII letters and digits in
 lower case. Inverse document frequencies of the templates' terms are counted over all files; a term
 that no template has weighs like one that no file has. A line can only reach the threshold if it
 has one of a template's anchors: the heaviest terms, without which the rest of the template is too
@@ -127,18 +128,30 @@ class Weights:
             F.lit(-i).alias("rank")) for i, name in enumerate(sorted(self.vectors))]))
 
 
+def stretches(own: Column, anchors: Column, lengths: Sequence[int]) -> Column:
+    """The stretches of ``lengths`` terms that have an anchor, each once."""
+    def around(w: Column) -> Column:
+        hits = F.array_compact(F.transform(w, lambda t, i: F.when(F.array_contains(anchors, t), i)))
+        return F.flatten(F.transform(hits, lambda p: F.flatten(F.array(*[F.transform(
+            F.sequence(F.greatest(p - (n - 1), F.lit(0)), p), lambda a: F.slice(w, a + 1, n))
+            for n in lengths]))))
+    # the terms are bound to a variable, so that they are formed once
+    return F.array_distinct(F.flatten(F.transform(F.array(own), around)))
+
+
 def directory(path: Column) -> Column:
     """Path without its last part; empty at the top."""
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
 def own_licences(files: DataFrame, keep: list[str], weights: Weights, threshold: float, text: str,
-                 is_licence_file: Column) -> DataFrame:
+                 is_licence_file: Column, lengths: Sequence[int]) -> DataFrame:
     """``keep`` columns, ``path``, ``_file`` (licence file or not) and ``_own`` (or NULL)."""
     anchors = _strings(weights.anchors(threshold))
     raw = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.transform(F.split(raw, "\n"), terms), lambda t: F.arrays_overlap(t, anchors))
-    units = files.select(*keep, "path", is_licence_file.alias("_file"), lines.alias("_lines"),
+    units = files.select(*keep, "path", is_licence_file.alias("_file"), F.array_distinct(F.concat(
+        lines, stretches(terms(raw), anchors, lengths))).alias("_lines"),
                          F.when(is_licence_file, terms(raw)).alias("_whole"))
     units = units.withColumn("_units", F.when(F.size("_whole") > 0, F.concat(
         "_lines", F.array("_whole"))).otherwise(F.col("_lines")))
@@ -155,8 +168,9 @@ def scan(files: DataFrame, keep: list[str], is_licence_file: Column,
     ``files`` has a column ``path`` with ``/`` between its parts.
     """
     vocabulary = sorted({t for x in templates for t in x.terms()})
+    lengths = sorted({sum(x.terms().values()) for x in templates})
     weights = Weights.of(templates, *frequencies(files, vocabulary, text))
-    own = stored(own_licences(files, keep, weights, threshold, text, is_licence_file)
+    own = stored(own_licences(files, keep, weights, threshold, text, is_licence_file, lengths)
                  .withColumn("_dir", directory(F.col("path"))), "licences")
     named = own.filter(F.col("_file") & F.col("_own").isNotNull()).groupBy(
         F.col("_dir").alias("_at")).agg(F.min(F.struct(

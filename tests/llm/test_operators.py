@@ -250,6 +250,18 @@ def test_licences(spark, nothing):
     assert license_scan.scan(empty, ["doc_id"], F.lit(False)).count() == 0
 
 
+def test_licences_in_shared_and_wrapped_lines(spark):
+    fill = " ".join(f"word{k}" for k in range(40))
+    texts = {"proprietary": "Copyright 2020 Acme Corp. All rights reserved.",
+             "GPL-3.0": f"{fill} This work is licensed under the GNU General Public License, version 3. {fill}",
+             "Apache-2.0": "# one two Licensed under the Apache\n# License, Version 2.0. three four",
+             "MIT": f"{fill} " * 50 + "Released under the MIT License. " + fill, "none": fill}
+    files = spark.createDataFrame([(f"{k}/f", t) for k, t in texts.items()], "path string, text string")
+    got = license_scan.scan(files, [], F.lit(False)).collect()
+    assert {r.path: r.licence for r in got} == {
+        f"{k}/f": None if k == "none" else k for k in texts}
+
+
 def test_anchors_lose_no_line():
     found = {t: 50 for t in ("the", "under", "this", "is", "by")}
     weights = license_scan.Weights.of(license_scan.HEADERS, 1000, found)
