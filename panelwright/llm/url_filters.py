@@ -9,6 +9,9 @@ takes for such, and so on until a level errs on nothing; a key's membership is t
 the level that first refuses it. That is exact for every key of the universe, and a lookup tests
 bits of constants, without a join.
 
+Level 1 has as many hashes a key as the universe is doublings larger than the list, and the bits for
+them, so that it errs on about as many keys as are listed, and later levels follow the list's size.
+
 The bits of a level are constants of the plan, so their size must be bounded: beyond ``max_bits``
 the listed keys are joined instead, which is exact as well.
 
@@ -20,6 +23,7 @@ empty result. Rows that repeat are judged alike. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -87,7 +91,7 @@ class Level:
 
 
 def _places(key: Column, salt: int, hashes: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(salt * hashes + i), key), F.lit(bits).cast("long"))
+    return [F.pmod(F.xxhash64(F.lit(salt * 64 + i), key), F.lit(bits).cast("long"))
             for i in range(hashes)]
 
 
@@ -124,9 +128,13 @@ def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 8,
     no = universe.select("key").distinct().join(yes, "key", "left_anti")
     here, other, levels = yes, no, []
     while (n := here.count()) or not levels:
-        if n * bits_per_key > max_bits:
+        each, bits = hashes, bits_per_key
+        if n and not levels:
+            each = max(hashes, math.ceil(math.log2(max(1, other.count()) / n)))
+            bits = max(bits_per_key, math.ceil(each / math.log(2)))
+        if n * bits > max_bits:
             return None
-        level = _level(here, n, len(levels), bits_per_key, hashes)
+        level = _level(here, n, len(levels), bits, each)
         levels.append(level)
         here, other = stored(other.filter(level.holds(F.col("key"))), "cascade"), here
     return Cascade(tuple(levels))

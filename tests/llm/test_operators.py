@@ -164,6 +164,15 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert found.exceptAll(listed).count() == 0 and listed.exceptAll(found).count() == 0
 
 
+def test_cascade_follows_the_list_not_the_universe(spark):
+    universe = spark.range(200_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = universe.filter(F.col("key").isin([f"k{i}" for i in range(5)]))
+    cascade = url_filters.build_cascade(listed, universe, max_bits=1 << 10)
+    assert cascade is not None
+    found = universe.filter(cascade.contains(F.col("key")))
+    assert {r.key for r in found.collect()} == {f"k{i}" for i in range(5)}
+
+
 def test_language_id(spark, docs, nothing):
     draw = np.random.default_rng(1)
     parts = {"en": "the and ing tion ent", "de": "der und sch keit ung", "fr": "les eau eux ment que",
