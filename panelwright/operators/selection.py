@@ -253,15 +253,16 @@ def replicate_scores(df: DataFrame, model: LinearModel, key: str, replicates: in
 
 
 def best_subset_cv(df: DataFrame, response: str, predictors: Sequence[str], key: str,
-                   replicates: int = 100, seed: int = 37) -> SubsetSearch:
+                   replicates: int = 100, seed: int = 37,
+                   most_predictors: int = MOST_PREDICTORS) -> SubsetSearch:
     """Best subset of the size whose delete-d cross-validation error is least.
 
     In every replicate the best subset of each size is found on the training rows and
     judged on the held-out ones. The winner of the chosen size is then fitted on all rows.
     """
     predictors = list(predictors)
-    if len(predictors) > MOST_PREDICTORS:
-        raise ValueError(f"all subsets of more than {MOST_PREDICTORS} predictors are too many; "
+    if len(predictors) > most_predictors:
+        raise ValueError(f"all subsets of more than {most_predictors} predictors are too many; "
                          "reduce them first, for example by backward_by_aic")
     model = fit(df, response, predictors)
     if model.n < 21:

@@ -81,6 +81,7 @@ class Study:
     outputs: DataFrame
     results: DataFrame
     numbers: dict[str, float | None] = field(default_factory=dict)
+    skipped: dict[str, tuple[str, float]] = field(default_factory=dict)
 
     def report(self, spark) -> DataFrame:
         """All single numbers as rows (section, measure, value)."""
@@ -95,18 +96,21 @@ class Study:
         rows += [("response", name, value) for name, value in self.numbers.items()]
         if self.subsets is not None:
             rows.append(("best_subset", "size", float(self.subsets.size)))
+        rows += [(name, f"skipped: {why}", value) for name, (why, value) in self.skipped.items()]
         plain = [(s, m, None if v is None else float(v)) for s, m, v in rows]
         return spark.createDataFrame(plain, "section string, measure string, value double")
 
 
 def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 100.0),
             validation: float = 0.2, seed: int = 37, replicates: int = 100,
-            raw_power: bool = False) -> Study:
+            raw_power: bool = False,
+            most_predictors: int = selection.MOST_PREDICTORS) -> Study:
     """Fit, test, transform, select, compare and validate, on one keyed split.
 
     The design is written to the shared folder once, since every later step reads it.
     A shift that leaves the response non-positive is skipped, and so is the search for best
-    subsets when elimination leaves no predictor, or too many or too few rows for it. With
+    subsets when elimination leaves no predictor, or more than ``most_predictors`` or too few rows
+    for it; the report has a row with the reason for each skipped step. With
     ``raw_power`` the found exponents apply to the response as it is; its negative values
     then have no power, and their rows are left out and counted.
     """
@@ -119,6 +123,8 @@ def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 1
     scored = step.score(full.score(training), "step_yhat", "step_residual")
     low, high = value_ranges(training, [RESPONSE])[RESPONSE]
     usable_shifts = [s for s in shifts if low + s > 0]
+    skipped = {f"boxcox_shift_{s:g}": ("least shifted response is not positive", low + s)
+               for s in shifts if s not in usable_shifts}
 
     def transform(shift: float) -> tuple[list[boxcox.Profile], ls.LinearModel, DataFrame]:
         rounds = boxcox.refine(training, RESPONSE, terms, shift)
@@ -128,12 +134,16 @@ def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 1
         return rounds, model, model.score(powered)
 
     def best_subsets() -> selection.SubsetSearch | None:
-        if not 0 < len(step.predictors) <= selection.MOST_PREDICTORS:
+        n = len(step.predictors)
+        if not 0 < n <= most_predictors:
+            why = f"more than {most_predictors} predictors" if n else "no predictor left"
+            skipped["best_subset"] = (why, float(n))
             return None
         try:
             return selection.best_subset_cv(
-                training, RESPONSE, step.predictors, KEY, replicates, seed)
-        except selection.TooFewRows:
+                training, RESPONSE, step.predictors, KEY, replicates, seed, most_predictors)
+        except selection.TooFewRows as few:
+            skipped["best_subset"] = (str(few), float(step.n))
             return None
 
     def constant_spread(rows: DataFrame, residual: str, by: str) -> diagnostics.TestResult:
@@ -172,4 +182,4 @@ def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 1
                  everywhere.select(KEY, GROUP, RESPONSE, "yhat", "residual", "step_yhat",
                                    "step_residual"),
                  results, {"low": low, "high": high, "range": high - low,
-                           "validation_rows": float(judged["n"])})
+                           "validation_rows": float(judged["n"])}, skipped)
