@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwright.llm import (
-    decontaminate, language_id, license_scan, line_dedup, lm_scoring, ngram_join, packing,
-    quality_rules, sharding, url_filters,
+    conversations, decontaminate, fingerprint, language_id, lexical, license_scan, line_dedup,
+    lm_scoring, ngram_join, packing, quality_rules, sharding, url_filters,
 )
 from panelwright.llm.sql import SQL
 
@@ -88,6 +88,19 @@ def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("digest")
 
 
+def repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair_report(conversations.damaged(rows), rows)
+
+
+def search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.next_likeness(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality,
     "op2_ngram_jaccard_join": ngram,
@@ -99,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": licences,
     "op9_lm_scoring": lm,
     "op10_benchmark_decontamination": leaks,
+    "op11_conversation_repair": repairs,
+    "op12_lexical_search": search,
+    "op13_fingerprints": fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = SQL

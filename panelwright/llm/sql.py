@@ -110,8 +110,35 @@ SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 FROM parts p LEFT JOIN best b ON p.page_id = b.page_id
 """
 
+# Term counts of all documents, weights, and the sums of each item's terms in each document.
+_SEARCH = r"""
+WITH doc_terms AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+facts AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_all FROM doc_terms WHERE len(t) > 0),
+tfs AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (
+    SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM doc_terms) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tfs, facts GROUP BY term),
+item_terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) //
+    (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_all))))::BIGINT AS score
+  FROM item_terms JOIN tfs USING (term) JOIN weights USING (term), facts GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scores WHERE score > 0) WHERE rank <= 50
+"""
+
 SQL: dict[str, str] = {
     "op1_quality_rules": _QUALITY,
     "op5_line_dedup": _LINES,
     "op7_url_filters": _URLS,
+    "op12_lexical_search": _SEARCH,
 }
