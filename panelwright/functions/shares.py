@@ -75,16 +75,3 @@ def power(value: Column | str, exponent: float) -> Column:
     """
     v = _col(value).cast("double")
     return F.ln(v) if exponent == 0 else F.pow(v, F.lit(float(exponent)))
-
-
-def scaled_power(value: Column | str, exponent: float, geo_mean: Column | float) -> Column:
-    """Box-Cox response whose error sums compare across exponents.
-
-    Written as ``g * (v/g)**l / l``; it differs from the textbook form by a constant
-    that the intercept takes up, and does not cancel for strongly negative exponents.
-    """
-    v = _col(value).cast("double")
-    g = geo_mean if isinstance(geo_mean, Column) else F.lit(float(geo_mean))
-    if exponent == 0:
-        return g * F.ln(v)
-    return g * F.pow(v / g, F.lit(float(exponent))) / F.lit(float(exponent))

@@ -2,7 +2,7 @@
 
 Every task folds its Arrow batches into the triangular factor of ``[1 X]`` together with
 the rotated responses and the squared residuals; the factors are merged in groups on the
-executors and the rest on the driver. The QR form keeps full precision for nearly
+executors, level by level, and the last few on the driver. The QR form keeps full precision for nearly
 collinear predictors, where cross-products lose half of the digits.
 """
 
@@ -19,15 +19,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions.shares import interactions as product_columns
 from panelwright.functions.tails import f_upper, t_two_sided
-from panelwright.operators.ordering import column_quantiles, usable
+from panelwright.operators.ordering import column_quantiles
 
 INTERCEPT = "(Intercept)"
 
 # Fixed value: a column whose remaining norm falls below this share of its norm is aliased.
 ALIAS_TOLERANCE = 1e-7
 
-# Factors are merged in this many groups before the driver sees them.
-_MERGE_GROUPS = 256
+# Task results are merged in groups of this many, twice, before the rest is brought together.
+_FAN_IN = 128
 
 _FACTOR_SCHEMA = "slot int, n long, dropped long, refused long, logs double, " \
                  "r array<double>, qty array<double>, rss array<double>"
@@ -91,6 +91,19 @@ def batch_matrix(batch: pa.RecordBatch) -> np.ndarray:
         for column in batch.columns])
 
 
+def merged_in_levels(rows: DataFrame, merge: Callable[[pa.Table], pa.Table], schema: str,
+                     *keys: str, levels: int = 2) -> DataFrame:
+    """Task results (slot, ...) merged in a tree: slots of neighbouring tasks, a bounded number a group.
+
+    ``slot`` starts as the number of the task. After two levels there is one row, per ``keys``, for
+    every 16,384 tasks.
+    """
+    for _ in range(levels):
+        rows = (rows.withColumn("slot", F.floor(F.col("slot") / _FAN_IN).cast("int"))
+                .groupBy(*keys, "slot").applyInArrow(merge, schema))
+    return rows
+
+
 def accumulate(df: DataFrame, response: str, predictors: Sequence[str], responses: int = 1,
                expand: Callable[[np.ndarray], np.ndarray] | None = None,
                positive: bool = False) -> Factor:
@@ -123,8 +136,8 @@ def accumulate(df: DataFrame, response: str, predictors: Sequence[str], response
                 continue
             y = rows[:, :1] if expand is None else expand(rows[:, 0])
             factor.add_rows(rows[:, 1:], y)
-        slot = TaskContext.get().partitionId() % _MERGE_GROUPS
-        yield pa.RecordBatch.from_pydict(factor.columns(slot), schema=schema)
+        yield pa.RecordBatch.from_pydict(
+            factor.columns(TaskContext.get().partitionId()), schema=schema)
 
     def merge_group(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -133,8 +146,7 @@ def accumulate(df: DataFrame, response: str, predictors: Sequence[str], response
             merged.merge(Factor.from_row(row, width))
         return pa.Table.from_pydict(merged.columns(rows[0]["slot"]), schema=schema)
 
-    merged = (needed.mapInArrow(fold, _FACTOR_SCHEMA)
-              .groupBy("slot").applyInArrow(merge_group, _FACTOR_SCHEMA))
+    merged = merged_in_levels(needed.mapInArrow(fold, _FACTOR_SCHEMA), merge_group, _FACTOR_SCHEMA)
     total = Factor.empty(width, responses)
     for row in sorted(merged.collect(), key=lambda r: r["slot"]):
         total.merge(Factor.from_row(row, width))
@@ -301,10 +313,3 @@ def design(df: DataFrame, key: str, response: str, predictors: Sequence[str],
     frame = df.select(key, response, *predictors).withColumns(product_columns(products))
     return frame, [*predictors, *products]
 
-
-def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows a fit on these columns would use."""
-    keep = F.lit(True)
-    for c in columns:
-        keep = keep & usable(F.col(c).cast("double"))
-    return df.filter(keep)

@@ -159,11 +159,6 @@ def median_of(df: DataFrame, column: str) -> float | None:
     return column_quantiles(df, [column], [0.5]).get(column, [None])[0]
 
 
-def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """The frame with a global rank; see ``ranked_with_count``."""
-    return ranked_with_count(df, order, name)[0]
-
-
 def ranked_with_count(df: DataFrame, order: Sequence[str],
                       name: str = "rank") -> tuple[DataFrame, int]:
     """1-based rank of every row, as an unpartitioned row_number gives it, and the row count.

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -14,18 +13,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.operators.leastsquares import (
-    Factor, LinearModel, batch_matrix, fit,
+    Factor, LinearModel, batch_matrix, fit, merged_in_levels,
 )
 from panelwright.operators.ordering import keyed_hash
-
-# All subsets are scored, so the work doubles with every predictor.
-MOST_PREDICTORS = 20
+from panelwright.operators.subsets import SubsetTree, coefficients
+from panelwright.runtime import stored
 
 # Fixed value: the Mersenne prime 2^31 - 1, modulus of the replicate draw.
 DRAW_MODULUS = 2_147_483_647
 
-_SUM_GROUPS = 64
-_CHUNK = 50_000
+# Replicate number under which the cross-product of all rows is searched.
+_ALL_ROWS = -1
 
 
 # ---------------------------------------------------------------- backward elimination
@@ -63,12 +61,6 @@ def backward_by_aic(model: LinearModel) -> tuple[LinearModel, list[Step]]:
     return current, path
 
 
-def path_frame(spark, path: Sequence[Step]) -> DataFrame:
-    rows = [(i, s.dropped, s.aic, len(s.predictors), list(s.predictors)) for i, s in enumerate(path)]
-    return spark.createDataFrame(
-        rows, "step int, dropped string, aic double, n_predictors int, predictors array<string>")
-
-
 # ---------------------------------------------------------------- best subsets
 
 class TooFewRows(ValueError):
@@ -76,7 +68,9 @@ class TooFewRows(ValueError):
 
 
 def training_share(n: int) -> float:
-    """Share of rows a replicate trains on: ``1 - d/n`` of the delete-d rule."""
+    """Share of rows a replicate trains on: ``1 - d/n`` of the delete-d rule, for 8 rows or more."""
+    if n < 8:
+        raise TooFewRows("delete-d cross-validation holds out no row of fewer than 8")
     held_out = math.ceil(n * (1 - 1 / (math.log(n) - 1)))
     return 1 - held_out / n
 
@@ -96,35 +90,6 @@ def row_number_in_draw(key: str, seed: int):
     return F.pmod(digits, F.lit(DRAW_MODULUS))
 
 
-def best_of_each_size(gram: np.ndarray) -> list[tuple[tuple[int, ...], np.ndarray, float]]:
-    """Best predictor set of each size 0..p from a centred cross-product, response last."""
-    p = gram.shape[0] - 1
-    xx, xy, yy = gram[:p, :p], gram[:p, p], gram[p, p]
-    best = [((), np.zeros(0), float(yy))]
-    for size in range(1, p + 1):
-        winner = None
-        combos = itertools.combinations(range(p), size)
-        while block := list(itertools.islice(combos, _CHUNK)):
-            index = np.array(block)
-            a = xx[index[:, :, None], index[:, None, :]]
-            b = xy[index]
-            try:
-                beta = np.linalg.solve(a, b[..., None])[..., 0]
-            except np.linalg.LinAlgError:
-                beta = np.full(b.shape, np.nan)
-            rss = yy - np.einsum("ij,ij->i", beta, b)
-            doubtful = ~np.isfinite(rss) | (rss < -1e-9 * yy)
-            if doubtful.any():
-                inverse = np.linalg.pinv(a[doubtful], rcond=1e-10, hermitian=True)
-                beta[doubtful] = np.einsum("ijk,ik->ij", inverse, b[doubtful])
-                rss[doubtful] = yy - np.einsum("ij,ij->i", beta[doubtful], b[doubtful])
-            i = int(np.argmin(rss))
-            if winner is None or rss[i] < winner[2]:
-                winner = (tuple(block[i]), beta[i], float(rss[i]))
-        best.append(winner)
-    return best
-
-
 def _centred(gram: np.ndarray) -> np.ndarray:
     """Centre a cross-product of (x, y, 1) about its own means and drop the ones."""
     n = gram[-1, -1]
@@ -163,33 +128,34 @@ class SubsetSearch:
     errors: list[tuple[int, float, int]]
     size: int
     model: LinearModel
+    subsets: dict[int, list[str]]
 
     def frame(self, spark) -> DataFrame:
-        rows = [(size, error, n, size == self.size) for size, error, n in self.errors]
+        """Rows per size; ``predictors`` is the best subset of that size on all rows."""
+        rows = [(size, error, n, size == self.size, self.subsets[size])
+                for size, error, n in self.errors]
         return spark.createDataFrame(
-            rows, "size int, cv_error double, replicates int, chosen boolean")
+            rows, "size int, cv_error double, replicates int, chosen boolean, predictors array<string>")
 
 
-def replicate_scores(df: DataFrame, model: LinearModel, key: str, replicates: int,
-                     seed: int) -> DataFrame:
-    """(replicate, size, subset, held-out sum of squares, held-out rows), scored on executors.
+def training_grams(df: DataFrame, model: LinearModel, scaling: _Scaling, key: str, replicates: int,
+                   seed: int) -> DataFrame:
+    """Stored rows (replicate, gram): training cross-product of every replicate and that of all rows.
 
-    One pass forms the training cross-product of every replicate from standardised columns;
-    what is held out is the total minus that. Membership depends on key, seed and
-    replicate only.
+    One pass over standardised columns. Membership depends on key, seed and replicate only. Input
+    splits are read by a number of tasks that follows the cluster, not the data, and each emits its
+    matrices once; they are merged level by level.
     """
-    predictors, factor = model.predictors, model.factor
-    scaling = _Scaling.of(factor)
-    share = training_share(factor.n)
-    threshold = int(share * DRAW_MODULUS)
+    predictors = model.predictors
+    threshold = int(training_share(model.factor.n) * DRAW_MODULUS)
     draws = draw_constants(replicates, seed)
     width = len(predictors) + 2
     columns = [*predictors, model.response]
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns],
                      row_number_in_draw(key, seed).cast("double").alias("__draw"))
-    gram_schema = "replicate int, slot int, gram array<double>"
-    gram_arrow = pa.schema([("replicate", pa.int32()), ("slot", pa.int32()),
-                            ("gram", pa.list_(pa.float64()))])
+    spark = df.sparkSession
+    schema = "replicate int, slot int, gram array<double>"
+    arrow = pa.schema([("replicate", pa.int32()), ("slot", pa.int32()), ("gram", pa.list_(pa.float64()))])
 
     def cross_products(batches: Iterable[pa.RecordBatch]):
         grams = np.zeros((replicates, width, width))
@@ -204,69 +170,105 @@ def replicate_scores(df: DataFrame, model: LinearModel, key: str, replicates: in
             for r, (a, b) in enumerate(draws):
                 part = z[(a * number + b) % DRAW_MODULUS < threshold]
                 grams[r] += part.T @ part
-        slot = TaskContext.get().partitionId() % _SUM_GROUPS
+        slot = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pydict(
             {"replicate": list(range(replicates)), "slot": [slot] * replicates,
-             "gram": [g.ravel().tolist() for g in grams]}, schema=gram_arrow)
+             "gram": [g.ravel().tolist() for g in grams]}, schema=arrow)
 
-    def add_up(table: pa.Table) -> np.ndarray:
+    def add_up(table: pa.Table) -> pa.Table:
         flat = table.column("gram").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(-1, width, width).sum(axis=0)
-
-    def add_slot(table: pa.Table) -> pa.Table:
-        first = table.slice(0, 1).to_pylist()[0]
+        total = flat.reshape(-1, width * width).sum(axis=0)
         return pa.Table.from_pydict(
-            {"replicate": [first["replicate"]], "slot": [first["slot"]],
-             "gram": [add_up(table).ravel().tolist()]}, schema=gram_arrow)
+            {"replicate": [table["replicate"][0].as_py()], "slot": [table["slot"][0].as_py()],
+             "gram": [total.tolist()]}, schema=arrow)
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    summed = merged_in_levels(
+        rows.coalesce(tasks).mapInArrow(cross_products, schema), add_up, schema, "replicate", levels=1)
+    summed = summed.groupBy("replicate").applyInArrow(add_up, schema)
+    everything = spark.createDataFrame([(_ALL_ROWS, scaling.total.ravel().tolist())],
+                                       "replicate int, gram array<double>")
+    return stored(summed.select("replicate", "gram").unionByName(everything), "replicate-grams")
+
+
+def _square(gram: Iterable[float]) -> np.ndarray:
+    flat = np.array(gram, dtype=float)
+    return flat.reshape(math.isqrt(len(flat)), -1)
+
 
-    score_schema = "replicate int, size int, subset array<int>, held_out_ss double, " \
-                   "held_out_n double"
-    score_arrow = pa.schema([
+def best_subsets(grams: DataFrame, predictors: int, parts: int) -> DataFrame:
+    """Stored rows (replicate, size, subset): the least residual sum of each size.
+
+    The branches below the root of a replicate's tree are dealt out into a few rows, more if the cluster
+    has more tasks to run than there are replicates; the best of each size are then told by the least
+    sum. Replicates with no more rows than terms are left out.
+    """
+    schema = "replicate int, size int, rss double, subset array<int>"
+    arrow = pa.schema([("replicate", pa.int32()), ("size", pa.int32()), ("rss", pa.float64()),
+                       ("subset", pa.list_(pa.int32()))])
+
+    def search(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            rows = []
+            for replicate, flat, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                gram = _square(flat)
+                if gram[-1, -1] > predictors + 1:
+                    tree = SubsetTree(_centred(gram))
+                    tree.search(set(range(part, predictors, parts)))
+                    rows += [{"replicate": replicate, "size": size, "rss": rss, "subset": list(subset)}
+                             for size, rss, subset in tree.found()]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    tasks = 4 * grams.sparkSession.sparkContext.defaultParallelism
+    dealt = grams.select("replicate", "gram", F.explode(
+        F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    found = dealt.repartition(tasks, "replicate", "part").mapInArrow(search, schema)
+    return stored(found.groupBy("replicate", "size").agg(
+        F.min(F.struct("rss", "subset"))["subset"].alias("subset")), "best-subsets")
+
+
+def replicate_scores(grams: DataFrame, subsets: DataFrame, scaling: _Scaling) -> DataFrame:
+    """(replicate, size, subset, held-out sum of squares, held-out rows).
+
+    What is held out is the total minus the training cross-product.
+    """
+    schema = "replicate int, size int, subset array<int>, held_out_ss double, held_out_n double"
+    arrow = pa.schema([
         ("replicate", pa.int32()), ("size", pa.int32()), ("subset", pa.list_(pa.int32())),
         ("held_out_ss", pa.float64()), ("held_out_n", pa.float64())])
 
-    def score(table: pa.Table) -> pa.Table:
-        training = add_up(table)
-        held_out = scaling.total - training
-        n = training[-1, -1]
-        out = {name: [] for name in score_arrow.names}
-        if n > len(predictors) + 1:
-            means = training[:-1, -1] / n
-            for size, (subset, beta, _) in enumerate(best_of_each_size(_centred(training))):
-                weights = np.zeros(width)
-                weights[list(subset)] = beta
+    def score(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            out = []
+            for replicate, size, subset, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                training = _square(flat)
+                held_out = scaling.total - training
+                means = training[:-1, -1] / training[-1, -1]
+                beta, _ = coefficients(_centred(training), tuple(subset))
+                weights = np.zeros(len(training))
+                weights[subset] = beta
                 weights[-2] = -1.0
-                weights[-1] = means[-1] - beta @ means[list(subset)]
-                out["replicate"].append(table.column("replicate")[0].as_py())
-                out["size"].append(size)
-                out["subset"].append(list(subset))
-                out["held_out_ss"].append(
-                    float(weights @ held_out @ weights) * scaling.scale[-1] ** 2)
-                out["held_out_n"].append(float(held_out[-1, -1]))
-        return pa.Table.from_pydict(out, schema=score_arrow)
-
-    summed = (rows.mapInArrow(cross_products, gram_schema)
-              .groupBy("replicate", "slot").applyInArrow(add_slot, gram_schema))
-    # A fixed number of partitions keeps the replicates apart; their rows are too few to tell.
-    return (summed.repartition(replicates, "replicate")
-            .groupBy("replicate").applyInArrow(score, score_schema))
+                weights[-1] = means[-1] - beta @ means[subset]
+                out.append({"replicate": replicate, "size": size, "subset": subset,
+                            "held_out_ss": float(weights @ held_out @ weights) * scaling.scale[-1] ** 2,
+                            "held_out_n": float(held_out[-1, -1])})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    drawn = subsets.filter(F.col("replicate") != _ALL_ROWS).join(grams, "replicate")
+    return drawn.select("replicate", "size", "subset", "gram").mapInArrow(score, schema)
 
 
 def best_subset_cv(df: DataFrame, response: str, predictors: Sequence[str], key: str,
-                   replicates: int = 100, seed: int = 37,
-                   most_predictors: int = MOST_PREDICTORS) -> SubsetSearch:
+                   replicates: int = 100, seed: int = 37) -> SubsetSearch:
     """Best subset of the size whose delete-d cross-validation error is least.
 
     In every replicate the best subset of each size is found on the training rows and
-    judged on the held-out ones. The winner of the chosen size is then fitted on all rows.
+    judged on the held-out ones. The winner of the chosen size is then fitted on all rows. The search
+    is exact for any number of predictors; its time depends on how much they differ in weight.
     """
     predictors = list(predictors)
-    if len(predictors) > most_predictors:
-        raise ValueError(f"all subsets of more than {most_predictors} predictors are too many; "
-                         "reduce them first, for example by backward_by_aic")
     model = fit(df, response, predictors)
-    if model.n < 21:
-        raise TooFewRows("delete-d cross-validation needs more than 20 rows")
+    training_share(model.n)
     if None in model.coefficients.values():
         model = model.subset([p for p in predictors if model.coefficients[p] is not None])
         kept = [0, *[predictors.index(p) + 1 for p in model.predictors]]
@@ -275,14 +277,20 @@ def best_subset_cv(df: DataFrame, response: str, predictors: Sequence[str], key:
         left = model.factor.qty - q @ qty
         reduced = Factor(r, qty, model.factor.rss + (left * left).sum(axis=0), model.n, model.dropped)
         model.factor = reduced
+    scaling = _Scaling.of(model.factor)
+    grams = training_grams(df, model, scaling, key, replicates, seed)
+    width = len(model.predictors)
+    parts = max(1, min(width, max(-(-width // 10), -(-4 * df.sparkSession.sparkContext.defaultParallelism
+                                                     // replicates))))
+    subsets = best_subsets(grams, width, parts)
     errors = [
         (r["size"], r["cv_error"], r["replicates"]) for r in
-        replicate_scores(df, model, key, replicates, seed).groupBy("size").agg(
+        replicate_scores(grams, subsets, scaling).groupBy("size").agg(
             F.avg(F.col("held_out_ss") / F.col("held_out_n")).alias("cv_error"),
             F.count("*").cast("int").alias("replicates")).orderBy("size").collect()]
     if not errors:
         raise TooFewRows("too few rows to train on in any replicate")
     size = min(errors, key=lambda e: (e[1], e[0]))[0]
-    scaling = _Scaling.of(model.factor)
-    subset = best_of_each_size(scaling.total[:-1, :-1])[size][0]
-    return SubsetSearch(errors, size, model.subset([model.predictors[i] for i in subset]))
+    whole = {r["size"]: [model.predictors[i] for i in r["subset"]]
+             for r in subsets.filter(F.col("replicate") == _ALL_ROWS).collect()}
+    return SubsetSearch(errors, size, model.subset(whole[size]), whole)

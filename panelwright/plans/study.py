@@ -103,14 +103,12 @@ class Study:
 
 def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 100.0),
             validation: float = 0.2, seed: int = 37, replicates: int = 100,
-            raw_power: bool = False,
-            most_predictors: int = selection.MOST_PREDICTORS) -> Study:
+            raw_power: bool = False) -> Study:
     """Fit, test, transform, select, compare and validate, on one keyed split.
 
     The design is written to the shared folder once, since every later step reads it.
     A shift that leaves the response non-positive is skipped, and so is the search for best
-    subsets when elimination leaves no predictor, or more than ``most_predictors`` or too few rows
-    for it; the report has a row with the reason for each skipped step. With
+    subsets when elimination leaves no predictor or there are too few rows for it; the report has a row with the reason for each skipped step. With
     ``raw_power`` the found exponents apply to the response as it is; its negative values
     then have no power, and their rows are left out and counted.
     """
@@ -134,14 +132,12 @@ def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 1
         return rounds, model, model.score(powered)
 
     def best_subsets() -> selection.SubsetSearch | None:
-        n = len(step.predictors)
-        if not 0 < n <= most_predictors:
-            why = f"more than {most_predictors} predictors" if n else "no predictor left"
-            skipped["best_subset"] = (why, float(n))
+        if not step.predictors:
+            skipped["best_subset"] = ("no predictor left", 0.0)
             return None
         try:
             return selection.best_subset_cv(
-                training, RESPONSE, step.predictors, KEY, replicates, seed, most_predictors)
+                training, RESPONSE, step.predictors, KEY, replicates, seed)
         except selection.TooFewRows as few:
             skipped["best_subset"] = (str(few), float(step.n))
             return None

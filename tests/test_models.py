@@ -2,11 +2,12 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from panelwright.operators import (
-    boxcox, diagnostics, feeds, leastsquares as ls, scoring, selection,
+    boxcox, diagnostics, feeds, leastsquares as ls, scoring, selection, subsets,
 )
 from panelwright.operators.ordering import keyed_hash
 
@@ -98,7 +99,6 @@ def test_incomplete_rows_are_left_out_and_counted(spark):
         "x double, y double")
     model = ls.fit(rows, "y", ["x"])
     assert (model.n, model.dropped) == (4, 2)
-    assert ls.complete_rows(rows, ["x", "y"]).count() == 4
     with pytest.raises(ValueError):
         ls.fit(rows.filter("x IS NULL"), "y", ["x"])
 
@@ -258,12 +258,6 @@ def test_aliased_predictors_go_first(frame):
     assert path[1].dropped == "twice" and final.predictors == ["a", "b"]
 
 
-def test_path_as_rows(spark, frame):
-    _, path = selection.backward_by_aic(ls.fit(frame, "y", NAMES))
-    rows = selection.path_frame(spark, path).collect()
-    assert rows[0]["dropped"] is None and rows[0]["n_predictors"] == 4
-
-
 def test_best_subsets_by_brute_force(spark, frame, data):
     x, y = data
     replicates, seed = 7, 5
@@ -295,23 +289,100 @@ def test_best_subsets_with_an_aliased_predictor(frame):
     assert [e for _, e, _ in found.errors] == pytest.approx([e for _, e, _ in plain.errors], rel=1e-9)
 
 
-def test_best_subsets_refuse_what_they_cannot_do(spark, frame):
-    with pytest.raises(ValueError, match="too many"):
-        selection.best_subset_cv(frame, "y", [f"x{i}" for i in range(21)], "k")
+def test_best_subsets_need_the_rows_of_the_rule(frame):
+    found = selection.best_subset_cv(frame.filter("k < 15"), "y", ["a", "b"], "k", 20)
+    assert found.size in (1, 2) and len(found.errors) == 3
     with pytest.raises(selection.TooFewRows):
-        selection.best_subset_cv(frame.limit(15), "y", ["a"], "k")
+        selection.best_subset_cv(frame.filter("k < 7"), "y", ["a"], "k")
+
+
+def _gram(rng, n, p, mixing=0.0):
+    x = rng.normal(size=(n, p)) @ (np.eye(p) + mixing * rng.normal(size=(p, p)))
+    weights = rng.normal(size=p) * np.where(rng.random(p) < 0.5, 0.4, 0.03)
+    z = np.column_stack([x, x @ weights + rng.normal(size=n) * 2])
+    z = z - z.mean(axis=0)
+    return z.T @ z
+
+
+@pytest.mark.parametrize("p, mixing", [(1, 0.0), (2, 0.3), (7, 0.0), (11, 0.4), (15, 0.2)])
+def test_tree_finds_what_the_full_search_finds(p, mixing):
+    gram = _gram(np.random.default_rng(p), 300, p, mixing)
+    found = subsets.best_of_each_size(gram)
+    assert [len(s) for s, _, _ in found] == list(range(p + 1))
+    least = np.full(p + 1, np.inf)
+    for size in range(p + 1):
+        index = np.array(list(itertools.combinations(range(p), size)), int).reshape(math.comb(p, size), size)
+        inner = gram[index[:, :, None], index[:, None, :]]
+        target = gram[index, p]
+        beta = np.linalg.solve(inner, target[..., None])[..., 0] if size else target
+        least[size] = (gram[p, p] - np.einsum("ij,ij->i", beta, target)).min()
+    assert [rss for _, _, rss in found] == pytest.approx(list(least), rel=1e-9)
+
+
+def test_branches_together_are_the_tree():
+    gram = _gram(np.random.default_rng(4), 400, 12, 0.3)
+    whole = subsets.best_of_each_size(gram)
+    best = {}
+    for branch in range(12):
+        tree = subsets.SubsetTree(gram)
+        tree.search({branch})
+        for size, rss, subset in tree.found():
+            best[size] = min(best.get(size, (math.inf, ())), (rss, subset))
+    assert [best[k][1] for k in range(13)] == [s for s, _, _ in whole]
+
+
+def test_forty_predictors_are_searched_without_a_cap():
+    rng = np.random.default_rng(8)
+    gram = _gram(rng, 4000, 40, 0.05)
+    tree = subsets.SubsetTree(gram)
+    tree.search()
+    assert tree.nodes < 1 << 20
+    for size in (3, 20, 37):
+        at = set(tree.subset[size])
+        for _ in range(300):                   # no exchange of two predictors does better
+            drop = rng.choice(sorted(at), 2, replace=False)
+            add = rng.choice(sorted(set(range(40)) - at), 2, replace=False)
+            other = tuple(sorted((at - set(drop.tolist())) | set(add.tolist())))
+            assert subsets.coefficients(gram, other)[1] >= tree.least[size] * tree.unit * (1 - 1e-9)
 
 
 def test_subset_search_survives_singular_blocks():
     x = np.random.default_rng(0).normal(size=(40, 2))
-    x = np.column_stack([x, x[:, 0]])
+    x = np.column_stack([x, x[:, 0], np.zeros(40)])
     y = x[:, 1] + 0.1 * x[:, 0]
     z = np.column_stack([x, y])
     z = z - z.mean(axis=0)
-    sizes = selection.best_of_each_size(z.T @ z)
+    sizes = subsets.best_of_each_size(z.T @ z)
     assert sizes[1][0] == (1,) and sizes[2][2] == pytest.approx(0, abs=1e-9)
 
 
+def test_many_predictors_through_the_cluster(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 24))
+    y = x[:, :6] @ [3, -2, 2, 1.5, -1, 1] + rng.normal(size=500)
+    names = [f"x{i}" for i in range(24)]
+    rows = spark.createDataFrame([(k, *map(float, r), float(v)) for k, (r, v) in enumerate(zip(x, y))],
+                                 ["k", *names, "y"]).repartition(4)
+    found = selection.best_subset_cv(rows, "y", names, "k", 5)
+    assert found.subsets[6] == names[:6] and set(names[:6]) <= set(found.model.predictors)
+
+
+def test_task_results_merge_in_levels(spark, frame, monkeypatch):
+    whole = ls.fit(frame, "y", NAMES)
+    monkeypatch.setattr(ls, "_FAN_IN", 2)
+    many = ls.fit(frame.repartition(13), "y", NAMES)
+    assert many.rss == pytest.approx(whole.rss, rel=1e-12)
+    rows = spark.range(40).selectExpr("1 as part", "cast(id as int) as slot", "1L as n")
+    schema = pa.schema([("part", pa.int32()), ("slot", pa.int32()), ("n", pa.int64())])
+
+    def merge(t):
+        return pa.Table.from_pydict({"part": [1], "slot": [t["slot"][0].as_py()],
+                                     "n": [sum(t["n"].to_pylist())]}, schema=schema)
+
+    left = ls.merged_in_levels(rows, merge, "part int, slot int, n long", "part").collect()
+    assert len(left) == 10 and sum(r["n"] for r in left) == 40
+
+
 def test_plot_rows_are_a_sample_with_residuals(frame):
     scored = ls.fit(frame, "y", NAMES).score(frame)
     rows = feeds.model_plot_rows(scored, "k", "y", "yhat", "residual").collect()

@@ -82,7 +82,7 @@ def test_ranged_quantiles_equal_numpy_on_any_list(spark, values):
 def test_global_rank_equals_sorting(spark):
     rng = random.Random(1)
     values = [rng.choice([1.0, 1.0, 1.0, rng.random()]) for _ in range(2000)]
-    ranked = od.global_rank(_frame(spark, values), ["v", "k"]).collect()
+    ranked = od.ranked_with_count(_frame(spark, values), ["v", "k"])[0].collect()
     order = sorted(range(len(values)), key=lambda i: (values[i], i))
     expected = {k: r for r, k in enumerate(order, start=1)}
     assert {r["k"]: r["rank"] for r in ranked} == expected
@@ -95,7 +95,7 @@ def test_a_value_shared_by_a_third_of_the_rows_is_split(spark):
     sizes = [r["n"] for r in rows.repartitionByRange(8, "v", "k").groupBy(
         F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert max(sizes) < 2 * 60_000 / 8
-    ranked = od.global_rank(rows, ["v", "k"])
+    ranked = od.ranked_with_count(rows, ["v", "k"])[0]
     facts = ranked.agg(F.min("rank"), F.max("rank"), F.countDistinct("rank")).first()
     assert tuple(facts) == (1, 60_000, 60_000)
     median = od.column_quantiles(rows, ["v"], [0.5])["v"][0]
@@ -103,7 +103,7 @@ def test_a_value_shared_by_a_third_of_the_rows_is_split(spark):
 
 
 def test_global_rank_needs_no_single_partition(spark):
-    ranked = od.global_rank(_frame(spark, [float(i) for i in range(100)]), ["v", "k"])
+    ranked = od.ranked_with_count(_frame(spark, [float(i) for i in range(100)]), ["v", "k"])[0]
     assert "SinglePartition" not in ranked._jdf.queryExecution().toString()
 
 

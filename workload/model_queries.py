@@ -417,33 +417,69 @@ def _held_out_error() -> str:
 _SHIFT, _ERROR = _held_out_error()
 
 
-@query("I14", f"""
-WITH RECURSIVE {st.FACTS_SQL},
+_MASK = " + ".join(f"((mask >> {i}) & 1) * {1 << i}" for i in range(_P))
+_CHOICE = f"""{st.FACTS_SQL},
 size_of AS (SELECT count(*) AS n, ceil(count(*) * (1 - 1 / (ln(count(*)) - 1))) AS d FROM facts),
 draws(r, ca, cb) AS (VALUES {_CONSTANTS}),
 centred AS (SELECT order_key, {', '.join(f'{c} - avg({c}) OVER () AS {c}' for c in [*_POOL, Y])} FROM facts),
 numbered AS (SELECT *, CAST('0x' || substring(md5(CAST(order_key AS VARCHAR) || ':37'), 1, 8) AS BIGINT)
-               % {selection.DRAW_MODULUS} AS h FROM centred),
-drawn AS (SELECT numbered.*, r, (ca * h + cb) % {selection.DRAW_MODULUS}
-            < floor((1 - d / n) * {selection.DRAW_MODULUS}) AS trains FROM numbered, draws, size_of),
+               % 2147483647 AS h FROM centred),
+drawn AS (SELECT numbered.*, r, (ca * h + cb) % 2147483647
+            < floor((1 - d / n) * 2147483647) AS trains FROM numbered, draws, size_of),
 sums AS (SELECT r, {_sums([*_POOL, Y], 'trains')} AS t, {_sums([*_POOL, Y], 'NOT trains')} AS v
-         FROM drawn GROUP BY r),
+         FROM drawn GROUP BY r
+         UNION ALL SELECT -1, {_sums([*_POOL, Y], 'true')}, NULL FROM centred),
 sweeps(r, mask, k, a) AS (
   SELECT r, CAST(mask AS INTEGER), 0, {_centre('t', _W)} FROM sums, range(0, {1 << _P}) x(mask)
   UNION ALL
   SELECT r, mask, k + 1, CASE WHEN (mask >> k) & 1 = 1 THEN {sqlkit.swept(_W, 'k')} ELSE a END
   FROM sweeps WHERE k < {_P}),
-ranked AS (SELECT r, mask, a, row_number() OVER (PARTITION BY r, bit_count(mask) ORDER BY a[{_W * _W}]) AS rn
+ranked AS (SELECT r, mask, bit_count(mask) AS size, a,
+             row_number() OVER (PARTITION BY r, bit_count(mask) ORDER BY a[{_W * _W}]) AS rn
            FROM sweeps WHERE k = {_P}),
-scored AS (SELECT mask, a, v, {_SHIFT} AS b0 FROM ranked JOIN sums USING (r) WHERE rn = 1),
-errors AS (SELECT bit_count(mask) AS size, avg({_ERROR}) AS e, count(*) AS replicates FROM scored GROUP BY 1)
+whole AS (SELECT size, mask, a FROM ranked WHERE r = -1 AND rn = 1),
+scored AS (SELECT mask, a, v, {_SHIFT} AS b0 FROM ranked JOIN sums USING (r) WHERE rn = 1 AND r >= 0),
+errors AS (SELECT bit_count(mask) AS size, avg({_ERROR}) AS e, count(*) AS replicates FROM scored GROUP BY 1)"""
+
+
+@query("I14", f"""
+WITH RECURSIVE {_CHOICE}
 SELECT CAST(size AS INTEGER) AS size, round(ln(e), 6) + 0.0 AS log_error,
-       CAST(replicates AS INTEGER) AS replicates,
-       e = min(e) OVER () AS chosen FROM errors""")
+       CAST(replicates AS INTEGER) AS replicates, e = min(e) OVER () AS chosen,
+       CAST({_MASK} AS INTEGER) AS kept FROM errors JOIN whole USING (size)""")
 def best_subset_cv(spark, sf):
     found = selection.best_subset_cv(_stored_facts(spark, sf), Y, _POOL, "order_key", _REPLICATES)
+    kept = F.aggregate("predictors", F.lit(0), lambda total, name: total + F.lit(1).cast("int") * sum(
+        F.when(name == p, 1 << i).otherwise(0) for i, p in enumerate(_POOL)))
     return found.frame(spark).select("size", rounded(F.ln("cv_error"), 6).alias("log_error"),
-                                     "replicates", "chosen")
+                                     "replicates", "chosen", kept.alias("kept"))
+
+
+@query("I14 I6", f"""
+WITH RECURSIVE {_CHOICE},
+best AS (SELECT size, mask, a FROM errors JOIN whole USING (size) ORDER BY e, size LIMIT 1),
+fits AS (SELECT best.size, mask, best.a, best.a[{_W * _W}] AS rss, f.a[{_W * _W}] AS rss_full, n
+         FROM best, (SELECT a FROM whole WHERE size = {_P}) f, size_of)
+{' UNION ALL '.join(
+    f"SELECT 'coefficient' AS kind, '{c}' AS name, "
+    f"CASE WHEN (mask >> {i}) & 1 = 1 THEN round(a[{i * _W + _W}], 4) + 0.0 END AS value FROM fits"
+    for i, c in enumerate(_POOL))}
+UNION ALL SELECT 'model', 'size', size::DOUBLE FROM fits
+UNION ALL SELECT 'model', 'rss_per_row', round(rss / n, 2) + 0.0 FROM fits
+UNION ALL SELECT 'model', 'f_against_all', CASE WHEN size < {_P} THEN
+  round(((rss - rss_full) / ({_P} - size)) / (rss_full / (n - {_P} - 1)), 4) + 0.0 END FROM fits""")
+def best_subset_model(spark, sf):
+    """The winner with its coefficients and the F test against all predictors."""
+    facts = _stored_facts(spark, sf)
+    model = selection.best_subset_cv(facts, Y, _POOL, "order_key", _REPLICATES).model
+    test = diagnostics.nested_f_test(model, ls.fit(facts, Y, _POOL))
+    rows = [("coefficient", c, model.coefficients.get(c)) for c in _POOL]
+    rows += [("model", "size", float(len(model.predictors))), ("model", "rss_per_row", model.rss / model.n),
+             ("model", "f_against_all", test.statistic)]
+    places = {"coefficient": 4, "rss_per_row": 2}
+    return spark.createDataFrame(
+        [(kind, name, None if v is None else round(v, places.get(kind, places.get(name, 4)))) for kind, name, v in rows],
+        "kind string, name string, value double")
 
 
 def _split_facts_sql(seed: int = 37) -> str:
