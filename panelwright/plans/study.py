@@ -124,8 +124,10 @@ def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 1
     skipped = {f"boxcox_shift_{s:g}": ("least shifted response is not positive", low + s)
                for s in shifts if s not in usable_shifts}
 
+    searched = boxcox.refine_shifts(training, RESPONSE, terms, usable_shifts) if usable_shifts else {}
+
     def transform(shift: float) -> tuple[list[boxcox.Profile], ls.LinearModel, DataFrame]:
-        rounds = boxcox.refine(training, RESPONSE, terms, shift)
+        rounds = searched[shift]
         base = F.col(RESPONSE) + F.lit(0.0 if raw_power else float(shift))
         powered = training.withColumn("y_power", power(base, rounds[-1].best))
         model = ls.fit(powered, "y_power", terms)

@@ -225,6 +225,32 @@ def test_profile_equals_the_textbook_form(spark):
         boxcox.profile(rows, "y", ["p", "q"], grid)
 
 
+@pytest.mark.parametrize("agreement", [1e-9, -1.0])
+def test_refinement_of_several_shifts_reads_twice_and_equals_direct_profiles(spark, monkeypatch, agreement):
+    rng = np.random.default_rng(3)
+    x = rng.random(size=(400, 2))
+    y = (3 + x @ [2.0, -1.0] + rng.normal(size=400) * 0.4) ** 1.7 - 2
+    rows = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)],
+                                 "p double, q double, y double").repartition(3).cache()
+    reads = []
+    monkeypatch.setattr(boxcox, "accumulate", lambda *a, **b: reads.append(1) or ls.accumulate(*a, **b))
+    monkeypatch.setattr(boxcox, "_AGREEMENT", agreement)   # below 0 nothing agrees
+    found = boxcox.refine_shifts(rows, "y", ["p", "q"], [3.0, 8.0])
+    assert len(reads) == (2 if agreement > 0 else 6)
+    for shift, rounds in found.items():
+        assert [len(r.points) for r in rounds] == [61, 41, 41]
+        for r in rounds:
+            for e, sse in r.points[::10]:
+                assert sse == pytest.approx(_sse(x, y + shift, e), rel=1e-9)
+        centre = round(rounds[0].best * 10) * 10
+        assert [e for e, _ in rounds[1].points] == boxcox.exponent_grid(centre - 20, centre + 20, 100)
+
+
+def test_a_perfect_fit_is_refined_from_the_rows(spark):
+    rows = spark.createDataFrame([(float(i), (2.0 + i) ** 2) for i in range(30)], "x double, y double")
+    assert boxcox.refine(rows, "y", ["x"])[-1].best == pytest.approx(0.5, abs=2e-3)
+
+
 def test_exponent_grid_hits_zero():
     grid = boxcox.exponent_grid(-30, 30, 10)
     assert len(grid) == 61 and 0.0 in grid and grid[0] == -3.0
