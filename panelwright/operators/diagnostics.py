@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,8 +12,10 @@ from panelwright.functions.normal import inverse_normal
 from panelwright.functions.tails import f_upper, normal_quantile, normal_upper, t_two_sided
 from panelwright.operators.leastsquares import LinearModel
 from panelwright.operators.ordering import (
-    median_of, quantiles, ranked_with_count, usable,
+    SLACK, Bracket, Moments, bracket_edges, brackets_around, column_quantiles, interpolate, median_of,
+    ranked_with_count, ranks_around, select_ranks, sketched, usable, zone,
 )
+from panelwright.runtime import stored
 
 # Royston (1995), algorithm AS R94. Coefficients ascend.
 LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
@@ -52,35 +55,128 @@ def brown_forsythe(df: DataFrame, residual: str, by: str) -> TestResult:
 
     A pooled two-sample t test on absolute deviations from the group medians; values equal
     to the median count as below.
+
+    Three reads for all three medians and the deviations. A sketch brackets the median of ``by``; then
+    residuals are sketched apart for rows below, inside and above that bracket, which brackets the
+    median of either half; the third read keeps the rows inside a bracket and sums up all others per
+    zone. The kept rows, few unless a value is common, settle the medians, and the zones' counts, sums
+    and squares give the deviations from them.
     """
     rows = (df.select(F.col(residual).cast("double").alias("e"), F.col(by).cast("double").alias("x"))
             .filter(usable("e") & usable("x")))
-    middle = median_of(rows, "x")
-    if middle is None:
+    seen = sketched(rows.select("x"), bracket_edges([0.5]))
+    if not seen:
         return TestResult(None, None, None, None)
-    halves = rows.select(
-        F.when(F.col("x") <= F.lit(middle), "low").otherwise("high").alias("variable"),
-        F.col("e").alias("value"))
-    centres = {k: v[0] for k, v in quantiles(halves, [0.5]).items()}
-    if len(centres) < 2:
+    (low, high), = brackets_around([0.5], *seen["x"])
+    n = seen["x"][0].n
+    halves = _halves_in_one_read(rows, n, low, high)
+    if halves is None:      # a bracket missed: the medians one after another
+        halves = _halves_by_medians(rows)
+    if halves is None:
         return TestResult(None, None, None, None)
-    centre = F.when(F.col("variable") == "low", F.lit(centres["low"])).otherwise(F.lit(centres["high"]))
-    deviation = F.abs(F.col("value") - centre)
-    stats = {
-        r["variable"]: r for r in
-        halves.groupBy("variable").agg(F.count(deviation).alias("n"), F.avg(deviation).alias("mean"),
-                                       F.var_pop(deviation).alias("var")).collect()}
-    low, high = stats["low"], stats["high"]
-    freedom = low["n"] + high["n"] - 2
+    (n_low, mean_low, ss_low), (n_high, mean_high, ss_high) = halves
+    freedom = n_low + n_high - 2
     if freedom <= 0:
         return TestResult(None, None, freedom, None)
-    pooled = math.sqrt((low["var"] * low["n"] + high["var"] * high["n"]) / freedom)
+    pooled = math.sqrt((ss_low + ss_high) / freedom)
     if pooled == 0:
         return TestResult(None, None, freedom, None)
-    t = (low["mean"] - high["mean"]) / (pooled * math.sqrt(1 / low["n"] + 1 / high["n"]))
+    t = (mean_low - mean_high) / (pooled * math.sqrt(1 / n_low + 1 / n_high))
     return TestResult(t, None, freedom, t_two_sided(t, freedom))
 
 
+_Spread = tuple[int, float, float]      # rows, mean and squared deviations of absolute deviations
+
+
+def _halves_by_medians(rows: DataFrame) -> tuple[_Spread, _Spread] | None:
+    middle = median_of(rows, "x")
+    is_low = F.col("x") <= F.lit(middle)
+    sides = {"low": F.when(is_low, F.col("e")), "high": F.when(~is_low, F.col("e"))}
+    centres = column_quantiles(rows, sides, [0.5])
+    if len(centres) < 2:
+        return None
+    found = sketched(rows.select(*[F.abs(e - F.lit(centres[k][0])).alias(k) for k, e in sides.items()]))
+    return tuple((found[k][0].n, found[k][0].mean, found[k][0].squares) for k in ("low", "high"))
+
+
+# Shares of a half at which its residuals are sketched: 1, 2, 4, ... slacks around its median.
+_LADDER = [2.0 ** k for k in range(9)]
+
+
+def _half_bracket(moments: Moments, at: Mapping[float, float], moved: int) -> Bracket:
+    """Where the median lies if up to ``moved`` of the sketched rows belong to the half or not."""
+    for step in _LADDER:
+        if SLACK * step >= SLACK + moved / (2 * moments.n):
+            return brackets_around([0.5], moments, at, SLACK * step)[0]
+    return -math.inf, math.inf
+
+
+def _halves_in_one_read(rows: DataFrame, n: int, low: float, high: float
+                        ) -> tuple[_Spread, _Spread] | None:
+    """Both halves if the median of x lies in the bracket (low, high) and those of e in theirs.
+
+    Two reads: one to bracket the residuals, one for everything else.
+    """
+    x, e = F.col("x"), F.col("e")
+    edges = [edge for step in _LADDER for edge in bracket_edges([0.5], SLACK * step)]
+    sizes = sketched(rows.select(F.when(x <= high, e).alias("upto"), F.when(x > high, e).alias("above"),
+                                 F.when(x.between(low, high), e).alias("inside")), edges)
+    if len(sizes) < 3:
+        return None
+    n_upto, n_inside = sizes["upto"][0].n, sizes["inside"][0].n
+    ranks = ranks_around(n, [0.5])
+    if not n_upto - n_inside <= ranks[0] <= ranks[-1] < n_upto:
+        return None
+    settled = low == high       # one value: it is the median, and the halves are known
+    moved = 0 if settled else n_inside
+    brackets = [_half_bracket(*sizes[k], moved) for k in ("upto", "above")]
+    centre = [sizes[k][0].mean for k in ("upto", "above")]
+    side = F.when(x > high, 2).when((x < low) | F.lit(settled), 0).otherwise(1)
+    place = F.when(F.col("side") == 0, zone(e, brackets[:1])).when(F.col("side") == 2, zone(e, brackets[1:]))
+    kept = (F.col("side") == 1) | (F.col("zone") == 1)
+    shifted = e - F.when(F.col("side") == 2, centre[1]).otherwise(centre[0])
+    cells = stored(
+        rows.withColumn("side", side).withColumn("zone", place)
+        .groupBy("side", "zone", F.when(F.col("side") == 1, x).alias("x"), F.when(kept, e).alias("value"))
+        .agg(F.count("*").alias("copies"), F.sum(shifted).alias("s1"), F.sum(shifted * shifted).alias("s2")))
+
+    middle = low
+    if not settled:
+        places = select_ranks(
+            cells.groupBy(F.lit(0).alias("variable"), F.col("side").alias("zone"), F.col("x").alias("value"))
+            .agg(F.sum("copies").alias("copies")), {0: ranks})
+        if places is None:
+            return None
+        middle = interpolate(places[0, ranks[0]], places[0, ranks[-1]], (n - 1) / 2)
+    half = F.when(F.col("side") == 1, F.when(F.col("x") <= F.lit(middle), 0).otherwise(1)).otherwise(
+        F.col("side") / 2).cast("int")
+    halves = cells.withColumn("variable", half)
+    own = F.when(F.col("variable") == 0, zone(F.col("value"), brackets[:1])).otherwise(
+        zone(F.col("value"), brackets[1:]))
+    halves = halves.withColumn("zone", F.when(F.col("side") == 1, own).otherwise(F.col("zone")))
+    counts = {r["variable"]: r["n"] for r in halves.groupBy("variable").agg(F.sum("copies").alias("n")).collect()}
+    if len(counts) < 2:
+        return None
+    wanted = {v: ranks_around(counts[v], [0.5]) for v in (0, 1)}
+    inside = F.when(F.col("zone") % 2 == 1, F.col("value"))
+    places = select_ranks(halves.groupBy("variable", "zone", inside.alias("value")).agg(
+        F.sum("copies").alias("copies")), wanted)
+    if places is None:
+        return None
+    medians = [interpolate(places[v, wanted[v][0]], places[v, wanted[v][-1]], (counts[v] - 1) / 2)
+               for v in (0, 1)]
+    median = F.when(F.col("variable") == 0, medians[0]).otherwise(medians[1])
+    gap = median - F.when(F.col("side") == 2, centre[1]).otherwise(centre[0])
+    away = F.when(F.col("value").isNotNull(), F.abs(F.col("value") - median) * F.col("copies")).otherwise(
+        (F.col("s1") - F.col("copies") * gap) * (F.col("zone") - 1))
+    squares = F.when(F.col("value").isNotNull(), F.pow(F.col("value") - median, 2) * F.col("copies")).otherwise(
+        F.col("s2") - 2 * gap * F.col("s1") + F.col("copies") * gap * gap)
+    sums = {r["variable"]: r for r in halves.groupBy("variable").agg(
+        F.sum(away).alias("away"), F.sum(squares).alias("squares")).collect()}
+    return tuple((counts[v], sums[v]["away"] / counts[v],
+                  max(0.0, sums[v]["squares"] - sums[v]["away"] ** 2 / counts[v])) for v in (0, 1))
+
+
 def normal_pairs(df: DataFrame, value: str, key: str) -> DataFrame:
     """Every value with its rank, plotting position and normal score."""
     rows = (df.select(key, F.col(value).cast("double").alias(value)).filter(usable(value)))

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.runtime import stored
 
-# Brackets around wanted quantiles are four ten-thousandths of the rows wide.
-_SKETCH_ACCURACY = 10_000
+# Size of a sketch, and how far a bracket reaches around its quantile: more than twice the sketch's error.
+_SKETCH_SIZE = 16_384
+SLACK = 0.001
+
+# Distinct values that may come to the driver to be ranked, and pivots of a round that cuts them down.
+_AT_HAND = 100_000
+_PIVOTS = 256
+
+# Sketches of neighbouring tasks are merged in this many groups first.
+_SKETCH_GROUPS = 64
 
 _HEX_STEP = 4
 _HEX_DIGITS = 32
@@ -23,136 +32,226 @@ def usable(value: str | Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def melted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Usable values of several columns as rows (variable, value)."""
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    return wide.unpivot([], list(columns), "variable", "value").filter(usable("value"))
+@dataclass(frozen=True)
+class Moments:
+    """Of a column's usable values. ``squares`` is the sum of squared deviations from the mean."""
+
+    n: int
+    mean: float
+    squares: float
+    low: float
+    high: float
+
+    @property
+    def deviation(self) -> float | None:
+        """Of a sample."""
+        return math.sqrt(self.squares / (self.n - 1)) if self.n > 1 else None
+
+    @classmethod
+    def merged(cls, parts: Sequence[Mapping]) -> Moments:
+        n = sum(p["n"] for p in parts)
+        mean = math.fsum(p["n"] * p["mean"] for p in parts) / n
+        squares = math.fsum(p["squares"] + p["n"] * (p["mean"] - mean) ** 2 for p in parts)
+        return cls(n, mean, squares, min(p["low"] for p in parts), max(p["high"] for p in parts))
+
 
+Bracket = tuple[float, float]
 
-def _interpolate(low: float, high: float, position: float) -> float:
+
+def _side_by_side(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> DataFrame:
+    """The columns as doubles, NaN as NULL."""
+    named = columns if isinstance(columns, Mapping) else {c: F.col(f"`{c}`") for c in columns}
+    return df.select(*[F.when(~F.isnan(c.cast("double")), c.cast("double")).alias(name)
+                       for name, c in named.items()])
+
+
+def sketched(wide: DataFrame, edges: Sequence[float] = ()
+             ) -> dict[str, tuple[Moments, dict[float, float]]]:
+    """Moments of every column that has values, and sketched values at ``edges`` (shares of the rows).
+
+    One read for all columns. Each task sketches its rows, sketches of neighbouring tasks are merged in
+    groups, and the few that are left in one place.
+    """
+    edges = sorted(set(edges))
+    own, merged = [], []
+    for i, name in enumerate(wide.columns):
+        v = F.col(f"`{name}`")
+        own.append(F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"),
+                            (F.var_pop(v) * F.count(v)).alias("squares"),
+                            F.min(v).alias("low"), F.max(v).alias("high")).alias(f"m{i}"))
+        merged.append(F.collect_list(f"m{i}").alias(f"m{i}"))
+        if edges:
+            own.append(F.kll_sketch_agg_double(v, F.lit(_SKETCH_SIZE)).alias(f"s{i}"))
+            merged.append(F.kll_merge_agg_double(f"s{i}").alias(f"s{i}"))
+    grouped = wide.groupBy(F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)).alias("g")).agg(*own)
+    one = grouped.agg(*merged)
+    at = F.array(*[F.lit(float(e)) for e in edges])
+    row = one.select(*[f"m{i}" for i in range(len(wide.columns))], *[
+        F.when(F.kll_sketch_get_n_double(f"s{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", at))
+        .alias(f"s{i}") for i in range(len(wide.columns)) if edges]).head()
+    found = {}
+    for i, name in enumerate(wide.columns):
+        parts = [p for p in row[f"m{i}"] if p["n"]]
+        if parts:
+            found[name] = (Moments.merged(parts), dict(zip(edges, row[f"s{i}"])) if edges else {})
+    return found
+
+
+def bracket_edges(probs: Sequence[float], slack: float | None = None) -> list[float]:
+    slack = SLACK if slack is None else slack
+    return [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
+
+
+def brackets_around(probs: Sequence[float], moments: Moments, at: Mapping[float, float],
+                    slack: float | None = None) -> list[Bracket]:
+    """Disjoint value ranges around the wanted quantiles."""
+    ends = {**at, 0.0: moments.low, 1.0: moments.high}
+    edges = bracket_edges(probs, slack)
+    joined: list[Bracket] = []
+    for low, high in sorted((ends[a], ends[b]) for a, b in zip(edges[::2], edges[1::2])):
+        if joined and low <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(high, joined[-1][1]))
+        else:
+            joined.append((low, high))
+    return joined
+
+
+def interpolate(low: float, high: float, position: float) -> float:
     return low + (high - low) * (position - math.floor(position))
 
 
-def quantiles(values: DataFrame, probs: Sequence[float]) -> dict[str, list[float]]:
-    """Exact quantiles per ``variable`` of a frame (variable, value), interpolated linearly.
+def ranks_around(n: int, probs: Sequence[float]) -> list[int]:
+    """0-based ranks between which the quantiles lie."""
+    return sorted({r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
 
-    A sketch brackets every wanted quantile, rows outside the brackets are only counted, and the
-    small rest is ranked; see ``_ranked_values``. Only the answers, a count per bracket and one per
-    partition come to the driver.
+
+def moments_and_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column],
+                          probs: Sequence[float]) -> dict[str, tuple[Moments, list[float]]]:
+    """Moments and exact quantiles, interpolated linearly, of every column that has usable values.
+
+    Two reads for all columns together: sketches bracket every wanted quantile, then rows outside the
+    brackets are only counted, and the few inside are kept and ranked. The counts prove that each
+    wanted rank lies in its bracket; if one did not, all rows would be ranked.
     """
     probs = [float(p) for p in probs]
-    sizes, brackets = _brackets(values, probs)
-    ranks = {v: sorted({r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
-             for v, n in sizes.items()}
-    at_rank = _ranked_values(values, ranks, brackets)
+    wide = _side_by_side(df, columns)
+    seen = sketched(wide, bracket_edges(probs))
+    brackets = {name: brackets_around(probs, *facts) for name, facts in seen.items()}
+    ranks = {name: ranks_around(moments.n, probs) for name, (moments, _) in seen.items()}
+    at_rank = values_at_ranks(wide, ranks, brackets)
     if at_rank is None:  # a bracket missed its rank: take every row
-        at_rank = _ranked_values(values, ranks, {v: [(-math.inf, math.inf)] for v in sizes})
+        at_rank = values_at_ranks(wide, ranks, {name: [(-math.inf, math.inf)] for name in seen})
     answer = {}
-    for variable, n in sizes.items():
-        positions = [(n - 1) * p for p in probs]
-        answer[variable] = [
-            _interpolate(at_rank[variable, math.floor(h)], at_rank[variable, math.ceil(h)], h)
-            for h in positions]
+    for name, (moments, _) in seen.items():
+        positions = [(moments.n - 1) * p for p in probs]
+        answer[name] = (moments, [
+            interpolate(at_rank[name, math.floor(h)], at_rank[name, math.ceil(h)], h)
+            for h in positions])
     return answer
 
 
-def _brackets(values: DataFrame, probs: Sequence[float]
-              ) -> tuple[dict[str, int], dict[str, list[tuple[float, float]]]]:
-    """Row count, and disjoint value ranges around the wanted quantiles, per variable."""
-    slack = 2 / _SKETCH_ACCURACY
-    edges = sorted({e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))})
-    found = values.groupBy("variable").agg(
-        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
-        F.percentile_approx("value", edges, _SKETCH_ACCURACY).alias("edges")).collect()
-    sizes, brackets = {}, {}
-    for row in found:
-        at = dict(zip(edges, row["edges"]))
-        at[0.0], at[1.0] = row["low"], row["high"]
-        merged: list[tuple[float, float]] = []
-        for low, high in sorted((at[max(0.0, p - slack)], at[min(1.0, p + slack)]) for p in probs):
-            if merged and low <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-            else:
-                merged.append((low, high))
-        sizes[row["variable"]], brackets[row["variable"]] = row["n"], merged
-    return sizes, brackets
-
-
-def _zone(brackets: Mapping[str, list[tuple[float, float]]]) -> Column:
-    """Position of a value among its variable's brackets: odd inside one, even between them."""
-    value, zone = F.col("value"), F.lit(None).cast("int")
-    for variable, ranges in brackets.items():
-        own = F.lit(0)
-        for low, high in ranges:
-            own = own + F.when(value > F.lit(high), 2).when(value >= F.lit(low), 1).otherwise(0)
-        zone = F.when(F.col("variable") == variable, own).otherwise(zone)
-    return zone
-
-
-def _ranked_values(values: DataFrame, ranks: Mapping[str, Sequence[int]],
-                   brackets: Mapping[str, list[tuple[float, float]]]
-                   ) -> dict[tuple[str, int], float] | None:
-    """Values at 0-based ranks, or None when a rank lies outside the brackets.
-
-    Inside the brackets equal values are counted first, so a hot value is one row; the
-    distinct values are range-partitioned, and only the partitions that hold a wanted rank
-    are looked into.
+def _passed(tests: Sequence[Column]) -> Column:
+    """How many of the tests hold, of which each implies the ones before it."""
+    def among(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(first)
+        middle = (first + last) // 2
+        return F.when(tests[middle], among(middle + 1, last)).otherwise(among(first, middle))
+
+    return among(0, len(tests))
+
+
+def zone(value: Column, ranges: Sequence[Bracket]) -> Column:
+    """Position of a value among sorted brackets: odd inside one, even between them."""
+    return _passed([test for low, high in ranges for test in (value >= F.lit(low), value > F.lit(high))])
+
+
+def values_at_ranks(wide: DataFrame, ranks: Mapping[str, Sequence[int]],
+                    brackets: Mapping[str, list[Bracket]]) -> dict[tuple[str, int], float] | None:
+    """Values at 0-based ranks of several columns, or None when a rank lies outside the brackets.
+
+    One read: values between the brackets collapse to counts and equal ones inside them to one row
+    before anything is exchanged.
     """
-    zoned = values.withColumn("zone", _zone(brackets))
-    counted = zoned.groupBy("variable", "zone").agg(F.count("*").alias("n")).collect()
-    zones: dict[str, list[tuple[int, int]]] = {}
-    for row in sorted(counted, key=lambda r: (r["variable"], r["zone"])):
-        zones.setdefault(row["variable"], []).append((row["zone"], row["n"]))
-
-    kept_ranks: dict[str, dict[int, int]] = {}
-    for variable, wanted in ranks.items():
-        kept_ranks[variable] = {}
-        for rank in wanted:
-            begin = skipped = 0
-            for zone, n in zones[variable]:
-                if rank < begin + n:
-                    break
-                begin += n
-                skipped += n if zone % 2 == 0 else 0
-            if zone % 2 == 0:
-                return None
-            kept_ranks[variable][rank] = rank - skipped
-
-    spread = stored(
-        zoned.filter(F.col("zone").bitwiseAND(F.lit(1)) == 1)
-        .groupBy("variable", "value").agg(F.count("*").alias("copies"))
-        .repartitionByRange("variable", "value")
-        .withColumn("part", F.spark_partition_id()))
-    totals = (spread.groupBy("variable", "part").agg(F.sum("copies").alias("total"))
-              .orderBy("variable", "part").collect())
-    starts: dict[str, list[tuple[int, int, int]]] = {}
-    for row in totals:
-        parts = starts.setdefault(row["variable"], [])
-        begin = parts[-1][2] if parts else 0
-        parts.append((row["part"], begin, begin + row["total"]))
-
-    asked = []
-    for variable, pairs in kept_ranks.items():
-        for rank, kept in pairs.items():
-            part, begin, _ = next(x for x in starts[variable] if x[1] <= kept < x[2])
-            asked.append((variable, part, rank, kept - begin))
-    lookup = values.sparkSession.createDataFrame(
-        asked, "variable string, part int, rank long, inner_rank long")
-
-    running = Window.partitionBy("variable", "part").orderBy("value")
-    touched = F.broadcast(lookup.select("variable", "part").distinct())
-    found = (
-        spread.join(touched, ["variable", "part"])
-        .withColumn("upto", F.sum("copies").over(running))
-        .join(F.broadcast(lookup), ["variable", "part"])
-        .filter("inner_rank < upto AND inner_rank >= upto - copies")
-        .select("variable", "rank", "value").collect())
-    return {(r["variable"], r["rank"]): r["value"] for r in found}
-
-
-def column_quantiles(df: DataFrame, columns: Sequence[str],
+    names = [name for name in wide.columns if name in ranks]
+    if not names:
+        return {}
+    # The zone first and apart, so that it is worked out once a value.
+    zones = wide.select(*names, *[
+        F.when(F.col(f"`{name}`").isNotNull(), zone(F.col(f"`{name}`"), brackets[name])).alias(f"zone {i}")
+        for i, name in enumerate(names)])
+    cells = F.array(*[F.struct(
+        F.lit(i).alias("variable"), F.col(f"zone {i}").alias("zone"),
+        F.when(F.col(f"zone {i}") % 2 == 1, F.col(f"`{name}`")).alias("value"))
+        for i, name in enumerate(names)])
+    counted = (zones.select(F.inline(cells)).filter("zone IS NOT NULL")
+               .groupBy("variable", "zone", "value").agg(F.count("*").alias("copies")))
+    found = select_ranks(stored(counted), {i: ranks[name] for i, name in enumerate(names)})
+    return None if found is None else {(names[i], r): v for (i, r), v in found.items()}
+
+
+def select_ranks(counted: DataFrame, ranks: Mapping[int, Sequence[int]]
+                 ) -> dict[tuple[int, int], float] | None:
+    """Values at 0-based ranks of ``counted`` rows (variable, zone, value, copies), or None.
+
+    Odd zones hold distinct values, even ones a count of what lies between; a rank in an even zone
+    gives None. While the zones that wanted ranks lie in have more than ``_AT_HAND`` rows, sketched
+    pivots cut them finer and everything else collapses to counts; the rest comes to the driver.
+    ``counted`` is read a few times, so it should be stored or small.
+    """
+    while True:
+        totals = counted.groupBy("variable", "zone").agg(
+            F.sum("copies").alias("total"), F.count("*").alias("rows")).collect()
+        wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}     # (rank, rank in the zone)
+        for variable, asked in ranks.items():
+            zones = sorted((r["zone"], r["total"]) for r in totals if r["variable"] == variable)
+            for rank in asked:
+                begin = 0
+                for place, n in zones:
+                    if rank < begin + n:
+                        break
+                    begin += n
+                if place % 2 == 0:
+                    return None
+                wanted.setdefault((variable, place), []).append((rank, rank - begin))
+        if not wanted:
+            return {}
+        here = F.struct("variable", F.col("zone").cast("long")).isin(
+            [F.struct(F.lit(v), F.lit(z).cast("long")) for v, z in wanted])
+        if sum(r["rows"] for r in totals if (r["variable"], r["zone"]) in wanted) <= _AT_HAND:
+            break
+        counted = _cut_finer(counted, here, {v for v, _ in wanted})
+    rows = counted.filter(here).select("variable", "zone", "value", "copies").toArrow()
+    variables, zones, values, copies = (rows.column(i).to_numpy() for i in range(4))
+    found = {}
+    for (variable, place), asked in wanted.items():
+        mine = np.flatnonzero((variables == variable) & (zones == place))
+        mine = mine[np.argsort(values[mine])]
+        upto = np.cumsum(copies[mine])
+        for rank, inner in asked:
+            found[variable, rank] = float(values[mine[np.searchsorted(upto, inner, side="right")]])
+    return found
+
+
+def _cut_finer(counted: DataFrame, here: Column, variables: set[int]) -> DataFrame:
+    """The rows with the zones ``here`` cut by pivots, and all other zones collapsed to counts."""
+    inside = counted.filter(here).select(*[
+        F.when(F.col("variable") == v, F.col("value")).alias(str(v)) for v in sorted(variables)])
+    pivots = {int(v): sorted(set(at.values())) for v, (_, at) in sketched(
+        inside, [k / _PIVOTS for k in range(1, _PIVOTS)]).items()}
+    place = F.lit(0)
+    for v, edges in pivots.items():
+        place = F.when(F.col("variable") == v, _passed([F.col("value") >= e for e in edges])).otherwise(place)
+    step = F.lit(2 * (_PIVOTS + 1)).cast("long")
+    finer = F.col("zone") * step + F.when(here, 2 * place + 1).otherwise(0)
+    return stored(counted.groupBy("variable", finer.alias("zone"), F.when(here, F.col("value")).alias("value"))
+                  .agg(F.sum("copies").alias("copies")))
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column],
                      probs: Sequence[float]) -> dict[str, list[float]]:
-    return quantiles(melted(df, columns), probs)
+    """Exact quantiles of every column that has usable values."""
+    return {name: values for name, (_, values) in moments_and_quantiles(df, columns, probs).items()}
 
 
 def median_of(df: DataFrame, column: str) -> float | None:

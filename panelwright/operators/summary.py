@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwright.operators.ordering import column_quantiles, melted, usable
+from panelwright.operators.ordering import column_quantiles, moments_and_quantiles, usable
 
 _STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
@@ -15,14 +15,10 @@ _STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles, one row per statistic."""
     columns = list(columns)
-    quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75])
-    moments = melted(df, columns).groupBy("variable").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max")).collect()
-    found = {row["variable"]: row.asDict() for row in moments}
-    for variable, values in quartiles.items():
-        found[variable].update(zip(("25%", "50%", "75%"), values))
+    found = {}
+    for name, (m, quartiles) in moments_and_quantiles(df, columns, [0.25, 0.5, 0.75]).items():
+        found[name] = {"count": m.n, "mean": m.mean, "std": m.deviation, "min": m.low, "max": m.high,
+                       **dict(zip(("25%", "50%", "75%"), quartiles))}
 
     def cell(statistic: str, column: str) -> float | None:
         value = found.get(column, {"count": 0}).get(statistic)
@@ -119,41 +115,60 @@ def rule_of_thumb_bandwidth(n: int, deviation: float, iqr: float) -> float:
 
 
 def density(df: DataFrame, column: str, points: int = 512, bandwidth: float | None = None,
-            cells: int = 512) -> DataFrame:
+            terms: int = 18) -> DataFrame:
     """Gaussian kernel density on an even grid: (x, density).
 
-    Each value is shared between its two nearest of ``cells`` grid cells, and the kernel is
-    then applied to the cell weights, so the rows are read once and reduced to ``cells`` sums.
+    A fast Gauss transform. The values are read into cells one bandwidth wide, each with the first
+    ``terms`` moments of the Hermite expansion of its kernels around the cell's centre, and a grid point
+    adds up the expansions of the cells within ``_REACH`` bandwidths. What the expansion cuts off is at
+    most ``expansion_error(terms)`` of a kernel's peak (6e-14 for 18), and a cell out of reach adds less
+    than 1e-15 of it, so the result is the direct sum over all values to that accuracy.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter(usable("v"))
-    facts = values.agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"),
-                       F.min("v").alias("low"), F.max("v").alias("high")).first()
-    if not facts["n"]:
+    facts = moments_and_quantiles(df, [column], [0.25, 0.75])
+    if column not in facts:
         return df.sparkSession.createDataFrame([], "x double, density double")
+    moments, (q1, q3) = facts[column]
     if bandwidth is None:
-        q1, q3 = column_quantiles(values, ["v"], [0.25, 0.75])["v"]
-        bandwidth = rule_of_thumb_bandwidth(facts["n"], facts["sd"] or 0.0, q3 - q1)
-    start, stop = facts["low"] - 3 * bandwidth, facts["high"] + 3 * bandwidth
-    width = (stop - start) / (cells - 1)
-
-    place = (F.col("v") - F.lit(start)) / F.lit(width)
-    share = F.col("place") - F.col("cell")
-    weights = (
-        values.select(place.alias("place")).withColumn("cell", F.floor("place"))
-        .groupBy("cell").agg(F.sum(F.lit(1.0) - share).alias("here"), F.sum(share).alias("next"))
-    )
-    # At most `cells` pairs: one small array that every grid point is evaluated against.
-    packed = weights.agg(F.collect_list(F.struct("cell", "here", "next")).alias("weights"))
-    step = (stop - start) / (points - 1)
-    peak = 1.0 / (facts["n"] * bandwidth * math.sqrt(2 * math.pi))
-
-    def kernel(x: Column, cell: Column) -> Column:
-        z = (x - (F.lit(start) + cell * F.lit(width))) / F.lit(bandwidth)
-        return F.exp(z * z * F.lit(-0.5))
+        bandwidth = rule_of_thumb_bandwidth(moments.n, moments.deviation or 0.0, q3 - q1)
+    start, stop = moments.low - 3 * bandwidth, moments.high + 3 * bandwidth
+    step, root = (stop - start) / (points - 1), math.sqrt(2)
+
+    value = F.col(column).cast("double")
+    place = (value - F.lit(start)) / F.lit(bandwidth)
+    t = (F.col("place") - F.col("cell") - 0.5) / root
+    powers = [F.lit(1.0)]
+    for _ in range(1, terms):
+        powers.append(powers[-1] * F.col("t"))
+    cells = (df.filter(usable(value)).select(place.alias("place"))
+             .withColumn("cell", F.floor("place")).withColumn("t", t)
+             .groupBy("cell").agg(*[F.sum(p).alias(f"m{k}") for k, p in enumerate(powers)])
+             .select("cell", F.array(*[F.col(f"m{k}") / math.factorial(k) for k in range(terms)])
+                     .alias("moments")))
 
     x = F.lit(start) + F.col("i") * F.lit(step)
-    total = F.aggregate(
-        "weights", F.lit(0.0),
-        lambda acc, w: acc + w["here"] * kernel(x, w["cell"]) + w["next"] * kernel(x, w["cell"] + 1))
-    return (packed.select("weights", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-            .select(x.alias("x"), (total * F.lit(peak)).alias("density")))
+    middle = F.floor((x - F.lit(start)) / F.lit(bandwidth))
+    grid = (df.sparkSession.range(points).select(F.col("id").alias("i"))
+            .select("i", x.alias("x"), F.explode(F.sequence(middle - _REACH, middle + _REACH)).alias("cell")))
+    s = ((F.col("x") - F.lit(start)) / F.lit(bandwidth) - F.col("cell") - 0.5) / root
+    # Hermite polynomials by their recursion, each times its moment.
+    zero = F.struct(F.lit(0.0).alias("before"), F.lit(1.0).alias("h"), F.lit(0.0).alias("total"),
+                    F.lit(0).alias("k"))
+    folded = F.aggregate("moments", zero, lambda a, m: F.struct(
+        a["h"].alias("before"), (2 * F.col("s") * a["h"] - 2 * a["k"] * a["before"]).alias("h"),
+        (a["total"] + m * a["h"]).alias("total"), (a["k"] + 1).alias("k")))
+    peak = 1.0 / (moments.n * bandwidth * math.sqrt(2 * math.pi))
+    near = grid.join(cells, "cell", "left").withColumn("s", s)
+    total = F.sum(F.coalesce(folded["total"] * F.exp(-F.col("s") * F.col("s")), F.lit(0.0)))
+    return near.groupBy("i", "x").agg((total * F.lit(peak)).alias("density")).select("x", "density")
+
+
+# Cells on either side whose kernels a grid point sees: exp(-9 * 9 / 2) is below 1e-17.
+_REACH = 9
+
+
+def expansion_error(terms: int) -> float:
+    """Bound of what a Hermite expansion cut after ``terms`` leaves out, in kernel peaks.
+
+    For values within half a bandwidth of the centre: 1.09 * sum of (1/2)^k / sqrt(k!) from there on.
+    """
+    return 1.09 * sum(0.5 ** k / math.sqrt(math.factorial(k)) for k in range(terms, terms + 60))

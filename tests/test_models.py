@@ -161,6 +161,39 @@ def test_brown_forsythe_by_hand(spark):
     assert 0 < found.p_value < 1e-3
 
 
+def _brown_forsythe(e, x):
+    low = x <= np.median(x)
+    d1, d2 = (np.abs(e[m] - np.median(e[m])) for m in (low, ~low))
+    pooled = math.sqrt((((d1 - d1.mean()) ** 2).sum() + ((d2 - d2.mean()) ** 2).sum()) / (len(e) - 2))
+    return (d1.mean() - d2.mean()) / (pooled * math.sqrt(1 / len(d1) + 1 / len(d2)))
+
+
+@pytest.mark.parametrize("case", ["plain", "even", "common median", "common residual", "three values"])
+def test_brown_forsythe_settles_all_medians_in_one_read(spark, monkeypatch, case):
+    rng = np.random.default_rng(len(case))
+    n = 20_000 if case == "even" else 20_001
+    x, e = rng.normal(size=n), rng.normal(size=n) + 100
+    e *= 1 + 0.2 * (x > 0)
+    if case == "common median":
+        x[rng.random(n) < 0.34] = np.median(x)
+    if case == "common residual":
+        e[rng.random(n) < 0.5] = 100.0
+    if case == "three values":
+        x = np.round(np.clip(x, -1, 1))
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(e, x)], "e double, x double").repartition(9)
+    monkeypatch.setattr(diagnostics, "_halves_by_medians", lambda rows: None)
+    found = diagnostics.brown_forsythe(rows, "e", "x")
+    assert found.statistic == pytest.approx(_brown_forsythe(e, x), rel=1e-9)
+
+
+def test_brown_forsythe_without_a_bracket_takes_the_medians_in_turn(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    e, x = rng.normal(size=300), rng.normal(size=300)
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(e, x)], "e double, x double")
+    monkeypatch.setattr(diagnostics, "brackets_around", lambda *a: [(5.0, 6.0)])
+    assert diagnostics.brown_forsythe(rows, "e", "x").statistic == pytest.approx(_brown_forsythe(e, x), rel=1e-9)
+
+
 def test_brown_forsythe_without_two_groups(spark):
     rows = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0)], "e double, x double")
     assert diagnostics.brown_forsythe(rows, "e", "x").statistic is None

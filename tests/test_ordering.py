@@ -60,10 +60,39 @@ def test_rows_outside_the_brackets_are_only_counted(spark, monkeypatch):
 
 def test_a_missed_bracket_falls_back_to_all_rows(spark, monkeypatch):
     rows = _frame(spark, [float(i) for i in range(100)])
-    monkeypatch.setattr(od, "_brackets", lambda values, probs: ({"v": 100}, {"v": [(90.0, 95.0)]}))
+    monkeypatch.setattr(od, "brackets_around", lambda *a: [(90.0, 95.0)])
     assert od.column_quantiles(rows, ["v"], [0.5]) == {"v": [49.5]}
 
 
+@pytest.mark.parametrize("at_hand, pivots", [(200, 16), (20, 4)])
+def test_kept_values_are_cut_finer_until_few_are_left(spark, monkeypatch, at_hand, pivots):
+    rng = np.random.default_rng(12)
+    values = np.concatenate([rng.normal(size=9_000), np.full(3_000, 0.25), np.full(500, -1.5)])
+    rows = spark.createDataFrame([(float(v), float(v * v)) for v in values], "a double, b double").repartition(5)
+    monkeypatch.setattr(od, "_AT_HAND", at_hand)
+    monkeypatch.setattr(od, "_PIVOTS", pivots)
+    monkeypatch.setattr(od, "brackets_around", lambda *a: [(-math.inf, math.inf)])
+    cuts = []
+    cut = od._cut_finer
+    monkeypatch.setattr(od, "_cut_finer", lambda *a: cuts.append(1) or cut(*a))
+    found = od.column_quantiles(rows, ["a", "b"], [0, 0.3, 0.5, 0.51, 1])
+    for name, data in (("a", values), ("b", values * values)):
+        assert found[name] == pytest.approx(list(np.percentile(data, [0, 30, 50, 51, 100])), abs=1e-12)
+    assert len(cuts) >= 2
+
+
+def test_sketches_of_many_tasks_bracket_what_they_should(spark):
+    rng = np.random.default_rng(2)
+    values = rng.normal(size=60_000)
+    wide = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(70)
+    edges = od.bracket_edges([0.1, 0.5, 0.9])
+    (moments, at), = od.sketched(wide, edges).values()
+    assert moments.n == 60_000 and moments.mean == pytest.approx(values.mean(), abs=1e-12)
+    assert moments.deviation == pytest.approx(values.std(ddof=1), rel=1e-12)
+    for p, (low, high) in zip([0.1, 0.5, 0.9], zip(edges[::2], edges[1::2])):
+        assert at[low] <= np.quantile(values, p) <= at[high]
+
+
 def test_split_cut_over_several_prefixes(spark, monkeypatch):
     monkeypatch.setattr(od, "_HEX_STEP", 1)
     rows = spark.range(777).withColumnRenamed("id", "k")
@@ -194,16 +223,27 @@ def test_density_follows_the_direct_sum(spark):
     rng = np.random.default_rng(4)
     values = rng.normal(size=800)
     rows = _frame(spark, values.tolist())
-    found = sm.density(rows, "v", points=101, cells=2048).collect()
+    found = sm.density(rows, "v", points=101).orderBy("x").collect()
+    assert len(found) == 101
     q1, q3 = np.percentile(values, [25, 75])
     h = sm.rule_of_thumb_bandwidth(800, values.std(ddof=1), q3 - q1)
     for r in found[::10]:
         direct = np.exp(-0.5 * ((r["x"] - values) / h) ** 2).sum() / (800 * h * math.sqrt(2 * math.pi))
-        assert r["density"] == pytest.approx(direct, abs=1e-4)
+        assert r["density"] == pytest.approx(direct, abs=1e-12)
     step = found[1]["x"] - found[0]["x"]
     assert sum(r["density"] for r in found) * step == pytest.approx(1, abs=5e-3)
 
 
+@pytest.mark.parametrize("terms", [4, 8, 18])
+def test_density_keeps_the_stated_bound(spark, terms):
+    values = [0.0, 0.1, 0.49, 3.0, 3.0, 50.0]
+    found = sm.density(_frame(spark, values), "v", points=64, bandwidth=0.7, terms=terms).collect()
+    peak = 1 / (0.7 * math.sqrt(2 * math.pi))
+    for r in found:
+        direct = sum(math.exp(-0.5 * ((r["x"] - v) / 0.7) ** 2) for v in values) * peak / len(values)
+        assert abs(r["density"] - direct) <= sm.expansion_error(terms) * peak + 1e-15
+
+
 def test_geometric_mean_and_squares(spark):
     rows = _frame(spark, [1.0, 2.0, 4.0])
     found = rows.agg(sm.geometric_mean("v"), sm.squared_deviations("v")).first()

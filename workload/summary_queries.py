@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.operators import feeds, summary as sm
-from panelwright.operators.ordering import keyed_split, median_of, quantiles, sample_flag
+from panelwright.operators.ordering import column_quantiles, keyed_split, median_of, sample_flag
 from workload import standins as st
 from workload.registry import query, round_all, rounded, table
 
@@ -79,8 +79,9 @@ def median_split(spark, sf):
     orders = table(spark, sf, "orders").select("o_totalprice")
     middle = median_of(orders, "o_totalprice")
     halves = orders.withColumn("half", F.when(F.col("o_totalprice") <= middle, 0).otherwise(1))
-    centres = quantiles(halves.select(F.col("half").cast("string").alias("variable"),
-                                      F.col("o_totalprice").alias("value")), [0.5])
+    side = F.col("o_totalprice") <= middle
+    centres = column_quantiles(orders, {"0": F.when(side, F.col("o_totalprice")),
+                                        "1": F.when(~side, F.col("o_totalprice"))}, [0.5])
     centre = F.when(F.col("half") == 0, F.lit(centres["0"][0])).otherwise(F.lit(centres["1"][0]))
     return halves.groupBy("half").agg(F.count("*").alias("n"), F.max(rounded(centre, 4)).alias("middle"))
 
@@ -120,18 +121,13 @@ def hist2d(spark, sf):
 WITH f AS (SELECT count(*) AS n, stddev_samp(c_acctbal) AS sd, min(c_acctbal) AS low, max(c_acctbal) AS high,
                   quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) AS iqr FROM customer),
 b AS (SELECT *, 0.9::DOUBLE * least(sd, iqr / 1.34::DOUBLE) * power(n, -0.2::DOUBLE) AS bw FROM f),
-g AS (SELECT *, low - 3 * bw AS x0, (high - low + 6 * bw) / 511 AS w FROM b),
-p AS (SELECT (c_acctbal - x0) / w AS place FROM customer, g),
-c AS (SELECT floor(place) AS cell, sum(1 - (place - floor(place))) AS here, sum(place - floor(place)) AS next
-      FROM p GROUP BY 1),
-k AS (SELECT cell, here AS weight FROM c UNION ALL SELECT cell + 1, next FROM c),
-x AS (SELECT x0 + i * w AS x, n, bw, x0, w FROM g, range(0, 512) t(i))
+x AS (SELECT low - 3 * bw + i * ((high - low + 6 * bw) / 511) AS x, n, bw FROM b, range(0, 512) t(i))
 SELECT round(x, 4) + 0.0 AS x,
-       round(1e6 * sum(weight * exp(-0.5 * pow((x - (x0 + cell * w)) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 5) + 0.0 AS density
-FROM x, k GROUP BY x""")
+       round(1e6 * sum(exp(-0.5 * pow((x - c_acctbal) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 8) + 0.0 AS density
+FROM x, customer GROUP BY x""")
 def density_grid(spark, sf):
     found = sm.density(table(spark, sf, "customer"), "c_acctbal")
-    return found.select(rounded("x", 4).alias("x"), rounded(F.col("density") * 1e6, 5).alias("density"))
+    return found.select(rounded("x", 4).alias("x"), rounded(F.col("density") * 1e6, 8).alias("density"))
 
 
 def _split_sql(table_name: str, key: str, seed: int, fraction: float) -> str:
