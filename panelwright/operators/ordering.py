@@ -218,11 +218,12 @@ def select_ranks(counted: DataFrame, ranks: Mapping[int, Sequence[int]]
             return {}
         here = F.struct("variable", F.col("zone").cast("long")).isin(
             [F.struct(F.lit(v), F.lit(z).cast("long")) for v, z in wanted])
-        if sum(r["rows"] for r in totals if (r["variable"], r["zone"]) in wanted) <= _AT_HAND:
+        rows = sum(r["rows"] for r in totals if (r["variable"], r["zone"]) in wanted)
+        if rows <= max(_AT_HAND, 16 * len(wanted)):
             break
         counted = _cut_finer(counted, here, {v for v, _ in wanted})
-    rows = counted.filter(here).select("variable", "zone", "value", "copies").toArrow()
-    variables, zones, values, copies = (rows.column(i).to_numpy() for i in range(4))
+    kept = counted.filter(here).select("variable", "zone", "value", "copies").toArrow()
+    variables, zones, values, copies = (kept.column(i).to_numpy() for i in range(4))
     found = {}
     for (variable, place), asked in wanted.items():
         mine = np.flatnonzero((variables == variable) & (zones == place))
