@@ -15,9 +15,9 @@ from panelwright.runtime import stored
 _SKETCH_SIZE = 16_384
 SLACK = 0.001
 
-# Distinct values that may come to the driver to be ranked, and pivots of a round that cuts them down.
+# Distinct values that may come to the driver to be ranked, and pivots of a zone in a round that cuts them down.
 _AT_HAND = 100_000
-_PIVOTS = 256
+_PIVOTS = 64
 
 # Sketches of neighbouring tasks are merged in this many groups first.
 _SKETCH_GROUPS = 64
@@ -221,7 +221,7 @@ def select_ranks(counted: DataFrame, ranks: Mapping[int, Sequence[int]]
         rows = sum(r["rows"] for r in totals if (r["variable"], r["zone"]) in wanted)
         if rows <= max(_AT_HAND, 16 * len(wanted)):
             break
-        counted = _cut_finer(counted, here, {v for v, _ in wanted})
+        counted = _cut_finer(counted, list(wanted))
     kept = counted.filter(here).select("variable", "zone", "value", "copies").toArrow()
     variables, zones, values, copies = (kept.column(i).to_numpy() for i in range(4))
     found = {}
@@ -234,18 +234,20 @@ def select_ranks(counted: DataFrame, ranks: Mapping[int, Sequence[int]]
     return found
 
 
-def _cut_finer(counted: DataFrame, here: Column, variables: set[int]) -> DataFrame:
-    """The rows with the zones ``here`` cut by pivots, and all other zones collapsed to counts."""
-    inside = counted.filter(here).select(*[
-        F.when(F.col("variable") == v, F.col("value")).alias(str(v)) for v in sorted(variables)])
-    pivots = {int(v): sorted(set(at.values())) for v, (_, at) in sketched(
-        inside, [k / _PIVOTS for k in range(1, _PIVOTS)]).items()}
-    place = F.lit(0)
-    for v, edges in pivots.items():
-        place = F.when(F.col("variable") == v, _passed([F.col("value") >= e for e in edges])).otherwise(place)
+def _cut_finer(counted: DataFrame, wanted: Sequence[tuple[int, int]]) -> DataFrame:
+    """The rows with each wanted (variable, zone) cut by its own pivots, all else collapsed to counts."""
+    at = {f"{v} {z}": (F.col("variable") == v) & (F.col("zone") == z) for v, z in wanted}
+    pivots = {name: sorted(set(found.values())) for name, (_, found) in sketched(
+        counted.select(*[F.when(here, F.col("value")).alias(name) for name, here in at.items()]),
+        [k / _PIVOTS for k in range(1, _PIVOTS)]).items()}
+    place = F.lit(None).cast("int")
+    for name, edges in pivots.items():
+        place = F.when(at[name], _passed([F.col("value") >= e for e in edges])).otherwise(place)
     step = F.lit(2 * (_PIVOTS + 1)).cast("long")
-    finer = F.col("zone") * step + F.when(here, 2 * place + 1).otherwise(0)
-    return stored(counted.groupBy("variable", finer.alias("zone"), F.when(here, F.col("value")).alias("value"))
+    placed = counted.withColumn("place", place)
+    finer = F.col("zone") * step + F.when(F.col("place").isNotNull(), 2 * F.col("place") + 1).otherwise(0)
+    return stored(placed.groupBy("variable", finer.alias("zone"),
+                                 F.when(F.col("place").isNotNull(), F.col("value")).alias("value"))
                   .agg(F.sum("copies").alias("copies")))
 
 
