@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -114,13 +113,15 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return bins, offsets
 
 
-def _packer(window: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def pack(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["doc_id", "start", "copy"], kind="stable")
+def _packer(window: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Ids stay in Arrow: pandas would turn whole numbers next to a NULL into floats."""
+    def pack(key: tuple, pieces: pa.Table) -> pa.Table:
+        pieces = pieces.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("copy", "ascending")])
         bins, offsets = best_fit_decreasing(pieces["length"].to_numpy(), window)
-        pieces["sequence_id"] = int(key[0]) * _PIECES_PER_GROUP * 4 + bins
-        pieces["offset"] = offsets
-        return pieces.drop(columns=["copy", "_group"])
+        first = key[0].as_py() * _PIECES_PER_GROUP * 4
+        return (pieces.drop_columns(["copy", "_group"])
+                .append_column("sequence_id", pa.array(first + bins))
+                .append_column("offset", pa.array(offsets)))
     return pack
 
 
@@ -136,4 +137,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id:
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "copy"), F.lit(groups)))
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
               + (", ids binary" if with_ids else "") + ", sequence_id long, offset long")
-    return dealt.groupBy("_group").applyInPandas(_packer(window), schema)
+    return dealt.groupBy("_group").applyInArrow(_packer(window), schema)

@@ -188,11 +188,14 @@ def quality_filter(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     another text get their own.
     """
     digest = F.xxhash64(F.col("text"))
-    stats = stored(measured(docs.withColumn("_digest", digest),
-                            ["doc_id", "lang", "source", "_digest"], rules=rules), "quality")
+    named = docs.select("doc_id", "lang", "source", "text", digest.alias("_digest"))
+    stats = stored(measured(named, ["doc_id", "lang", "source", "_digest"], rules=rules), "quality")
     good = judged(stats, stored(fences(sketches(stats), rules), "fences")).filter("kept")
-    good = good.select(*[F.col(c).alias(f"_k_{c}") for c in ("doc_id", "_digest", "lang", "source")])
+    mark = "_k"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_k"
+    good = good.select(*[F.col(c).alias(f"{mark}_{c}") for c in ("doc_id", "_digest", "lang", "source")])
     on = F.lit(True)
     for c in ("doc_id", "lang", "source"):
-        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return docs.join(good, (digest == F.col("_k__digest")) & on, "left_semi")
+        on = on & F.col(c).eqNullSafe(F.col(f"{mark}_{c}"))
+    return docs.join(good, (digest == F.col(f"{mark}__digest")) & on, "left_semi")
