@@ -153,6 +153,14 @@ _BITMAP_BUCKET = 32_768
 ID_BITS = 1 << 23
 
 
+def bits_for(values: int) -> int:
+    """Bits of a bitmap for so many values: 16 each or more, a power of two, 2^27 (16 MB) at most.
+
+    With more than eight million values it lets ever more others pass; what follows stays exact.
+    """
+    return 1 << min(27, max(16, (16 * values).bit_length()))
+
+
 def hash_place(column: str | Column, bits: int) -> Column:
     """Place of a whole number in a bitmap of ``bits`` (a power of two)."""
     return F.pmod(F.xxhash64(column), F.lit(bits)).cast("long")

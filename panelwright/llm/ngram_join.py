@@ -8,19 +8,22 @@ equal, and about half of H segments differ by one element at most if each is all
 
 What is indexed is allocated by its cost, the number of sets under the same key:
 
-- Large bands index the segments themselves, with ``slack`` more segments than H + 1. Similar sets
-  then share an equal segment even if ``slack`` of them are useless. Useless are empty segments and
-  those that more than ``group_limit`` sets share, as passages copied into many documents make them.
-- Sets with more useless segments than that are looked up again by the one-deletion neighbourhoods
-  of their useful segments, which match across a difference of one element. Partners of such sets
-  share the useless segments and so are looked up again as well.
-- If more than a quarter of the segments are useless, the widely shared segments are searched too.
-- Small bands index one-deletion neighbourhoods of all segments, half as many of them.
-
-Equal sets are one record. Sets under one key are first compared with one of them, the one with the
-most widely shared segments, as the origin of a group of near copies has; what has become one
-component is not compared again, so a large group of copies costs one comparison each. Sets of large
-groups that remain take turns in being compared with those that had none yet. Pairs are
+- Large bands index the segments themselves, with ``slack`` more segments than H + 1; small bands index
+  one-deletion neighbourhoods, half as many segments.
+- Segments that are empty or crowded, that is, shared by more than ``group_limit`` sets as passages copied
+  into many documents make them, are worth nothing. Similar sets that share no other key both have
+  more such segments than ``slack``: these sets are *poor*, and are cut again into segments of single
+  elements, the finest partition of the universe there is. With r elements, of which a similar set
+  lacks a fifth at most, the first r / 5 + 1 of them are indexed, rare elements before crowded ones: the first
+  element that two similar sets have in common is among those of both.
+- Under crowded elements only pairs can be similar that have no rare element in common, so their rare
+  elements all count as differences. Sets of the kind "a common passage and much of their own" are
+  never compared there, because their own elements alone are too many.
+
+Equal sets are one record. Sets under one key are first compared with one of them, under crowded elements the one
+with the least of its own, as the origin of a group of near copies has; what has become one
+component is not compared again, so a large group of copies costs one comparison each. Sets that
+remain under crowded elements take turns in being compared with those that had none yet. Pairs are
 first tested by sizes and by the distance of small count vectors, which bounds the difference from
 below, and then verified exactly on the whole sets. Links go through connected components.
 
@@ -43,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.llm.common import (
-    ID_BITS, bitmap, bits_at, hash_place, hashed_words, mix, small_batches, stored, windows,
+    bitmap, bits_at, bits_for, hash_place, hashed_words, mix, small_batches, stored, windows,
 )
 from panelwright.llm.components import components
 
@@ -91,11 +94,6 @@ class Band:
     def segments(self) -> int:
         return -(-(self.differ + 1) // 2) if self.small else self.differ + 1 + self.slack
 
-    @property
-    def dense(self) -> int:
-        """Two sets with at most this many useless segments each share enough useful ones."""
-        return (self.segments - self.differ // 2 - 1) // 2
-
 
 @functools.cache
 def _bands() -> tuple[Band, ...]:
@@ -167,32 +165,21 @@ def plain_keys(s: np.ndarray, band: Band) -> np.ndarray:
     return _signature(sums[full], full, band, 0)
 
 
-def deletion_keys(s: np.ndarray, band: Band, useless: np.ndarray | None = None) -> np.ndarray:
-    """Keys of segments and of what is left of them without any one element.
-
-    With ``useless`` (plain keys) those segments and the empty ones are left out.
-    """
-    sums, sizes, place = segments(s, band)
-    use = np.ones(band.segments, bool)
-    if useless is not None:
-        every = _signature(sums, np.arange(band.segments), band, 0)
-        use = (sizes > 0) & ~np.isin(every, useless)
-    whole = np.flatnonzero(use)
-    inner = use[place]
-    if useless is not None:
-        inner &= sizes[place] > 1
-    one_less = _signature(sums[place[inner]] - mix(s[inner]), place[inner], band, 1)
-    return np.unique(np.concatenate([_signature(sums[whole], whole, band, 1), one_less]))
+def deletion_keys(s: np.ndarray, band: Band) -> np.ndarray:
+    """Keys of segments and of what is left of them without any one element."""
+    sums, _, place = segments(s, band)
+    one_less = _signature(sums[place] - mix(s), place, band, 1)
+    return np.unique(np.concatenate([_signature(sums, np.arange(band.segments), band, 1), one_less]))
 
 
 def _described(docs: DataFrame, n: int, text: str) -> DataFrame:
     """Rows (doc_id, n_shingles, rec, key2, cells, large) per row of ``docs``.
 
-    ``large`` lists the set's large bands: its slot (0: own band, 1: the one below), empty segments,
-    slack, and the number of useless segments that makes a set dense.
+    ``large`` lists the set's large bands: its slot (0: own band, 1: the one below), empty segments and
+    slack.
     """
-    large = "array<struct<slot: int, empty: int, slack: int, dense: int>>"
-    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("slot", "empty", "slack", "dense")]))
+    large = "array<struct<slot: int, empty: int, slack: int>>"
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("slot", "empty", "slack")]))
     schema = f"doc_id long, n_shingles long, rec long, key2 long, cells binary, large {large}"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +188,9 @@ def _described(docs: DataFrame, n: int, text: str) -> DataFrame:
             ids = b.column(0).to_pylist()
             for k, s in text_sets(b.column(1), n):
                 shape = [(slot, band.segments - int(np.count_nonzero(segments(s, band)[1])),
-                          band.slack, band.dense) for slot, band in slots_of(len(s)) if slot < 2]
+                          band.slack) for slot, band in slots_of(len(s)) if slot < 2]
                 out.append((ids[k], len(s), *set_key(s), count_vector(s), [dict(zip(
-                    ("slot", "empty", "slack", "dense"), x, strict=True)) for x in shape]))
+                    ("slot", "empty", "slack"), x, strict=True)) for x in shape]))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64()] * 4 + [pa.binary(), kind]
             yield pa.RecordBatch.from_arrays(
@@ -231,19 +218,48 @@ def _index_rows(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(read, "key long, rec long, slot int")
 
 
-def _neighbourhood_rows(sets: DataFrame, todo: DataFrame) -> DataFrame:
-    """Rows (key, rec) for ``sets`` (rec, elements); ``todo`` lists (slot, useless keys) per band."""
+def _crowded_elements(sets: DataFrame, group_limit: int) -> np.ndarray:
+    """A bitmap in which every element of more than ``group_limit`` of the ``sets`` is marked.
+
+    It has 16 bits for each of them, and 2^27 at most. Which elements count as crowded decides about the
+    cost only, so the few others that it marks do no harm.
+    """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(raw.as_buffer(), np.int64))], ["element"])
+
+    found = stored(sets.select("elements").mapInArrow(read, "element long").groupBy("element").count()
+                   .filter(F.col("count") > group_limit).select("element"), "crowded")
+    bits = bits_for(found.count())
+    return bitmap(found, F.pmod(F.col("element"), F.lit(bits)), bits)
+
+
+def _element_rows(sets: DataFrame, crowded: np.ndarray, percent: int) -> DataFrame:
+    """Rows (key, rec, rare, need) for ``sets`` (rec, elements): the elements indexed for each.
+
+    ``need`` is the number of a set's rare elements less its share of the differences that a similar pair
+    may have, both scaled: two sets without a common rare element can only be similar if their needs add
+    up to 0 or less. Sets with more rare elements than they may lack have rows of rare elements only.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(crowded.tobytes())
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        last = np.uint64(len(bits) * 8 - 1)
         for b in batches:
-            for rec, raw, bands in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                of = dict(slots_of(len(s)))
-                k = np.concatenate([deletion_keys(s, of[t["slot"]], np.array(t["keys"] or [], np.int64))
-                                    for t in bands])
+            for rec, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                common = bits_at(bits, (s & last).astype(np.int64))
+                order = np.concatenate([s[~common], s[common]])[:len(s) * (100 - percent) // 100 + 1]
+                rare = len(s) - int(np.count_nonzero(common))
+                need = (100 + percent) * rare - (100 - percent) * len(s)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k), pa.array(np.full(len(k), rec, np.int64))], ["key", "rec"])
-    return sets.join(todo, "rec").select("rec", "elements", "todo").mapInArrow(
-        read, "key long, rec long")
+                    [pa.array(order.view(np.int64)), pa.array(np.full(len(order), rec, np.int64)),
+                     pa.array(np.arange(len(order)) < rare), pa.array(np.full(len(order), need, np.int64))],
+                    ["key", "rec", "rare", "need"])
+    return sets.select("rec", "elements").mapInArrow(read, "key long, rec long, rare boolean, need long")
 
 
 class _Corpus:
@@ -270,13 +286,14 @@ class _Corpus:
     def sets_of(self, recs: DataFrame) -> DataFrame:
         """Rows (rec, elements) of the records in ``recs`` (rec), written once.
 
-        Sets are formed where texts are read, of the documents that a bitmap of fixed size lets
+        Sets are formed where texts are read, of the documents that a bitmap of bounded size lets
         pass; the join then decides. No text is shuffled.
         """
         n = self.n
-        ids = recs.join(self.records.select("rec", "doc"), "rec").select("doc")
+        ids = stored(recs.join(self.records.select("rec", "doc"), "rec").select("doc"), "wanted-ids")
+        size = bits_for(ids.count())
         shared = self.docs.sparkSession.sparkContext.broadcast(
-            bitmap(ids, hash_place("doc", ID_BITS)).tobytes())
+            bitmap(ids, hash_place("doc", size), size).tobytes())
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.frombuffer(shared.value, np.uint8)
@@ -289,7 +306,7 @@ class _Corpus:
                     yield pa.RecordBatch.from_arrays([
                         pa.array([f[0] for f in found], pa.int64()),
                         pa.array([f[1] for f in found], pa.binary())], ["rec", "elements"])
-        sets = self.docs.select("text", hash_place("doc_id", ID_BITS)).mapInArrow(
+        sets = self.docs.select("text", hash_place("doc_id", size)).mapInArrow(
             read, "rec long, elements binary")
         return stored(sets.join(recs, "rec", "left_semi").dropDuplicates(["rec"]), "elements")
 
@@ -346,85 +363,76 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _with_leader(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of everything under a key with one leader, the set with most hot segments."""
+    """Pairs (a, b) of everything under a key with one leader, the set with the least need."""
     first = stored(members.groupBy("key").agg(
-        F.min(F.struct(~F.col("want"), -F.col("hot"), "rec"))["rec"].alias("x")), "leaders")
-    return _ordered(members.join(first, "key").select("x", F.col("rec").alias("y")))
+        F.min(F.struct("need", "rec")).alias("first")), "leaders")
+    both = members.join(first, "key").filter(F.col("need") + F.col("first.need") <= 0)
+    return _ordered(both.select(F.col("first.rec").alias("x"), F.col("rec").alias("y")))
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members under keys that still span several components, with their ``root``."""
     left = members.join(roots, "rec", "left").withColumn("root", F.coalesce("root", "rec"))
     spans = stored(left.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"),
-        "open-keys")
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("need").alias("least"))
+        .filter("low != high AND least <= 0").select("key"), "open-keys")
     return stored(left.join(spans, "key", "left_semi"), "open-members")
 
 
 def _across(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs of different components under a key, one side in ``x`` and the other in ``y``."""
-    x = x.select("key", F.col("rec").alias("x"), F.col("root").alias("rx"))
-    y = y.select("key", F.col("rec").alias("y"), F.col("root").alias("ry"))
-    return _ordered(x.join(y, "key").filter("rx != ry").select("x", "y"))
+    """Pairs of different components under a key that may be similar, one side in ``x`` and one in ``y``."""
+    x = x.select("key", F.col("rec").alias("x"), F.col("root").alias("rx"), F.col("need").alias("nx"))
+    y = y.select("key", F.col("rec").alias("y"), F.col("root").alias("ry"), F.col("need").alias("ny"))
+    return _ordered(x.join(y, "key").filter("rx != ry AND nx + ny <= 0").select("x", "y"))
 
 
-def _searched_again(index: DataFrame, corpus: _Corpus, group_limit: int) -> DataFrame:
-    """Members (key, rec, sets, want, hot) for sets with more useless segments than slack."""
-    crowded = index.filter((F.col("sets") > group_limit) & (F.col("slot") < 2))
-    hot = crowded.groupBy("rec", "slot").agg(
-        F.count("*").alias("hot"), F.collect_set("key").alias("keys"))
+def _poor(index: DataFrame, corpus: _Corpus, group_limit: int) -> DataFrame:
+    """Records (rec) whose similar sets may share empty segments and crowded keys only."""
+    crowded = index.filter(F.col("sets") > group_limit)
+    hot = crowded.filter("slot < 2").groupBy("rec", "slot").agg(F.count("*").alias("hot"))
     shapes = corpus.records.select("rec", F.explode("large").alias("b")).select("rec", "b.*")
-    useless = F.col("empty") + F.coalesce("hot", F.lit(0))
-    again = shapes.join(hot, ["rec", "slot"], "left").filter(useless > F.col("slack")).select(
-        "rec", "slot", "keys", (useless > F.col("dense")).alias("want"),
-        F.coalesce("hot", F.lit(0)).alias("hot"))
-    again = stored(again, "again")
-    todo = again.groupBy("rec").agg(F.collect_set(F.struct("slot", "keys")).alias("todo"))
-    sets = corpus.sets_of(again.select("rec").distinct())
-    near = _members(_neighbourhood_rows(sets, todo)).withColumn("want", F.lit(True)).join(
-        again.groupBy("rec").agg(F.max("hot").alias("hot")), "rec")
-    crowd = crowded.join(again.select("rec", "slot", "want", "hot"), ["rec", "slot"])
-    wanted = crowd.filter("want").select("key").distinct()
-    columns = ["key", "rec", "sets", "want", "hot"]
-    return near.select(columns).unionByName(
-        crowd.join(wanted, "key", "left_semi").select(columns))
-
-
-def similar_records(corpus: _Corpus, percent: int = 80, group_limit: int = 24) -> DataFrame:
+    large = shapes.join(hot, ["rec", "slot"], "left").filter(
+        F.col("empty") + F.coalesce("hot", F.lit(0)) > F.col("slack")).select("rec")
+    return stored(large.union(crowded.filter("slot = 2").select("rec")).distinct(), "poor")
+
+
+def similar_records(corpus: _Corpus, percent: int = 80, group_limit: int = 8) -> DataFrame:
     """Rows (rec, root): the components of the records that have links."""
     if percent < 80:
         raise ValueError("the bands hold for a similarity of 80 percent or more")
     index = stored(_members(_index_rows(corpus.one_text_each(), corpus.n)), "shared-keys")
-    plain = index.filter((F.col("sets") <= group_limit) | (F.col("slot") == 2)).select(
-        "key", "rec", "sets", F.lit(True).alias("want"), F.lit(0).cast("long").alias("hot"))
-    members = stored(plain.unionByName(_searched_again(index, corpus, group_limit)), "members")
+    sets = corpus.sets_of(_poor(index, corpus, group_limit))
+    rows = stored(_element_rows(sets, _crowded_elements(sets, group_limit), percent), "elements")
+    none = F.lit(0).cast("long").alias("need")
+    plain = index.filter(F.col("sets") <= group_limit).select("key", "rec", none).unionByName(
+        _members(rows.filter("rare")).select("key", "rec", none))
+    members = stored(plain, "members")
     seen = stored(_with_leader(members), "pairs")
     links = stored(_similar(seen, corpus, percent), "links")
-    roots = components(links)
-    left = _open(members, roots)
-    large = F.col("sets") > group_limit
-    pairs = _across(left.filter(~large), left.filter(~large)).join(seen, ["a", "b"], "left_anti")
+    left = _open(members, components(links))
+    pairs = _across(left, left).join(seen, ["a", "b"], "left_anti")
     links = links.unionByName(stored(_similar(stored(pairs, "pairs"), corpus, percent), "links"))
-    roots = components(links)
-    return _large_groups(left.filter(large).drop("root"), links, roots, corpus, percent)
+    return _crowded_groups(rows.filter("NOT rare"), sets, links, corpus, percent)
 
 
-def _large_groups(members: DataFrame, links: DataFrame, roots: DataFrame, corpus: _Corpus,
-                  percent: int) -> DataFrame:
-    """The components (rec, root) after the wanted ``members`` of large groups had their turns.
+def _crowded_groups(members: DataFrame, sets: DataFrame, links: DataFrame, corpus: _Corpus,
+                    percent: int) -> DataFrame:
+    """The components (rec, root) after the ``members`` of crowded elements had their turns.
 
-    In its turn a set is compared with the unwanted ones and with those whose turn has not passed.
-    What is compared is brought together once, so that a round reads these few records only.
+    Of a similar pair here at least one set has a need of 0 or less. These are compared with a leader
+    first and then, where a key still spans several components, take turns: in its turn a set is compared
+    with those of greater need and with those whose turn has not passed. The members' sets are at hand.
     """
+    sizes = stored(corpus.records.join(members.select("rec").distinct(), "rec", "left_semi"), "crowd-records")
+    found = stored(_similar(stored(_with_leader(members), "pairs"), corpus, percent, sizes, sets), "links")
+    links = links.unionByName(found)
+    roots = components(links)
     crowd = _open(members, roots)
-    most = crowd.filter("want").groupBy("key").count().agg(F.max("count")).head()[0]
+    most = crowd.filter("need <= 0").groupBy("key").count().agg(F.max("count")).head()[0]
     if not most:
         return roots
-    recs = stored(crowd.select("rec").distinct(), "crowd")
-    sets = corpus.sets_of(recs)
-    sizes = stored(corpus.records.join(recs, "rec", "left_semi"), "crowd-records")
     rounds = -(-most // _LEADERS)
-    turn = F.when(F.col("want"), F.pmod(F.xxhash64("rec"), F.lit(rounds))).otherwise(rounds)
+    turn = F.when(F.col("need") <= 0, F.pmod(F.xxhash64("rec"), F.lit(rounds))).otherwise(rounds)
     crowd = crowd.withColumn("turn", turn)
     for done in range(rounds):
         pairs = stored(_across(crowd.filter(F.col("turn") == done), crowd), "pairs")
@@ -440,7 +448,7 @@ def _large_groups(members: DataFrame, links: DataFrame, roots: DataFrame, corpus
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
-                    group_limit: int = 24) -> DataFrame:
+                    group_limit: int = 8) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     corpus = _Corpus(docs, n, text)
     roots = similar_records(corpus, percent, group_limit)
