@@ -16,9 +16,10 @@ What is indexed is allocated by its cost, the number of sets under the same key:
   elements, the finest partition of the universe there is. With r elements, of which a similar set
   lacks a fifth at most, the first r / 5 + 1 of them are indexed, rare elements before crowded ones: the first
   element that two similar sets have in common is among those of both.
-- Under crowded elements only pairs can be similar that have no rare element in common, so their rare
-  elements all count as differences. Sets of the kind "a common passage and much of their own" are
-  never compared there, because their own elements alone are too many.
+- Under crowded elements only pairs are left that have no rare element in common, so their rare
+  elements all count as differences, and so does what their crowded elements differ in number. Sets of
+  the kind "a common passage and much of their own" are never compared there, because their own
+  elements alone are too many, nor are near copies that differ too much from their origin.
 
 Equal sets are one record. Sets under one key are first compared with one of them, under crowded elements the one
 with the least of its own, as the origin of a group of near copies has; what has become one
@@ -237,11 +238,12 @@ def _crowded_elements(sets: DataFrame, group_limit: int) -> np.ndarray:
 
 
 def _element_rows(sets: DataFrame, crowded: np.ndarray, percent: int) -> DataFrame:
-    """Rows (key, rec, rare, need) for ``sets`` (rec, elements): the elements indexed for each.
+    """Rows (key, rec, rare, need, common) for ``sets`` (rec, elements): the elements indexed for each.
 
-    ``need`` is the number of a set's rare elements less its share of the differences that a similar pair
-    may have, both scaled: two sets without a common rare element can only be similar if their needs add
-    up to 0 or less. Sets with more rare elements than they may lack have rows of rare elements only.
+    ``common`` is the number of a set's crowded elements, and ``need`` that of its rare ones less its
+    share of the differences that a similar pair may have, both scaled by 100 + percent: two sets without a common rare
+    element can only be similar if their needs and what their crowded elements differ in number add up
+    to 0 or less. Sets with more rare elements than they may lack have rows of rare elements only.
     """
     shared = sets.sparkSession.sparkContext.broadcast(crowded.tobytes())
 
@@ -257,9 +259,11 @@ def _element_rows(sets: DataFrame, crowded: np.ndarray, percent: int) -> DataFra
                 need = (100 + percent) * rare - (100 - percent) * len(s)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(order.view(np.int64)), pa.array(np.full(len(order), rec, np.int64)),
-                     pa.array(np.arange(len(order)) < rare), pa.array(np.full(len(order), need, np.int64))],
-                    ["key", "rec", "rare", "need"])
-    return sets.select("rec", "elements").mapInArrow(read, "key long, rec long, rare boolean, need long")
+                     pa.array(np.arange(len(order)) < rare), pa.array(np.full(len(order), need, np.int64)),
+                     pa.array(np.full(len(order), (100 + percent) * (len(s) - rare), np.int64))],
+                    ["key", "rec", "rare", "need", "common"])
+    return sets.select("rec", "elements").mapInArrow(
+        read, "key long, rec long, rare boolean, need long, common long")
 
 
 class _Corpus:
@@ -365,8 +369,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _with_leader(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of everything under a key with one leader, the set with the least need."""
     first = stored(members.groupBy("key").agg(
-        F.min(F.struct("need", "rec")).alias("first")), "leaders")
-    both = members.join(first, "key").filter(F.col("need") + F.col("first.need") <= 0)
+        F.min(F.struct("need", "rec", "common")).alias("first")), "leaders")
+    both = members.join(first, "key").filter(
+        F.col("need") + F.col("first.need") + F.abs(F.col("common") - F.col("first.common")) <= 0)
     return _ordered(both.select(F.col("first.rec").alias("x"), F.col("rec").alias("y")))
 
 
@@ -381,9 +386,10 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _across(x: DataFrame, y: DataFrame) -> DataFrame:
     """Pairs of different components under a key that may be similar, one side in ``x`` and one in ``y``."""
-    x = x.select("key", F.col("rec").alias("x"), F.col("root").alias("rx"), F.col("need").alias("nx"))
-    y = y.select("key", F.col("rec").alias("y"), F.col("root").alias("ry"), F.col("need").alias("ny"))
-    return _ordered(x.join(y, "key").filter("rx != ry AND nx + ny <= 0").select("x", "y"))
+    x, y = (side.select("key", F.col("rec").alias(name), F.col("root").alias(f"r{name}"),
+                        F.col("need").alias(f"n{name}"), F.col("common").alias(f"c{name}"))
+            for side, name in ((x, "x"), (y, "y")))
+    return _ordered(x.join(y, "key").filter("rx != ry AND nx + ny + abs(cx - cy) <= 0").select("x", "y"))
 
 
 def _poor(index: DataFrame, corpus: _Corpus, group_limit: int) -> DataFrame:
@@ -403,9 +409,9 @@ def similar_records(corpus: _Corpus, percent: int = 80, group_limit: int = 8) ->
     index = stored(_members(_index_rows(corpus.one_text_each(), corpus.n)), "shared-keys")
     sets = corpus.sets_of(_poor(index, corpus, group_limit))
     rows = stored(_element_rows(sets, _crowded_elements(sets, group_limit), percent), "elements")
-    none = F.lit(0).cast("long").alias("need")
-    plain = index.filter(F.col("sets") <= group_limit).select("key", "rec", none).unionByName(
-        _members(rows.filter("rare")).select("key", "rec", none))
+    none = [F.lit(0).cast("long").alias(c) for c in ("need", "common")]
+    plain = index.filter(F.col("sets") <= group_limit).select("key", "rec", *none).unionByName(
+        _members(rows.filter("rare")).select("key", "rec", *none))
     members = stored(plain, "members")
     seen = stored(_with_leader(members), "pairs")
     links = stored(_similar(seen, corpus, percent), "links")
