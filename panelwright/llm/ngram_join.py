@@ -53,7 +53,8 @@ from panelwright.llm.components import components
 
 _SMALL = 40          # largest set of the small bands
 _CELLS = 128         # cells of the count vectors
-_LEADERS = 256       # sets of a large group compared with all others in a round
+_LEADERS = 256       # sets of a large group compared with all others in a round, at most
+_FIRST_LEADERS = 8   # and in the first round
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -437,8 +438,17 @@ def _crowded_groups(members: DataFrame, sets: DataFrame, links: DataFrame, corpu
     most = crowd.filter("need <= 0").groupBy("key").count().agg(F.max("count")).head()[0]
     if not most:
         return roots
-    rounds = -(-most // _LEADERS)
-    turn = F.when(F.col("need") <= 0, F.pmod(F.xxhash64("rec"), F.lit(rounds))).otherwise(rounds)
+    # Few have their turn at first, since whoever they link is not compared again: 8, 32, 128, then 256 a key.
+    shares, step = [], _FIRST_LEADERS
+    while sum(shares) < most:
+        shares.append(step)
+        step = min(4 * step, _LEADERS)
+    rounds = len(shares)
+    drawn = F.pmod(F.xxhash64("rec"), F.lit(sum(shares)))
+    turn = F.lit(rounds)
+    for k in reversed(range(rounds)):
+        turn = F.when(drawn < sum(shares[:k + 1]), k).otherwise(turn)
+    turn = F.when(F.col("need") <= 0, turn).otherwise(rounds)
     crowd = crowd.withColumn("turn", turn)
     for done in range(rounds):
         pairs = stored(_across(crowd.filter(F.col("turn") == done), crowd), "pairs")
