@@ -1,9 +1,12 @@
-"""Inverse normal distribution as a Spark expression."""
+"""Normal distribution and its inverse as Spark expressions."""
 
 from __future__ import annotations
 
 import functools
+import math
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # Wichura (1988), algorithm AS 241, PPND16. Coefficients ascend.
@@ -39,7 +42,7 @@ TAIL_DEN = (
 )
 
 
-def _poly(x: Column, ascending: tuple[float, ...]) -> Column:
+def _poly(x: Column, ascending: Sequence[float]) -> Column:
     highest, *rest = reversed(ascending)
     return functools.reduce(lambda acc, c: acc * x + F.lit(c), rest, F.lit(highest))
 
@@ -56,3 +59,34 @@ def inverse_normal(p: Column | str) -> Column:
     outside = F.signum(q) * F.when(r <= 5.0, shoulder).otherwise(tail)
     return F.when((prob > 0) & (prob < 1),
                   F.when(F.abs(q) <= 0.425, centre).otherwise(outside))
+
+
+# The scaled tail exp(x^2) erfc(x) is fitted up to here; further out its asymptotic series takes over.
+_FAR = 26.0
+
+
+@functools.cache
+def _scaled_tail() -> tuple[float, ...]:
+    """Ascending coefficients in u of ln(exp(x^2) erfc(x) / t), t = 2 / (2 + x), u = t moved to [-1, 1]."""
+    least = 2 / (2 + _FAR)
+
+    def target(us: np.ndarray) -> np.ndarray:
+        ts = least + (us + 1) / 2 * (1 - least)
+        return np.array([math.log(math.erfc(2 / t - 2)) + (2 / t - 2) ** 2 - math.log(t) for t in ts])
+
+    fitted = np.polynomial.chebyshev.chebinterpolate(target, 24)
+    return tuple(np.polynomial.chebyshev.cheb2poly(fitted).tolist())
+
+
+def log_normal_tail(z: Column | str) -> Column:
+    """Natural log of the upper tail of the standard normal law, to about 1e-13 however far out."""
+    value = F.col(z) if isinstance(z, str) else z
+    x = F.abs(value) / math.sqrt(2)
+    t = 2 / (2 + x)
+    least = 2 / (2 + _FAR)
+    u = (t - least) * (2 / (1 - least)) - 1
+    near = F.ln(t / 2) + _poly(u, _scaled_tail())
+    inverse = 1 / (2 * x * x)
+    far = F.log1p(-inverse * (1 - 3 * inverse * (1 - 5 * inverse))) - F.ln(2 * math.sqrt(math.pi) * x)
+    tail = F.when(x <= _FAR, near).otherwise(far) - x * x
+    return F.when(value >= 0, tail).otherwise(F.log1p(-F.exp(tail)))

@@ -153,14 +153,20 @@ def analyse(dataset: DataFrame, variant: str, shifts: Sequence[float] = (67.0, 1
         moved = dict(zip(usable_shifts, pool.map(transform, usable_shifts)))
         asked = {
             "brown_forsythe": (constant_spread, scored, "residual", "yhat"),
-            "shapiro": (diagnostics.shapiro_wilk, scored, "residual", KEY),
-            "step_shapiro": (diagnostics.shapiro_wilk, scored, "step_residual", KEY)}
+            "": (diagnostics.normality, scored, "residual", KEY),
+            "step_": (diagnostics.normality, scored, "step_residual", KEY)}
         for shift, (_, _, rows) in moved.items():
             asked[f"power_{shift:g}_brown_forsythe"] = (
                 constant_spread, rows, "residual", "yhat")
-            asked[f"power_{shift:g}_shapiro"] = (diagnostics.shapiro_wilk, rows, "residual", KEY)
+            asked[f"power_{shift:g}_"] = (diagnostics.normality, rows, "residual", KEY)
         pending = {name: pool.submit(*call) for name, call in asked.items()}
-        tests = {name: job.result() for name, job in pending.items()}
+        tests = {}
+        for name, job in pending.items():
+            found = job.result()
+            if isinstance(found, diagnostics.Normality):
+                tests |= {f"{name}shapiro": found.shapiro, f"{name}anderson": found.anderson}
+            else:
+                tests[name] = found
         subsets = searching.result()
 
     tests["step_f"] = diagnostics.nested_f_test(step, full)

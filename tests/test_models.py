@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.functions.normal import log_normal_tail
 from panelwright.operators import (
     boxcox, diagnostics, feeds, leastsquares as ls, scoring, selection, subsets,
 )
@@ -218,8 +219,58 @@ def test_shapiro_limits(spark):
     flat = spark.createDataFrame([(i, 1.0) for i in range(9)], "k long, v double")
     assert diagnostics.shapiro_wilk(flat, "v", "k").statistic is None
     many = spark.range(5001).select(F.col("id").alias("k"), F.randn(3).alias("v"))
-    found = diagnostics.shapiro_wilk(many, "v", "k")
-    assert found.statistic > 0.99 and 0 < found.p_value <= 1
+    found = diagnostics.normality(many, "v", "k")
+    assert found.shapiro.statistic > 0.99 and found.shapiro.p_value is None
+    assert 0.001 < found.anderson.p_value <= 1
+
+
+def _anderson(values):
+    """Directly from the definition."""
+    v = np.sort(values)
+    z = (v - v.mean()) / v.std(ddof=1)
+    n = len(v)
+    below = [math.log(0.5 * math.erfc(-x / math.sqrt(2))) for x in z]
+    above = [math.log(0.5 * math.erfc(x / math.sqrt(2))) for x in z]
+    return -n - sum((2 * i + 1) * (below[i] + above[n - 1 - i]) for i in range(n)) / n
+
+
+@pytest.mark.parametrize("draw", ["normal", "uniform", "exponential", "ties", "outlier"])
+def test_anderson_equals_the_definition(spark, draw):
+    rng = np.random.default_rng(8)
+    values = {"normal": rng.normal(size=700), "uniform": rng.random(700),
+              "exponential": rng.exponential(size=700), "ties": rng.integers(0, 4, 700).astype(float),
+              "outlier": np.append(rng.normal(size=300), 1e3)}[draw]
+    rows = spark.createDataFrame(list(enumerate(values.tolist())), "k long, v double")
+    found = diagnostics.anderson_darling(rows, "v", "k")
+    assert found.statistic == pytest.approx(_anderson(values), rel=1e-11)
+    assert found.df2 == len(values)
+    assert found.p_value > 0.05 if draw == "normal" else found.p_value < 1e-6
+
+
+def test_anderson_p_of_published_points():
+    # Upper points of the corrected statistic with both parameters estimated.
+    for point, p in ((0.561, 0.15), (0.631, 0.10), (0.752, 0.05), (0.873, 0.025), (1.035, 0.01)):
+        assert diagnostics.anderson_p(point, 10 ** 9) == pytest.approx(p, rel=0.04)
+    falling = [diagnostics.anderson_p(a / 50, 10 ** 6) for a in range(1, 5000)]
+    assert all(0 <= b <= a + 1e-3 for a, b in zip(falling, falling[1:]))
+    assert diagnostics.anderson_p(0.5, 7) is None
+
+
+def test_anderson_share_of_rejections_holds_beyond_5000_values():
+    rng = np.random.default_rng(2)
+    rejected = sum(diagnostics.anderson_p(_anderson(rng.normal(size=6000)), 6000) < 0.05 for _ in range(200))
+    assert 2 <= rejected <= 20
+
+
+def test_log_normal_tail(spark):
+    zs = [-40.0, -8.0, -1.0, -0.0, 0.0, 0.3, 1.0, 5.0, 12.0, 36.0, 37.5, 60.0, 1e4]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double").select("z", log_normal_tail("z").alias("tail"))
+    for z, tail in rows.collect():
+        if z < 37:
+            want = math.log(0.5 * math.erfc(z / math.sqrt(2))) if z > -8 else -0.5 * math.erfc(-z / math.sqrt(2))
+        else:       # log of the asymptotic series of the tail's ratio to the density
+            want = -z * z / 2 - math.log(z * math.sqrt(2 * math.pi)) - 1 / z ** 2 + 2.5 / z ** 4
+        assert tail == pytest.approx(want, rel=1e-11 if z >= 37 else 2e-13, abs=2e-13)
 
 
 def test_normal_pairs_of_few_and_many(spark):

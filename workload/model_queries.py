@@ -251,10 +251,10 @@ s AS (SELECT pow(sum(weight * v), 2) / sum((v - mean) * (v - mean)) AS statistic
              any_value(n)::DOUBLE AS n, ln(any_value(n)) AS k FROM w),
 z AS (SELECT statistic, n, (ln(1 - statistic) - (-1.5861 - 0.31082 * k - 0.083751 * k * k + 0.0038915 * k * k * k))
              / exp(-0.4803 - 0.082676 * k + 0.0030302 * k * k) AS z FROM s)
-SELECT round(statistic, 8) + 0.0 AS statistic, n, abs(round(0.5 - sign(z) * sum(
+SELECT round(statistic, 8) + 0.0 AS statistic, n, CASE WHEN n <= 5000 THEN abs(round(0.5 - sign(z) * sum(
          CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
          * exp(-pow(least(abs(z), 12) * i / 4000, 2) / 2)) * least(abs(z), 12) / 12000 / sqrt(2 * pi()), 8))
-         + 0.0 AS p_value
+         + 0.0 END AS p_value
 FROM z, range(0, 4001) x(i) GROUP BY statistic, n, z""")
 def shapiro(spark, sf):
     found = diagnostics.shapiro_wilk(table(spark, sf, "customer"), "c_acctbal", "c_custkey")
@@ -262,6 +262,31 @@ def shapiro(spark, sf):
                                      rounded("p_value", 8).alias("p_value"))
 
 
+# Simpson's rule for the normal law; the p-value's constants are those of the published table.
+@query("I8", """
+WITH r AS (SELECT (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () AS z,
+                  row_number() OVER (ORDER BY c_acctbal, c_custkey) AS rank, count(*) OVER () AS n FROM customer),
+c AS (SELECT any_value(rank) AS rank, any_value(n) AS n, 0.5 + sum(
+           CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+           * exp(-pow(z * i / 200, 2) / 2)) * z / 600 / sqrt(2 * pi()) AS below
+      FROM r, range(0, 201) t(i) GROUP BY rank, z),
+s AS (SELECT any_value(n)::DOUBLE AS n, -any_value(n) - sum(
+           (2 * rank - 1) * ln(below) + (2 * (n - rank) + 1) * ln(1 - below)) / any_value(n) AS statistic FROM c),
+a AS (SELECT *, statistic * (1 + 0.75::DOUBLE / n + 2.25::DOUBLE / (n * n)) AS a FROM s)
+SELECT round(statistic, 6) + 0.0 AS statistic, n, round(CASE
+         WHEN n < 8 THEN NULL
+         WHEN a < 0.2 THEN 1 - exp(-13.436 + 101.14 * a - 223.73 * a * a)
+         WHEN a < 0.34 THEN 1 - exp(-8.318 + 42.796 * a - 59.938 * a * a)
+         WHEN a < 0.6 THEN exp(0.9177 - 4.279 * a - 1.38 * a * a)
+         WHEN a < 10 THEN exp(1.2937 - 5.709 * a + 0.0186 * a * a)
+         ELSE exp(1.2937 - 57.09 + 1.86 - 5.337 * (a - 10)) END, 10) + 0.0 AS p_value
+FROM a""")
+def anderson(spark, sf):
+    found = diagnostics.anderson_darling(table(spark, sf, "customer"), "c_acctbal", "c_custkey")
+    return found.frame(spark).select(rounded("statistic").alias("statistic"), F.col("df2").alias("n"),
+                                     rounded("p_value", 10).alias("p_value"))
+
+
 # ------------------------------------------------------------------ transformations
 
 _BX = ["quantity", "lines"]
