@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.operators.ordering import column_quantiles, moments_and_quantiles, usable
+from panelwright.runtime import stored
 
 _STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
@@ -101,6 +104,132 @@ def heatmap(df: DataFrame, xs: Mapping[str, tuple[float, float]], y: str,
             .groupBy("variable", "x_bin", "y_bin").agg(F.count("*").alias("count")))
 
 
+# No width is smaller than this power of two; an axis that holds only zeros keeps it while tasks count.
+_FINEST = -1074
+
+
+def _cells(points: np.ndarray, k: int) -> np.ndarray:
+    """The i of [i 2^k, (i + 1) 2^k); a negative value too small to be scaled is still below 0."""
+    cells = np.floor(np.ldexp(points, -k)).astype(np.int64)
+    return np.where((points < 0) & (cells == 0), -1, cells)
+
+
+def _width(low: float, high: float, bins: int) -> int:
+    """Least k for which [low, high] touches at most ``bins`` cells [i 2^k, (i + 1) 2^k).
+
+    Not finer than the last digit of the greater end. A wider range never has a smaller k, and the cells of
+    k + 1 are pairs of those of k, so counts taken at different k add up exactly.
+    """
+    end, ends = max(abs(low), abs(high)), np.array([low, high])
+    k = max(_FINEST, math.frexp(end)[1] - 53) if end else _FINEST
+    if high > low:
+        k = max(k, math.frexp((high - low) / bins)[1] - 1)
+    while np.ptp(_cells(ends, k)) >= bins:
+        k += 1
+    return k
+
+
+class _Grid:
+    """Counts of points in cells whose widths double when an axis runs out of bins."""
+
+    def __init__(self, bins: Sequence[int]):
+        self.bins = bins
+        self.low = np.full(len(bins), np.inf)
+        self.high = np.full(len(bins), -np.inf)
+        self.widths: list[int] = []
+        self.cells = np.empty((0, len(bins)), dtype=np.int64)
+        self.counts = np.empty(0, dtype=np.int64)
+
+    def add(self, points: np.ndarray) -> None:
+        points = points[np.isfinite(points).all(axis=1)]
+        if not len(points):
+            return
+        self.low = np.minimum(self.low, points.min(axis=0))
+        self.high = np.maximum(self.high, points.max(axis=0))
+        widths = [_width(float(a), float(b), n) for a, b, n in zip(self.low, self.high, self.bins)]
+        moved = [min(63, new - old) for new, old in zip(widths, self.widths or widths)]
+        new = np.column_stack([_cells(points[:, i], k) for i, k in enumerate(widths)])
+        cells = np.vstack([self.cells >> np.array(moved, dtype=np.int64), new])
+        counts = np.concatenate([self.counts, np.ones(len(new), dtype=np.int64)])
+        self.cells, place = np.unique(cells, axis=0, return_inverse=True)
+        self.counts = np.bincount(place.ravel(), weights=counts).astype(np.int64)
+        self.widths = widths
+
+
+def _own_grids(df: DataFrame, grids: Mapping[str, Sequence[str | Column]], bins: Sequence[int]) -> DataFrame:
+    """Points of several grids in cells found from the data: (variable, k, cell, count).
+
+    One read: each task counts into cells that widen as its range grows, at most the product of ``bins`` a
+    grid. Its ends give the common widths, and its cells move up to them.
+    """
+    if min(bins) < 2:
+        raise ValueError("at least two bins: a range around zero never fits into one")
+    names, depth = list(grids), len(bins)
+    wide = df.select(*[(F.col(c) if isinstance(c, str) else c).cast("double").alias(f"c{g}_{i}")
+                       for g, axes in enumerate(grids.values()) for i, c in enumerate(axes)])
+
+    def count(batches: Iterable[pa.RecordBatch]):
+        found = [_Grid(bins) for _ in names]
+        for batch in batches:
+            points = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            for g, grid in enumerate(found):
+                grid.add(points[:, g * depth:(g + 1) * depth])
+        for g, grid in enumerate(found):
+            n = len(grid.counts)
+            if n:
+                yield pa.RecordBatch.from_pydict({
+                    "grid": [g] * n, "low": [grid.low.tolist()] * n, "high": [grid.high.tolist()] * n,
+                    "k": [grid.widths] * n, "cell": grid.cells.tolist(), "count": grid.counts}, schema)
+
+    schema = pa.schema([("grid", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
+                        ("k", pa.list_(pa.int32())), ("cell", pa.list_(pa.int64())), ("count", pa.int64())])
+    counted = stored(wide.mapInArrow(
+        count, "grid int, low array<double>, high array<double>, k array<int>, cell array<bigint>, count bigint"))
+    axes = range(depth)
+    ends = counted.groupBy("grid").agg(
+        *[F.min(F.col("low")[i]).alias(f"low{i}") for i in axes],
+        *[F.max(F.col("high")[i]).alias(f"high{i}") for i in axes]).collect()
+    widths = {r["grid"]: [_width(r[f"low{i}"], r[f"high{i}"], bins[i]) for i in axes] for r in ends}
+    if not widths:
+        return df.sparkSession.createDataFrame([], "variable string, k array<int>, cell array<bigint>, count bigint")
+
+    def by_grid(values: Mapping[int, object]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("grid"))
+
+    cell = F.array(*[F.call_function(
+        "shiftright", F.col("cell")[i],
+        F.least(F.lit(63), by_grid({g: k[i] for g, k in widths.items()}) - F.col("k")[i])) for i in axes])
+    return (counted.groupBy("grid", cell.alias("cell")).agg(F.sum("count").alias("count"))
+            .select(by_grid(dict(enumerate(names))).alias("variable"),
+                    F.array(*[by_grid({g: k[i] for g, k in widths.items()}) for i in axes]).alias("k"),
+                    "cell", "count"))
+
+
+def _edge(i: int, upper: int) -> Column:
+    return (F.col("cell")[i] + upper).cast("double") * F.pow(F.lit(2.0), F.col("k")[i])
+
+
+def own_histogram(df: DataFrame, column: str | Column, bins: int = 50) -> DataFrame:
+    """Rows per bin, the bins found from the data: (bin_from, bin_to, count). Empty bins are left out.
+
+    A bin reaches from a multiple of a power of two to the next one, without its upper end; the power is the
+    least that needs at most ``bins`` (two or more). NULL, NaN and infinite values have no bin; no usable value, no row.
+    """
+    return (_own_grids(df, {"x": [column]}, [bins])
+            .select(_edge(0, 0).alias("bin_from"), _edge(0, 1).alias("bin_to"), "count"))
+
+
+def own_heatmap(df: DataFrame, xs: Sequence[str], y: str, x_bins: int = 40, y_bins: int = 400) -> DataFrame:
+    """Counts on a grid for several x columns against one y, bins found from the data in one read.
+
+    Result: (variable, x_from, x_to, y_from, y_to, count), bins as in ``own_histogram``. The y bins of a
+    variable follow from the rows where both values are usable.
+    """
+    return (_own_grids(df, {x: [x, y] for x in xs}, [x_bins, y_bins])
+            .select("variable", _edge(0, 0).alias("x_from"), _edge(0, 1).alias("x_to"),
+                    _edge(1, 0).alias("y_from"), _edge(1, 1).alias("y_to"), "count"))
+
+
 def value_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Least and greatest value of each column."""
     row = df.agg(*[f(c).cast("double").alias(f"{f.__name__}_{i}")

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import math
 import random
@@ -219,6 +220,52 @@ def test_heatmap_equals_numpy(spark):
     assert found == {(i, j): int(c) for (i, j), c in np.ndenumerate(counts) if c}
 
 
+def _own_cells(values, bins):
+    """Cells by trying every power of two."""
+    least = math.frexp(max(map(abs, values)))[1] - 53
+    k = next(k for k in range(least, 1024)
+             if math.floor(math.ldexp(max(values), -k)) - math.floor(math.ldexp(min(values), -k)) < bins)
+    counts = collections.Counter(math.floor(math.ldexp(v, -k)) for v in values)
+    return {(math.ldexp(c, k), math.ldexp(c + 1, k)): n for c, n in counts.items()}
+
+
+@pytest.mark.parametrize("bins", [2, 7, 50])
+@pytest.mark.parametrize("case", ["wide", "shifted", "tiny next to huge", "around zero", "two"])
+def test_own_histogram_equals_one_task(spark, case, bins):
+    rng = np.random.default_rng(5)
+    values = {"wide": rng.lognormal(0, 6, 2000), "shifted": 1e6 + rng.random(2000),
+              "tiny next to huge": np.append(rng.random(500) * 1e-300, [1e300, -3.0, 0.0]),
+              "around zero": rng.normal(size=2000), "two": np.array([-1.0, 1.0])}[case].tolist()
+    rows = _frame(spark, [*values, float("nan"), float("inf"), None]).repartition(7)
+    found = sm.own_histogram(rows, "v", bins).collect()
+    assert len(found) <= bins
+    assert {(r["bin_from"], r["bin_to"]): r["count"] for r in found} == _own_cells(values, bins)
+
+
+def test_own_histogram_of_one_value_and_of_none(spark):
+    for value in (0.0, 3.0, -1e200):
+        (row,) = sm.own_histogram(_frame(spark, [value] * 5).repartition(3), "v").collect()
+        assert row["count"] == 5 and row["bin_from"] == value
+    assert sm.own_histogram(_frame(spark, [None, float("nan")]), "v").collect() == []
+    assert sm.own_histogram(spark.createDataFrame([], "v double"), "v").columns == ["bin_from", "bin_to", "count"]
+    with pytest.raises(ValueError, match="two bins"):
+        sm.own_histogram(_frame(spark, [1.0]), "v", 1)
+
+
+def test_own_heatmap_has_its_bins_from_whole_points(spark):
+    rng = np.random.default_rng(6)
+    points = [(float(a), float(b)) for a, b in zip(rng.random(400), rng.normal(size=400))]
+    rows = spark.createDataFrame([*points, (1e9, None), (None, 1e9)], "x double, y double").repartition(5)
+    found = sm.own_heatmap(rows, ["x"], "y", 8, 16).collect()
+    assert sum(r["count"] for r in found) == 400
+    for low, high, values, bins in (("x_from", "x_to", [p[0] for p in points], 8),
+                                    ("y_from", "y_to", [p[1] for p in points], 16)):
+        sums = collections.Counter()
+        for r in found:
+            sums[r[low], r[high]] += r["count"]
+        assert sums == _own_cells(values, bins)
+
+
 def test_density_follows_the_direct_sum(spark):
     rng = np.random.default_rng(4)
     values = rng.normal(size=800)

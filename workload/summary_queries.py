@@ -117,6 +117,38 @@ def hist2d(spark, sf):
     return sm.heatmap(table(spark, sf, "lineitem"), _HEAT, "l_extendedprice", (1000.0, 100000.0))
 
 
+def _power_sql(column: str, bins: int, source: str) -> str:
+    """Exponent of the least power of two whose multiples cut a column's range into few enough bins."""
+    return (f"(SELECT min(k) FROM range(-60, 60) t(k), (SELECT min({column}) AS low, max({column}) AS high FROM {source}) "
+            f"WHERE floor(high / pow(2::DOUBLE, k)) - floor(low / pow(2::DOUBLE, k)) < {bins})")
+
+
+def _edges_sql(axis: str, cell: str, k: str) -> str:
+    return f"{cell} * pow(2::DOUBLE, {k}) AS {axis}_from, ({cell} + 1) * pow(2::DOUBLE, {k}) AS {axis}_to"
+
+
+@query("E8 J5", f"""
+WITH w AS (SELECT {_power_sql('c_acctbal', 50, 'customer')} AS k),
+c AS (SELECT floor(c_acctbal / pow(2::DOUBLE, k)) AS cell, k, count(*) AS count FROM customer, w GROUP BY 1, 2)
+SELECT {_edges_sql('bin', 'cell', 'k')}, count FROM c""")
+def hist1d_own(spark, sf):
+    return sm.own_histogram(table(spark, sf, "customer"), "c_acctbal", 50)
+
+
+def _own_heat_sql(x: str) -> str:
+    return f"""
+SELECT '{x}' AS variable, {_edges_sql('x', 'cx', 'kx')}, {_edges_sql('y', 'cy', 'ky')}, count FROM (
+  SELECT floor({x} / pow(2::DOUBLE, kx)) AS cx, floor(l_extendedprice / pow(2::DOUBLE, ky)) AS cy, kx, ky,
+         count(*) AS count
+  FROM lineitem, (SELECT {_power_sql(x, 40, 'lineitem')} AS kx, {_power_sql('l_extendedprice', 400, 'lineitem')} AS ky)
+  GROUP BY 1, 2, 3, 4)"""
+
+
+@query("E9 J5", " UNION ALL ".join(_own_heat_sql(x) for x in _HEAT))
+def hist2d_own(spark, sf):
+    return sm.own_heatmap(table(spark, sf, "lineitem"), list(_HEAT), "l_extendedprice")
+
+
 @query("E10", """
 WITH f AS (SELECT count(*) AS n, stddev_samp(c_acctbal) AS sd, min(c_acctbal) AS low, max(c_acctbal) AS high,
                   quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) AS iqr FROM customer),
