@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from panelwright.sources.geojson import collection_features
+
 
 # How this library writes text so that every value comes back: NULL apart from empty text, quotes
 # doubled, and line breaks and backslashes escaped, so that files can still be split at lines.
@@ -55,16 +57,15 @@ def read_geojson(spark: SparkSession, path: str, properties: str,
                  one_feature_per_line: bool = False) -> DataFrame:
     """Features as rows (id, properties, geometry).
 
-    A feature collection is one JSON document and is read by one task; a file with one
-    feature per line is split like any text.
+    A file with one feature per line is split like any text. Otherwise each file is a feature
+    collection, and large ones are read by several tasks as well (``sources.geojson``).
     """
     feature = feature_schema(properties)
     if one_feature_per_line:
         features = spark.read.schema(feature).json(path)
     else:
-        collection = T.StructType().add("type", "string").add("features", T.ArrayType(feature))
-        features = (spark.read.schema(collection).option("multiLine", True).json(path)
-                    .select(F.explode("features").alias("f")).select("f.*"))
+        features = collection_features(spark, path).select(
+            F.from_json("feature", feature).alias("f")).select("f.*")
     return features.select("id", "properties", "geometry")
 
 

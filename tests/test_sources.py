@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators.feeds import clamped, map_rows, scatter_rows, with_shapes
 from panelwright.runtime import scratch_path
-from panelwright.sources import files, tables
+from panelwright.sources import files, geojson, tables
 
 
 def _rows(spark, n=3):
@@ -108,3 +108,53 @@ def test_scatter_rows_and_clamp(spark):
     found = scatter_rows(rows, "x", ["p", "q"], "s").collect()
     assert sorted(map(tuple, found)) == [(1.0, 9.0, "p", 2.0), (1.0, 9.0, "q", 3.0)]
     assert tuple(rows.select(clamped("x", 2, 5), clamped("s", 2, 5)).first()) == (2.0, 5.0)
+
+
+def _awkward_collection():
+    names = ['plain', '}{', '"', '\\', '\\"}', '"features":[{', 'é}ü', '', '\n}', '}"}', '\\\\{"', '[{}]']
+    features = [
+        {"type": "Feature", "id": str(i), "properties": {"NAME": name + names[-1 - i % len(names)], "AT": {"n": i}},
+         "geometry": {"type": "Point", "coordinates": [[i, j] for j in range(i % 7)]}}
+        for i, name in enumerate(names * 3)]
+    return {"type": "FeatureCollection", "name": 'a}b "features": [{', "bbox": [1, 2], "crs": {"id": "none", "in": {}},
+            "other": [{"id": "no"}, {"id": "no}"}], "features": features, "note": {"id": "}"}, "more": ["}", {}]}
+
+
+@pytest.mark.parametrize("split, indent", [(31, None), (53, 2), (400, None), (100_000, 2)])
+def test_geojson_document_is_split_anywhere(spark, tmp_path, split, indent):
+    document = _awkward_collection()
+    for part, ending in (("a", ""), ("b", "\n")):
+        (tmp_path / f"{part}.json").write_text(
+            json.dumps(document, indent=indent, ensure_ascii=part == "a") + ending, encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        raw = spark.read.text(str(tmp_path), lineSep="}")
+        assert (raw.rdd.getNumPartitions() > 5) == (split < 1000)
+        found = files.read_geojson(spark, str(tmp_path), "NAME string, AT struct<n: int>").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = sorted((r["id"], r["properties"]["NAME"], r["properties"]["AT"]["n"], r["geometry"]["type"],
+                  json.dumps(json.loads(r["geometry"]["coordinates"]))) for r in found)
+    want = sorted((f["id"], f["properties"]["NAME"], f["properties"]["AT"]["n"], "Point",
+                   json.dumps(f["geometry"]["coordinates"])) for f in document["features"] * 2)
+    assert got == want
+
+
+@pytest.mark.parametrize("text, rows", [
+    ('{"type": "FeatureCollection", "features": []}', 0), ('{}', 0), ("", 0), ('{"features": null}', 0),
+    ('{"features": [{}, null, 3, {"id": "x"}]}\n\n', 2), ('{"type": "Feature", "id": "1", "properties": {"a": {}}}', 0)])
+def test_geojson_documents_with_little_in_them(spark, tmp_path, text, rows):
+    (tmp_path / "one.json").write_text(text)
+    assert files.read_geojson(spark, str(tmp_path / "one.json"), "NAME string").count() == rows
+
+
+def test_collections_are_written_in_several_documents(spark, tmp_path):
+    rows = spark.range(50).select("id", F.when(F.col("id") != 7, F.format_string(
+        '{"type": "Feature", "id": "%d", "properties": {"NAME": "}"}}', "id")).alias("feature"))
+    place = geojson.write_collections(rows, str(tmp_path / "out"), "id", "feature", features_per_file=10)
+    written = [json.loads(p.read_text()) for p in (tmp_path / "out").rglob("*.txt")]
+    assert len(written) > 2 and sum(len(d["features"]) for d in written) == 49
+    found = files.read_geojson(spark, place, "NAME string")
+    assert sorted(int(r["id"]) for r in found.collect()) == [i for i in range(50) if i != 7]
+    geojson.write_collections(rows.limit(0), str(tmp_path / "none"), "id", "feature")
+    assert not any(p.read_text() for p in (tmp_path / "none").rglob("*.txt"))

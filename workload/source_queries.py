@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators.feeds import map_rows, with_shapes
 from panelwright.runtime import scratch_path
-from panelwright.sources import files, tables
+from panelwright.sources import files, geojson, tables
 from workload import standins as st
 from workload.registry import query, round_all, table
 
@@ -127,27 +127,47 @@ def csv_text_key(spark, sf):
                              {"c_acctbal": "double"}, exact=True)
 
 
-def _features(spark, sf, label: str) -> str:
-    """Customers as GeoJSON, one feature per line; the place is made of key and nation."""
+def _feature_columns(spark, sf):
+    """Customers as GeoJSON features; the place is made of key and nation."""
     point = F.array(F.col("c_nationkey").cast("double"), (F.col("c_custkey") % 180).cast("double"))
-    features = table(spark, sf, "customer").select(
+    return table(spark, sf, "customer").select(
         F.lit("Feature").alias("type"), st.county_key("c_custkey").alias("id"),
         F.struct(F.col("c_name").alias("NAME"), F.col("c_nationkey").alias("STATE")).alias("properties"),
         F.struct(F.lit("Point").alias("type"), point.alias("coordinates")).alias("geometry"))
+
+
+def _features(spark, sf, label: str) -> str:
+    """One feature per line."""
     path = scratch_path(spark, label)
-    features.write.json(path)
+    _feature_columns(spark, sf).write.json(path)
     return path
 
 
-@query("A11", f"""
+_FEATURES_SQL = f"""
 SELECT {st._key_sql('c_custkey')} AS id, c_name AS name, c_nationkey AS state, 'Point' AS shape,
        '[' || CAST(c_nationkey AS DOUBLE) || ',' || CAST(c_custkey % 180 AS DOUBLE) || ']' AS coordinates
-FROM customer""")
+FROM customer"""
+
+
+def _flat(found):
+    return found.select("id", F.col("properties.NAME").alias("name"), F.col("properties.STATE").alias("state"),
+                        F.col("geometry.type").alias("shape"), F.col("geometry.coordinates").alias("coordinates"))
+
+
+@query("A11", _FEATURES_SQL)
 def geojson_features(spark, sf):
     found = files.read_geojson(spark, _features(spark, sf, "shapes"), "NAME string, STATE int",
                                one_feature_per_line=True)
-    return found.select("id", F.col("properties.NAME").alias("name"), F.col("properties.STATE").alias("state"),
-                        F.col("geometry.type").alias("shape"), F.col("geometry.coordinates").alias("coordinates"))
+    return _flat(found)
+
+
+@query("A11", _FEATURES_SQL)
+def geojson_collection(spark, sf):
+    """Feature collections, each one JSON document that several tasks read."""
+    features = _feature_columns(spark, sf)
+    texts = features.select("id", F.to_json(F.struct(*features.columns)).alias("feature"))
+    path = geojson.write_collections(texts, scratch_path(spark, "collections"), "id", "feature")
+    return _flat(files.read_geojson(spark, path, "NAME string, STATE int"))
 
 
 @query("A11 D9 J2", f"""
