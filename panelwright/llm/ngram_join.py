@@ -44,7 +44,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelwright.llm.common import (
     bitmap, bits_at, bits_for, hash_place, hashed_words, mix, small_batches, stored, windows,
@@ -357,9 +357,13 @@ def _similar(pairs: DataFrame, corpus: _Corpus, percent: int, sizes: DataFrame |
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """Keys that several records have: (key, rec, ..., sets), ``sets`` being their number."""
-    count = F.count("*").over(Window.partitionBy("key"))
-    return rows.withColumn("sets", count).filter("sets > 1")
+    """Keys that several records have: (key, rec, ..., sets), ``sets`` being their number.
+
+    ``rows`` are stored ones. They are counted before they are dealt by key, and the join of the
+    counts can be split where one key has many of them.
+    """
+    counts = stored(rows.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1"), "key-counts")
+    return rows.join(counts, "key")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -407,7 +411,8 @@ def similar_records(corpus: _Corpus, percent: int = 80, group_limit: int = 8) ->
     """Rows (rec, root): the components of the records that have links."""
     if percent < 80:
         raise ValueError("the bands hold for a similarity of 80 percent or more")
-    index = stored(_members(_index_rows(corpus.one_text_each(), corpus.n)), "shared-keys")
+    rows = stored(_index_rows(corpus.one_text_each(), corpus.n), "all-keys")
+    index = stored(_members(rows), "shared-keys")
     sets = corpus.sets_of(_poor(index, corpus, group_limit))
     rows = stored(_element_rows(sets, _crowded_elements(sets, group_limit), percent), "elements")
     none = [F.lit(0).cast("long").alias(c) for c in ("need", "common")]
