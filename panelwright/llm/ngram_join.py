@@ -44,7 +44,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.llm.common import (
     bitmap, bits_at, bits_for, hash_place, hashed_words, mix, small_batches, stored, windows,
@@ -55,6 +55,7 @@ _SMALL = 40          # largest set of the small bands
 _CELLS = 128         # cells of the count vectors
 _LEADERS = 256       # sets of a large group compared with all others in a round, at most
 _FIRST_LEADERS = 8   # and in the first round
+_BUCKETS = 1 << 16   # of keys, to find the heavy ones
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -359,11 +360,20 @@ def _similar(pairs: DataFrame, corpus: _Corpus, percent: int, sizes: DataFrame |
 def _members(rows: DataFrame) -> DataFrame:
     """Keys that several records have: (key, rec, ..., sets), ``sets`` being their number.
 
-    ``rows`` are stored ones. They are counted before they are dealt by key, and the join of the
-    counts can be split where one key has many of them.
+    ``rows`` are stored ones. Few keys have so many rows that one task had better not take them: they
+    stand out in the row counts of hashed buckets of keys, of which there is a fixed number. Keys of such
+    buckets are counted before they are dealt, and the join of their counts can be split; all others
+    are dealt by key once.
     """
-    counts = stored(rows.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1"), "key-counts")
-    return rows.join(counts, "key")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(_BUCKETS)))
+    sizes = stored(dealt.groupBy("bucket").count(), "bucket-sizes")
+    mean = sizes.agg(F.avg("count")).head()[0] or 0.0
+    heavy = F.broadcast(sizes.filter(F.col("count") > 4 * mean).select("bucket"))
+    hot = stored(dealt.join(heavy, "bucket", "left_semi").drop("bucket"), "hot-keys")
+    counts = stored(hot.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1"), "key-counts")
+    rest = dealt.join(heavy, "bucket", "left_anti").drop("bucket").withColumn(
+        "sets", F.count("*").over(Window.partitionBy("key"))).filter("sets > 1")
+    return rest.unionByName(hot.join(counts, "key"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import brute
 import pytest
 
 from panelwright.llm import ngram_join as nj
+from panelwright.llm.common import stored
 
 SCHEMA = "doc_id long, text string"
 
@@ -89,3 +90,13 @@ def test_sets_that_agree_in_empty_segments_only(spark, monkeypatch):
         "doc_id", "n_shingles", "rec", "key2", "cells",
         "transform(large, x -> named_struct('slot', x.slot, 'empty', 1000, 'slack', x.slack)) as large"))
     assert found(spark, rows) == brute.classes(rows)
+
+
+def test_members_of_a_heavy_key_and_of_others(spark):
+    rows = stored(spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 ELSE id div 4 + 100 END AS key", "id AS rec", "1 AS slot"), "test-rows")
+    count = Counter(r["key"] for r in rows.collect())
+    found = nj._members(rows).collect()
+    assert sorted((r["key"], r["rec"], r["slot"], r["sets"]) for r in found) == sorted(
+        (r["key"], r["rec"], 1, count[r["key"]]) for r in rows.collect() if count[r["key"]] > 1)
+    assert nj._members(rows.limit(0)).count() == 0
