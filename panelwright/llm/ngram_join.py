@@ -368,10 +368,11 @@ def _members(rows: DataFrame) -> DataFrame:
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(_BUCKETS)))
     sizes = stored(dealt.groupBy("bucket").count(), "bucket-sizes")
     mean = sizes.agg(F.avg("count")).head()[0] or 0.0
-    heavy = F.broadcast(sizes.filter(F.col("count") > 4 * mean).select("bucket"))
-    hot = stored(dealt.join(heavy, "bucket", "left_semi").drop("bucket"), "hot-keys")
+    # Less than a quarter of the buckets can have more than four times the mean.
+    heavy = F.col("bucket").isin([r["bucket"] for r in sizes.filter(F.col("count") > 4 * mean).collect()])
+    hot = stored(dealt.filter(heavy).drop("bucket"), "hot-keys")
     counts = stored(hot.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1"), "key-counts")
-    rest = dealt.join(heavy, "bucket", "left_anti").drop("bucket").withColumn(
+    rest = dealt.filter(~heavy).drop("bucket").withColumn(
         "sets", F.count("*").over(Window.partitionBy("key"))).filter("sets > 1")
     return rest.unionByName(hot.join(counts, "key"))
 
