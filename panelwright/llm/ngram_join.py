@@ -47,15 +47,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.llm.common import (
-    bitmap, bits_at, bits_for, hash_place, hashed_words, mix, small_batches, stored, windows,
+    bitmap, bits_at, bits_for, hash_place, hashed_words, in_few, mix, small_batches, stored, windows,
 )
 from panelwright.llm.components import components
 
 _SMALL = 40          # largest set of the small bands
 _CELLS = 128         # cells of the count vectors
-_LEADERS = 256       # sets of a large group compared with all others in a round, at most
+_LEADERS = 256       # sets of a large group compared with all others in a round
 _FIRST_LEADERS = 8   # and in the first round
+_ROUND_PAIRS = 1 << 25  # more take part in a round as long as it cannot make more pairs than these
 _BUCKETS = 1 << 16   # of keys, to find the heavy ones
+_RECORDS, _SETS = 5_000, 1_000  # of which a task takes that many at least
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -277,16 +279,17 @@ class _Corpus:
             F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text"))
         self.rows = stored(_described(docs, n, text), "sets")
         real = self.rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-        self.records = stored(real.groupBy("rec", "key2").agg(
+        self.n_rows = self.rows.count()
+        self.records = stored(in_few(real.groupBy("rec", "key2").agg(
             F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in (
-                "n_shingles", "cells", "large")]), "records")
+                "n_shingles", "cells", "large")]), self.n_rows, _RECORDS), "records")
 
     def one_text_each(self) -> DataFrame:
         """(doc_id, text) of one row of each record, and maybe of some more."""
         chosen = self.records.select(F.col("doc").alias("doc_id")).distinct()
         others = self.rows.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().join(
             chosen, "doc_id", "left_anti")
-        others = stored(others, "copies")
+        others = stored(in_few(others, 2 * self.n_rows), "copies")
         return self.docs.join(others, "doc_id", "left_anti")
 
     def sets_of(self, recs: DataFrame) -> DataFrame:
@@ -297,7 +300,8 @@ class _Corpus:
         """
         n = self.n
         ids = stored(recs.join(self.records.select("rec", "doc"), "rec").select("doc"), "wanted-ids")
-        size = bits_for(ids.count())
+        wanted = ids.count()
+        size = bits_for(wanted)
         shared = self.docs.sparkSession.sparkContext.broadcast(
             bitmap(ids, hash_place("doc", size), size).tobytes())
 
@@ -314,7 +318,8 @@ class _Corpus:
                         pa.array([f[1] for f in found], pa.binary())], ["rec", "elements"])
         sets = self.docs.select("text", hash_place("doc_id", size)).mapInArrow(
             read, "rec long, elements binary")
-        return stored(sets.join(recs, "rec", "left_semi").dropDuplicates(["rec"]), "elements")
+        sets = sets.join(recs, "rec", "left_semi").dropDuplicates(["rec"])
+        return stored(in_few(sets, wanted, _SETS), "elements")
 
 
 def _similar(pairs: DataFrame, corpus: _Corpus, percent: int, sizes: DataFrame | None = None,
@@ -343,18 +348,21 @@ def _similar(pairs: DataFrame, corpus: _Corpus, percent: int, sizes: DataFrame |
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     sizes = (corpus.records if sizes is None else sizes).select("rec", "n_shingles", "cells")
+    rows = pairs.count() + sizes.count()
     close = pairs
     for side in "ab":
         close = close.join(sizes.select(F.col("rec").alias(side), F.col("n_shingles").alias(f"n{side}"),
                                         F.col("cells").alias(f"c{side}")), side)
     close = close.select("a", "b", "na", "ca", "nb", "cb").mapInArrow(near, "a long, b long")
-    close = stored(close, "close")
+    close = stored(in_few(close, rows, _RECORDS), "close")
+    n_close = close.count()
     if sets is None:
         recs = close.select(F.col("a").alias("rec")).union(close.select("b")).distinct()
-        sets = corpus.sets_of(stored(recs, "wanted"))
+        sets = corpus.sets_of(stored(in_few(recs, 2 * n_close), "wanted"))
+    rows = n_close + sets.count()
     for side in "ab":
         close = close.join(sets.select(F.col("rec").alias(side), F.col("elements").alias(f"s{side}")), side)
-    return close.select("a", "b", "sa", "sb").mapInArrow(equal, "a long, b long")
+    return in_few(close.select("a", "b", "sa", "sb").mapInArrow(equal, "a long, b long"), rows, _SETS)
 
 
 def _members(rows: DataFrame) -> DataFrame:
@@ -384,28 +392,33 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _with_leader(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of everything under a key with one leader, the set with the least need."""
-    first = stored(members.groupBy("key").agg(
-        F.min(F.struct("need", "rec", "common")).alias("first")), "leaders")
+    rows = members.count()
+    first = stored(in_few(members.groupBy("key").agg(
+        F.min(F.struct("need", "rec", "common")).alias("first")), rows), "leaders")
     both = members.join(first, "key").filter(
         F.col("need") + F.col("first.need") + F.abs(F.col("common") - F.col("first.common")) <= 0)
-    return _ordered(both.select(F.col("first.rec").alias("x"), F.col("rec").alias("y")))
+    return in_few(_ordered(both.select(F.col("first.rec").alias("x"), F.col("rec").alias("y"))), rows)
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members under keys that still span several components, with their ``root``."""
+    rows = members.count()
     left = members.join(roots, "rec", "left").withColumn("root", F.coalesce("root", "rec"))
-    spans = stored(left.groupBy("key").agg(
+    spans = stored(in_few(left.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.min("need").alias("least"))
-        .filter("low != high AND least <= 0").select("key"), "open-keys")
-    return stored(left.join(spans, "key", "left_semi"), "open-members")
+        .filter("low != high AND least <= 0").select("key"), rows), "open-keys")
+    return stored(in_few(left.join(spans, "key", "left_semi"), 2 * rows), "open-members")
 
 
 def _across(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs of different components under a key that may be similar, one side in ``x`` and one in ``y``."""
+    """Pairs of different components under a key that may be similar, one side in ``x`` and one in ``y``,
+    all of whom have the same turn as ``x`` or a later one. Of one turn a pair is made once."""
     x, y = (side.select("key", F.col("rec").alias(name), F.col("root").alias(f"r{name}"),
-                        F.col("need").alias(f"n{name}"), F.col("common").alias(f"c{name}"))
+                        F.col("need").alias(f"n{name}"), F.col("common").alias(f"c{name}"),
+                        F.col("turn").alias(f"t{name}"))
             for side, name in ((x, "x"), (y, "y")))
-    return _ordered(x.join(y, "key").filter("rx != ry AND nx + ny + abs(cx - cy) <= 0").select("x", "y"))
+    return _ordered(x.join(y, "key").filter(
+        "rx != ry AND nx + ny + abs(cx - cy) <= 0 AND (tx < ty OR x < y)").select("x", "y"))
 
 
 def _poor(index: DataFrame, corpus: _Corpus, group_limit: int) -> DataFrame:
@@ -415,7 +428,8 @@ def _poor(index: DataFrame, corpus: _Corpus, group_limit: int) -> DataFrame:
     shapes = corpus.records.select("rec", F.explode("large").alias("b")).select("rec", "b.*")
     large = shapes.join(hot, ["rec", "slot"], "left").filter(
         F.col("empty") + F.coalesce("hot", F.lit(0)) > F.col("slack")).select("rec")
-    return stored(large.union(crowded.filter("slot = 2").select("rec")).distinct(), "poor")
+    poor = large.union(crowded.filter("slot = 2").select("rec")).distinct()
+    return stored(in_few(poor, index.count()), "poor")
 
 
 def similar_records(corpus: _Corpus, percent: int = 80, group_limit: int = 8) -> DataFrame:
@@ -432,33 +446,37 @@ def similar_records(corpus: _Corpus, percent: int = 80, group_limit: int = 8) ->
     members = stored(plain, "members")
     seen = stored(_with_leader(members), "pairs")
     links = stored(_similar(seen, corpus, percent), "links")
-    left = _open(members, components(links))
+    roots = components(links)
+    left = _open(members, roots).withColumn("turn", F.lit(0))
     pairs = _across(left, left).join(seen, ["a", "b"], "left_anti")
-    links = links.unionByName(stored(_similar(stored(pairs, "pairs"), corpus, percent), "links"))
-    return _crowded_groups(rows.filter("NOT rare"), sets, links, corpus, percent)
+    links = stored(_similar(stored(pairs, "pairs"), corpus, percent), "links")
+    return _crowded_groups(rows.filter("NOT rare"), sets, links, roots, corpus, percent)
 
 
-def _crowded_groups(members: DataFrame, sets: DataFrame, links: DataFrame, corpus: _Corpus,
-                    percent: int) -> DataFrame:
+def _crowded_groups(members: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame,
+                    corpus: _Corpus, percent: int) -> DataFrame:
     """The components (rec, root) after the ``members`` of crowded elements had their turns.
 
     Of a similar pair here at least one set has a need of 0 or less. These are compared with a leader
     first and then, where a key still spans several components, take turns: in its turn a set is compared
     with those of greater need and with those whose turn has not passed. The members' sets are at hand.
+    ``links`` are not yet part of the components ``roots``.
     """
-    sizes = stored(corpus.records.join(members.select("rec").distinct(), "rec", "left_semi"), "crowd-records")
+    sizes = corpus.records.join(members.select("rec").distinct(), "rec", "left_semi")
+    sizes = stored(in_few(sizes, corpus.n_rows, _RECORDS), "crowd-records")
     found = stored(_similar(stored(_with_leader(members), "pairs"), corpus, percent, sizes, sets), "links")
-    links = links.unionByName(found)
-    roots = components(links)
+    roots = components(links.unionByName(found), roots)
     crowd = _open(members, roots)
-    most = crowd.filter("need <= 0").groupBy("key").count().agg(F.max("count")).head()[0]
+    most, size = crowd.groupBy("key").agg(F.count_if(F.col("need") <= 0).alias("turns"), F.count("*").alias(
+        "sets")).agg(F.max("turns"), F.sum("sets")).head()
     if not most:
         return roots
-    # Few have their turn at first, since whoever they link is not compared again: 8, 32, 128, then 256 a key.
+    # Few have their turn at first, since whoever they link is not compared again: 8 a key, 128, and then
+    # 256 or as many as keep the pairs of a round bounded, since a round of few pairs costs little more than none.
     shares, step = [], _FIRST_LEADERS
     while sum(shares) < most:
         shares.append(step)
-        step = min(4 * step, _LEADERS)
+        step = min(16 * step, max(_LEADERS, _ROUND_PAIRS // size))
     rounds = len(shares)
     drawn = F.pmod(F.xxhash64("rec"), F.lit(sum(shares)))
     turn = F.lit(rounds)
@@ -470,8 +488,7 @@ def _crowded_groups(members: DataFrame, sets: DataFrame, links: DataFrame, corpu
         pairs = stored(_across(crowd.filter(F.col("turn") == done), crowd), "pairs")
         found = stored(_similar(pairs, corpus, percent, sizes, sets), "links")
         if found.head(1):
-            links = links.unionByName(found)
-            roots = components(links)
+            roots = components(found, roots)
         if done + 1 < rounds:
             crowd = _open(crowd.filter(F.col("turn") > done).drop("root"), roots)
             if not crowd.head(1):

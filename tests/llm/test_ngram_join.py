@@ -1,5 +1,6 @@
 """Common passages, crowded keys and near copies, against plain sets."""
 
+import itertools
 import random
 from collections import Counter
 
@@ -7,7 +8,8 @@ import brute
 import pytest
 
 from panelwright.llm import ngram_join as nj
-from panelwright.llm.common import stored
+from panelwright.llm.common import in_few, stored
+from panelwright.llm.components import components
 
 SCHEMA = "doc_id long, text string"
 
@@ -100,3 +102,48 @@ def test_members_of_a_heavy_key_and_of_others(spark):
     assert sorted((r["key"], r["rec"], r["slot"], r["sets"]) for r in found) == sorted(
         (r["key"], r["rec"], 1, count[r["key"]]) for r in rows.collect() if count[r["key"]] > 1)
     assert nj._members(rows.limit(0)).count() == 0
+
+
+def mixes(draw, n):
+    """Texts of five out of ten common passages each, of which no two are alike."""
+    parts = [words(draw, 40) for _ in range(10)]
+    chosen = draw.sample(list(itertools.combinations(range(10), 5)), n)
+    return [" ".join(w for k in c for w in parts[k]) for c in chosen]
+
+
+def test_crowded_groups_take_few_rounds(spark, monkeypatch):
+    draw = random.Random(17)
+    rows = mixes(draw, 90)
+    rows += [edited(draw, rows[k], 2) for k in range(0, 90, 9)]
+    rows = list(enumerate(rows))
+    turns = []
+    across = nj._across
+    monkeypatch.setattr(nj, "_FIRST_LEADERS", 2)
+    monkeypatch.setattr(nj, "_LEADERS", 4)
+    monkeypatch.setattr(nj, "_across", lambda x, y: turns.append(1) or across(x, y))
+    assert found(spark, rows) == brute.classes(rows)
+    assert len(turns) <= 4
+    monkeypatch.setattr(nj, "_ROUND_PAIRS", 1)
+    monkeypatch.setattr(nj, "_LEADERS", 30)
+    assert found(spark, rows) == brute.classes(rows)
+
+
+def test_links_are_added_to_known_components(spark):
+    draw = random.Random(23)
+    links = [(draw.randrange(120), draw.randrange(120)) for _ in range(90)]
+    old = spark.createDataFrame(links[:50], "a long, b long")
+    new = spark.createDataFrame(links[50:], "a long, b long")
+    want = {r.rec: r.root for r in components(old.unionByName(new)).collect()}
+    known = components(old)
+    got = components(new, known).collect()
+    assert len(got) == len({r.rec for r in got})
+    assert {r.rec: r.root for r in got} == want
+    assert sorted(components(old.limit(0), known).collect()) == sorted(known.collect())
+
+
+def test_small_tables_are_written_in_few_files(spark):
+    spread = spark.range(1000).repartition(16)
+    assert in_few(spread, 1000).rdd.getNumPartitions() == 1
+    assert in_few(spread, 1000, 100).rdd.getNumPartitions() == 10
+    assert in_few(spread, 10 ** 9).rdd.getNumPartitions() == 16
+    assert sorted(r.id for r in in_few(spread, 1000, 300).collect()) == list(range(1000))
