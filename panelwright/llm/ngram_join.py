@@ -16,8 +16,9 @@ What is indexed is allocated by its cost, the number of sets under the same key:
   elements, the finest partition of the universe there is. With r elements, of which a similar set
   lacks a fifth at most, the first r / 5 + 1 of them are indexed, rare elements before crowded ones: the first
   element that two similar sets have in common is among those of both.
-- Under crowded elements only pairs are left that have no rare element in common, so their rare
-  elements all count as differences, and so does what their crowded elements differ in number. Sets of
+- Under crowded elements only pairs are left that have no rare element in common. A pair is made under the
+  first crowded element in common, so that all elements before it count as differences, and so does what
+  is left in number; where both have the same element before, it was made under that one. Sets of
   the kind "a common passage and much of their own" are never compared there, because their own
   elements alone are too many, nor are near copies that differ too much from their origin.
 
@@ -242,12 +243,13 @@ def _crowded_elements(sets: DataFrame, group_limit: int) -> np.ndarray:
 
 
 def _element_rows(sets: DataFrame, crowded: np.ndarray, percent: int) -> DataFrame:
-    """Rows (key, rec, rare, need, common) for ``sets`` (rec, elements): the elements indexed for each.
+    """Rows (key, rec, rare, need, common, prev) for ``sets`` (rec, elements): the elements indexed for each.
 
-    ``common`` is the number of a set's crowded elements, and ``need`` that of its rare ones less its
-    share of the differences that a similar pair may have, both scaled by 100 + percent: two sets without a common rare
-    element can only be similar if their needs and what their crowded elements differ in number add up
-    to 0 or less. Sets with more rare elements than they may lack have rows of rare elements only.
+    ``common`` is the number of a set's elements from this one on, and ``need`` that of those before it less its
+    share of the differences that a similar pair may have, both scaled by 100 + percent: two sets whose first
+    common element this is can only be similar if their needs and what their rests differ in number add up
+    to 0 or less. ``prev`` is the crowded element before this one. Sets with more rare elements than they may
+    lack have rows of rare elements only.
     """
     shared = sets.sparkSession.sparkContext.broadcast(crowded.tobytes())
 
@@ -260,14 +262,15 @@ def _element_rows(sets: DataFrame, crowded: np.ndarray, percent: int) -> DataFra
                 common = bits_at(bits, (s & last).astype(np.int64))
                 order = np.concatenate([s[~common], s[common]])[:len(s) * (100 - percent) // 100 + 1]
                 rare = len(s) - int(np.count_nonzero(common))
-                need = (100 + percent) * rare - (100 - percent) * len(s)
+                place = np.arange(len(order))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(order.view(np.int64)), pa.array(np.full(len(order), rec, np.int64)),
-                     pa.array(np.arange(len(order)) < rare), pa.array(np.full(len(order), need, np.int64)),
-                     pa.array(np.full(len(order), (100 + percent) * (len(s) - rare), np.int64))],
-                    ["key", "rec", "rare", "need", "common"])
+                     pa.array(place < rare), pa.array((100 + percent) * place - (100 - percent) * len(s)),
+                     pa.array((100 + percent) * (len(s) - place)),
+                     pa.array(np.roll(order, 1).view(np.int64), mask=place <= rare)],
+                    ["key", "rec", "rare", "need", "common", "prev"])
     return sets.select("rec", "elements").mapInArrow(
-        read, "key long, rec long, rare boolean, need long, common long")
+        read, "key long, rec long, rare boolean, need long, common long, prev long")
 
 
 class _Corpus:
@@ -415,10 +418,11 @@ def _across(x: DataFrame, y: DataFrame) -> DataFrame:
     all of whom have the same turn as ``x`` or a later one. Of one turn a pair is made once."""
     x, y = (side.select("key", F.col("rec").alias(name), F.col("root").alias(f"r{name}"),
                         F.col("need").alias(f"n{name}"), F.col("common").alias(f"c{name}"),
-                        F.col("turn").alias(f"t{name}"))
+                        F.col("turn").alias(f"t{name}"), F.col("prev").alias(f"p{name}"))
             for side, name in ((x, "x"), (y, "y")))
     return _ordered(x.join(y, "key").filter(
-        "rx != ry AND nx + ny + abs(cx - cy) <= 0 AND (tx < ty OR x < y)").select("x", "y"))
+        "rx != ry AND nx + ny + abs(cx - cy) <= 0 AND (tx < ty OR x < y) AND NOT coalesce(px = py, false)")
+        .select("x", "y"))
 
 
 def _poor(index: DataFrame, corpus: _Corpus, group_limit: int) -> DataFrame:
@@ -440,7 +444,7 @@ def similar_records(corpus: _Corpus, percent: int = 80, group_limit: int = 8) ->
     index = stored(_members(rows), "shared-keys")
     sets = corpus.sets_of(_poor(index, corpus, group_limit))
     rows = stored(_element_rows(sets, _crowded_elements(sets, group_limit), percent), "elements")
-    none = [F.lit(0).cast("long").alias(c) for c in ("need", "common")]
+    none = [F.lit(v).cast("long").alias(c) for c, v in (("need", 0), ("common", 0), ("prev", None))]
     plain = index.filter(F.col("sets") <= group_limit).select("key", "rec", *none).unionByName(
         _members(rows.filter("rare")).select("key", "rec", *none))
     members = stored(plain, "members")
