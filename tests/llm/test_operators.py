@@ -354,6 +354,33 @@ def test_gradient_matches_differences(vocabulary):
         assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(float(g[name][at]), rel=1e-2, abs=1e-6)
 
 
+def test_a_step_takes_each_exponential_once(monkeypatch):
+    draw = np.random.default_rng(10)
+    shape, taken = (6, attention.SPAN), []
+    plain = np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: (taken.append(np.size(x)), plain(x, *a, **k))[1])
+    attention.gradient(attention.fresh_parameters(3), draw.integers(0, 3000, shape),
+                       draw.integers(0, attention.CLASSES, shape), np.ones(shape, bool), np.arange(6) % 3 == 0)
+    assert sum(taken) == 6 * attention.SPAN * (attention.CLASSES + 2 * attention.SPAN)
+
+
+@pytest.mark.parametrize("name,factor", [("out", 300), ("query", 300), ("distance", 90)])
+def test_large_parameters_do_not_overflow(vocabulary, name, factor):
+    p = attention.fresh_parameters(2)
+    p["distance"] += np.linspace(0, -1, 2 * attention.SPAN, dtype=np.float32)
+    p[name] *= factor
+    ids = np.random.default_rng(7).integers(0, 3000, 120)
+    before = np.array([0, 0, 20, 120])
+    got = attention.log_probabilities(p, vocabulary, ids, before, 2998, 2999)
+    want = [_plain_log_probability(p, vocabulary, ids[a:b].tolist(), 2998, 2999)
+            for a, b in zip(before, before[1:])]
+    np.testing.assert_allclose(got, want, rtol=1e-4)
+    blocks = ids[:96].reshape(-1, attention.SPAN)
+    loss, g = attention.gradient(p, vocabulary.row[blocks], vocabulary.classed[blocks],
+                                 np.ones(blocks.shape, bool), np.arange(len(blocks)) % 2 == 0)
+    assert np.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+
+
 def test_training_lowers_the_loss(vocabulary):
     draw = np.random.default_rng(9)
     p = attention.fresh_parameters(1)
